@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
-from .textblocks import blocks, lists, runs, signed, span_hashes, words
+from .store import small_batches, stored
+from .textblocks import blocks, lists, runs, span_hashes, words
 
 WINDOW, GRAM = 35, 8
 
@@ -206,6 +206,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     texts shorter than a window lose none; rows that repeat a text, even with the same or a null
     doc_id, are copies of each other and lose all their words; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(docs, window, gram)
     joined = docs.select("doc_id", *_keyed()).join(spans, ["k1", "k2"], "left").select(
