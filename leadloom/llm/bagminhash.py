@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .store import small_batches, stored
@@ -23,6 +24,8 @@ from .textblocks import Block, blocks, lists, mix, mix_int, runs, span_hashes, w
 
 WORDS, THRESHOLD_TENTHS = 5, 8
 BANDS, BAND_ROWS = 24, 4
+#: A shingle in at most so many sets is rare; any value gives the same links.
+RARE = 32
 _U = np.uint64
 
 
@@ -137,14 +140,19 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, tenths: int = THRESHOLD_TEN
     slots = stored(signed_texts.select("node", "weight", F.explode("bands").alias("slot")), "near-slots")
 
     # Each member of a slot is compared with the slot's smallest member.
-    centres = slots.groupBy("slot").agg(F.min(F.struct("node", "weight")).alias("centre"), F.count("*").alias("n")).where("n > 1")
+    sizes = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
     # Slots with company; what follows, and its tables, covers their members only.
-    shared = stored(slots.join(centres.select("slot", "centre"), "slot"), "near-shared")
+    shared = stored(slots.join(sizes, "slot"), "near-shared")
+    # A slot's centre is the member with the most company in all its slots, so the original of many copies.
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    shared = stored(shared.join(company, "node").select("slot", "node", "weight", "company"), "near-company")
+    centres = shared.groupBy("slot").agg(F.min(F.struct(-F.col("company"), "node", "weight")).alias("centre"))
     stars = (
-        shared.select(F.col("centre.node").alias("a"), F.col("centre.weight").alias("wa"), F.col("node").alias("b"), F.col("weight").alias("wb"))
+        shared.join(centres, "slot")
+        .select(F.col("centre.node").alias("a"), F.col("centre.weight").alias("wa"), F.col("node").alias("b"), F.col("weight").alias("wb"))
         .where(F.col("a") != F.col("b"))
         .where(_sizes_fit(tenths))
-        .select("a", "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
     stars = stored(stars, "near-stars")
@@ -159,15 +167,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, tenths: int = THRESHOLD_TEN
     labelled = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("slot")
     open_slots = stored(labelled.join(mixed, "slot").select("slot", "node", "weight", "component"), "near-open")
-    one, two = open_slots.alias("x"), open_slots.alias("y")
-    rest = (
-        one.join(two, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.component") < F.col("y.component")))
-        .select(F.col("x.node").alias("a"), F.col("x.weight").alias("wa"), F.col("y.node").alias("b"), F.col("y.weight").alias("wb"))
-        .where(_sizes_fit(tenths))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    rest = _unstarred(open_slots, sets, tenths).join(stars, ["a", "b"], "left_anti")
     more = stored(_verified(stored(rest, "near-rest"), sets, tenths), "near-more")
     links = links.union(more)
     final = components(links, "near-all") if more.limit(1).count() else first
@@ -186,6 +186,37 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, tenths: int = THRESHOLD_TEN
     )
 
 
+def _unstarred(open_slots: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar enough; misses none that share a slot.
+
+    Order each set's elements by how many open sets hold them.  Two similar sets share an element in the
+    first few of that order.  If the first shared one is rare (in at most RARE sets), a join on rare
+    elements of these prefixes finds the pair; else they share common elements alone, and at most the
+    smaller number of those, which most members of one slot fail by.
+    """
+    nodes = open_slots.select("node", "weight", "component").distinct()
+    elements = sets.join(nodes, "node").select("node", "weight", "component", F.explode("elements").alias("e"))
+    held = elements.groupBy("e").agg(F.count("*").alias("held"))
+    elements = elements.join(held, "e")
+    order = Window.partitionBy("node").orderBy("held", "e")
+    # Of w elements, similar sets share tenths / 10 * w: one of the first w - that + 1 is among them.
+    prefix = elements.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("weight") - F.ceil(F.col("weight") * tenths / 10) + 1)
+    prefix = stored(prefix.where(F.col("held").between(2, RARE)).select("e", "node", "weight", "component"), "near-rare")
+    common = elements.groupBy("node").agg(F.count_if(F.col("held") > RARE).alias("common"))
+    core = stored(open_slots.join(common, "node").where(F.col("common") * 10 >= F.col("weight") * tenths), "near-core")
+
+    def pairs(rows: DataFrame, key: str, fits: Column) -> DataFrame:
+        one, two = rows.alias("x"), rows.alias("y")
+        names = {"a": "x.node", "wa": "x.weight", "b": "y.node", "wb": "y.weight"}
+        joined = one.join(two, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.component") < F.col("y.component")) & fits)
+        return joined.select(*(F.col(v).alias(k) for k, v in names.items()))
+
+    weights = F.col("x.weight") + F.col("y.weight")
+    enough = F.least("x.common", "y.common") * (10 + tenths) >= weights * tenths
+    found = pairs(prefix, "e", F.least("x.weight", "y.weight") * 10 >= F.greatest("x.weight", "y.weight") * tenths).union(pairs(core, "slot", enough))
+    return found.where(_sizes_fit(tenths)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _keys() -> list[Column]:
     return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")]
 
