@@ -94,7 +94,7 @@ def _bands(n: int, bands: int, band_rows: int):
                 keys = mix(keys.sum(axis=2, dtype=_U) + np.arange(bands, dtype=_U))
                 weight = np.bincount(doc, times, block.rows).astype(np.int64)
                 some = np.flatnonzero(weight)
-                part = batch.take(pa.array(block.first + some))
+                part = batch.select(["doc_id", "k1", "k2"]).take(pa.array(block.first + some))
                 own = [part.column("doc_id"), part.column("k1"), part.column("k2")]
                 yield pa.RecordBatch.from_arrays(
                     [*own, pa.array(weight[some]), lists(keys[some].view(np.int64).ravel(), np.full(len(some), bands))],

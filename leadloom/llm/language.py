@@ -92,7 +92,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 share.append((n / n.sum()).astype(np.float32))
                 counts.append(len(own))
             if row:
-                part = batch.take(pa.array(row))
+                part = batch.select(["lang", "pick"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang"), part.column("pick"), lists(np.concatenate(index), counts), lists(np.concatenate(share), counts)],
                     names=["lang", "pick", "index", "share"],

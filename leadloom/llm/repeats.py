@@ -72,7 +72,7 @@ def _anchors(window: int, gram: int):
                     places.append((own - a).astype(np.int32))
                     counts.append(len(own))
                 if row:
-                    part = batch.take(pa.array(row))
+                    part = batch.select(["k1", "k2", "doc"]).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
                         [part.column("k1"), part.column("k2"), lists(np.concatenate(values).view(np.int64), counts), lists(np.concatenate(places), counts), part.column("doc")],
                         names=["k1", "k2", "grams", "places", "doc"],
@@ -86,7 +86,7 @@ def _extend(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("places")
+            wanted, named = batch.column("places"), batch.select(["k1", "k2", "copies"])
             for block in blocks(batch.column("text")):
                 row, place, start, values, counts, names = [], [], [], [], [], []
                 for i, a, wins, pick, grams in _per_text(block, window, gram):
@@ -101,7 +101,7 @@ def _extend(window: int, gram: int):
                         values.append(wins[s : s + n])
                         names.append(grams[own[s] + a])
                 if row:
-                    part = batch.take(pa.array(row))
+                    part = named.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
                         [part.column("k1"), part.column("k2"), part.column("copies"), pa.array(np.array(start, np.int32)), lists(np.concatenate(values).view(np.int64), counts)],
                         names=["k1", "k2", "copies", "start", "wins"],
