@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bagminhash, language, maxent, pieces, repeats, topk
+from . import bagminhash, chat, language, maxent, mixing, pieces, repeats, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +35,73 @@ def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _level(level: str, parents: str, keys: str, weights: str) -> str:
+    """One level of the budget: the fullest shares of the children of each node, in DuckDB SQL."""
+    return f"""
+c_{level} AS (SELECT {keys} {level}, sum(capacity) AS capacity, first({weights}) AS w FROM leaves GROUP BY ALL),
+f_{level} AS (SELECT c.*, p.budget AS total, sum(c.capacity) OVER o AS cum, sum(w) OVER o AS v, sum(w) OVER (PARTITION BY {keys} 1) AS allw
+  FROM c_{level} c JOIN {parents}
+  WINDOW o AS (PARTITION BY {keys} 1 ORDER BY c.capacity / w, {level} ROWS UNBOUNDED PRECEDING)),
+g_{level} AS (SELECT *, capacity::HUGEINT * (allw - v + w)::HUGEINT <= (total - cum + capacity)::HUGEINT * w::HUGEINT AS filled FROM f_{level}),
+h_{level} AS (SELECT *, total - sum(CASE WHEN filled THEN capacity ELSE 0 END) OVER (PARTITION BY {keys} 1) AS rest,
+  greatest(1, sum(CASE WHEN filled THEN 0 ELSE w END) OVER (PARTITION BY {keys} 1)) AS wrest,
+  sum(CASE WHEN filled THEN 0 ELSE w END) OVER (PARTITION BY {keys} 1 ORDER BY capacity / w, {level} ROWS UNBOUNDED PRECEDING) AS run FROM g_{level}),
+b_{level} AS (SELECT {keys} {level}, CASE WHEN filled THEN capacity ELSE (rest::HUGEINT * run::HUGEINT) // wrest::HUGEINT - (rest::HUGEINT * (run - w)::HUGEINT) // wrest::HUGEINT END AS budget FROM h_{level})"""
+
+
+def _case(level: str) -> str:
+    names = "".join(f" WHEN '{k}' THEN {w}" for k, w in mixing.WEIGHTS[level].items())
+    return f"CASE {level}{names} ELSE {mixing.DEFAULT_WEIGHT} END"
+
+
+#: DuckDB has no crc32: the domains of the sources that the tables hold, as the operator gives them.
+_DOMAINS = {f"src{k}": f"d{zlib.crc32(f'src{k}'.encode()) % 3}" for k in range(20)}
+_MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, CASE source {"".join(f" WHEN '{s}' THEN '{d}'" for s, d in _DOMAINS.items())} END AS domain, lang, source, text,
+  len(regexp_extract_all(text, '[^ 	-
+]+')) AS n FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n) AS tokens, sum(n) * {mixing.EPOCHS} AS capacity FROM d GROUP BY ALL),
+root AS (SELECT CAST(floor(sum(tokens) * {mixing.BUDGET_PER_MILLE} / 1000) AS BIGINT) AS budget FROM leaves),
+{_level("domain", "root p ON true", "", _case("domain"))},
+{_level("lang", "b_domain p USING (domain)", "domain,", _case("lang"))},
+{_level("source", "b_lang p USING (domain, lang)", "domain, lang,", _case("source"))},
+plan AS (SELECT domain, lang, source, CAST(budget // tokens AS INTEGER) AS passes, budget % tokens AS prefix FROM b_source JOIN leaves USING (domain, lang, source)),
+r AS (SELECT d.*, passes, prefix, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('|', '{mixing.SEED}', passes, doc_id)), doc_id ROWS UNBOUNDED PRECEDING) - n AS start
+  FROM d JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(e AS INTEGER) AS epoch, CAST(n AS BIGINT) AS n_tokens, CAST(n AS BIGINT) AS take_tokens FROM r, range(0, passes) t(e)
+UNION ALL
+SELECT doc_id, domain, lang, source, passes, CAST(n AS BIGINT), CAST(least(n, prefix - start) AS BIGINT) FROM r WHERE start < prefix
+"""
+
+
+@query(_MIX_SQL)
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
+
+
+_ESCAPED = f"regexp_replace(text, '{chat.FIND}', '\\1\\\\\\2\\3', 'g')"
+
+
+@query(
+    f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length(role) + length({_ESCAPED}) + {len(chat.OPEN) + len(chat.CLOSE) + 2}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+)
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    return chat.digests(chat.format_chats(rows.unionByName(extra)))
+
+
 @query(
     """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
