@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, chat, language, maxent, mixing, pieces, repeats, topk
+from . import bagminhash, chat, language, maxent, mixing, nndescent, pieces, repeats, templates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op2_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query()
 def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -121,6 +127,11 @@ def op6_sentencepiece_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFra
     return pieces.encode(docs).drop("text")
 
 
+@query()
+def op7_nn_descent_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(table(spark, sf_dir, "documents"))
