@@ -85,7 +85,7 @@ def budgets(leaves: DataFrame, total: Column, levels: Sequence[str] = LEVELS, we
 def mix(docs: DataFrame, per_mille: int = BUDGET_PER_MILLE, epochs: int = EPOCHS, seed: str = SEED, weights: dict = WEIGHTS) -> DataFrame:
     """Choose documents of ``docs`` (doc_id, text, lang, source), each with the tokens to take of it.
 
-    Returns doc_id, row (a number of the input row), domain, lang, source, epoch (from 0), n_tokens and
+    Returns doc_id, row (a number of the input row), content (a hash of the text), domain, lang, source, epoch (from 0), n_tokens and
     take_tokens: at most one document of a leaf and epoch is cut.  The budget is ``per_mille`` of all
     tokens (words), at most ``epochs`` times a leaf's.  Null domains, languages and sources are names of
     their own, written as empty; null or empty texts have no tokens and are never chosen; equal rows are
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, per_mille: int = BUDGET_PER_MILLE, epochs: int = EPOCHS
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), domain_of(F.col("source")).alias("domain"),
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_tokens"),
+        F.xxhash64("text").alias("content"), F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_tokens"),
     ).where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id())
     slim = stored(slim, "mix-rows")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
@@ -116,10 +116,30 @@ def mix(docs: DataFrame, per_mille: int = BUDGET_PER_MILLE, epochs: int = EPOCHS
     cut = last.join(sums.select(*LEVELS, "bucket", "before", "whole"), [*LEVELS, "bucket"])
     inside = Window.partitionBy(*LEVELS).orderBy("hash", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = cut.where("not whole").withColumn("start", F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).where(F.col("start") < F.col("prefix"))
-    columns = ["doc_id", "row", *LEVELS]
+    columns = ["doc_id", "row", "content", *LEVELS]
     full = rows.where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     return (
         full.select(*columns, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"))
         .union(cut.where("whole").select(*columns, F.col("passes").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens")))
         .union(ends.select(*columns, F.col("passes").alias("epoch"), "n_tokens", F.least(F.col("n_tokens"), F.col("prefix") - F.col("start")).alias("take_tokens")))
     )
+
+
+def texts(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` chooses, once for each pass, cut texts cut after their last token.
+
+    ``docs`` must tell its rows apart by (doc_id, text); equal rows are chosen together.  A cut text keeps
+    its white space between the tokens it keeps.
+    """
+    names = docs.columns
+    chosen = mix(docs, **limits)
+    chosen = chosen.groupBy("doc_id", "content", "epoch").agg(F.max("take_tokens").alias("take"), F.max("n_tokens").alias("of"))
+    chosen = chosen.groupBy(F.col("doc_id").alias("_doc"), F.col("content").alias("_content")).agg(F.collect_list(F.struct("take", "of")).alias("_takes"))
+    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_content": F.xxhash64("text")})
+    one = keyed.alias("d").join(chosen.alias("c"), F.col("d._doc").eqNullSafe(F.col("c._doc")) & (F.col("d._content") == F.col("c._content")))
+    one = one.select(*(F.col(f"d.`{n}`").alias(n) for n in names), F.explode("c._takes").alias("_take"))
+    words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    # The first part holds no word if the text starts with white space.
+    lead = F.when(F.regexp_like("text", F.lit(r"^[\x20\x09-\x0D]")), 1).otherwise(0)
+    cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("_take.take").cast("int") + lead), ""), r"[\x20\x09-\x0D]+$", "")
+    return one.select(*(F.when(F.col("_take.take") < F.col("_take.of"), cut).otherwise(F.col("text")).alias("text") if n == "text" else n for n in names))

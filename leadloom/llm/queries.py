@@ -82,7 +82,7 @@ SELECT doc_id, domain, lang, source, passes, CAST(n AS BIGINT), CAST(least(n, pr
 
 @query(_MIX_SQL)
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row", "content")
 
 
 _ESCAPED = f"regexp_replace(text, '{chat.FIND}', '\\1\\\\\\2\\3', 'g')"
