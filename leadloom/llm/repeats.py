@@ -59,23 +59,24 @@ def _per_text(block, window: int, gram: int):
 
 
 def _anchors(window: int, gram: int):
-    """Texts -> their anchors' hashes and places; texts without a window give no row."""
+    """Texts -> their different anchors and how often each stands there; texts without a window give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            named = batch.select(["k1", "k2", "doc"])
             for block in blocks(batch.column("text")):
-                row, values, places, counts = [], [], [], []
-                for i, a, _, pick, grams in _per_text(block, window, gram):
-                    own = np.unique(pick)
+                row, values, times, counts = [], [], [], []
+                for i, _, _, pick, grams in _per_text(block, window, gram):
+                    own, n = np.unique(grams[np.unique(pick)], return_counts=True)
                     row.append(block.first + i)
-                    values.append(grams[own])
-                    places.append((own - a).astype(np.int32))
+                    values.append(own)
+                    times.append(n.astype(np.int32))
                     counts.append(len(own))
                 if row:
-                    part = batch.select(["k1", "k2", "doc"]).take(pa.array(row))
+                    part = named.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("k1"), part.column("k2"), lists(np.concatenate(values).view(np.int64), counts), lists(np.concatenate(places), counts), part.column("doc")],
-                        names=["k1", "k2", "grams", "places", "doc"],
+                        [*part.columns, lists(np.concatenate(values).view(np.int64), counts), lists(np.concatenate(times), counts)],
+                        names=["k1", "k2", "doc", "grams", "times"],
                     )
 
     return run
@@ -86,14 +87,14 @@ def _extend(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted, named = batch.column("places"), batch.select(["k1", "k2", "copies"])
+            wanted, named = batch.column("seeds"), batch.select(["k1", "k2", "copies"])
             for block in blocks(batch.column("text")):
                 row, place, start, values, counts, names = [], [], [], [], [], []
                 for i, a, wins, pick, grams in _per_text(block, window, gram):
                     own = pick - a
                     runs_at = np.flatnonzero(np.diff(own, prepend=-1))
                     length = np.diff(runs_at, append=len(own))
-                    keep = np.isin(own[runs_at], wanted[block.first + i].values.to_numpy())
+                    keep = np.isin(grams[pick[runs_at]].view(np.int64), wanted[block.first + i].values.to_numpy())
                     for s, n in zip(runs_at[keep], length[keep]):
                         row.append(block.first + i)
                         start.append(s)
@@ -118,23 +119,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     more than once has ``copies`` > 1 and no spans; all its windows are repeated.
     """
     texts = docs.select(F.col("doc_id").alias("doc"), *_keyed())
-    found = texts.mapInArrow(_anchors(window, gram), "k1 long, k2 long, grams array<long>, places array<int>, doc long")
+    found = texts.mapInArrow(_anchors(window, gram), "k1 long, k2 long, doc long, grams array<long>, times array<int>")
     # One row for each different text; a copy adds a count only, before the shuffle.
     each = stored(
         found.groupBy("k1", "k2").agg(
-            F.count("*").alias("copies"), F.min("doc").alias("rep"), F.first("grams").alias("grams"), F.first("places").alias("places")
+            F.count("*").alias("copies"), F.min("doc").alias("rep"), F.first("grams").alias("grams"), F.first("times").alias("times")
         ),
         "repeat-anchors",
     )
-    anchors = each.select("k1", "k2", F.explode(F.arrays_zip("grams", "places")).alias("a")).select("k1", "k2", "a.grams", "a.places")
-    shared = anchors.groupBy("grams").agg(F.count("*").alias("n")).where("n > 1").select("grams")
-    seeds = anchors.join(shared, "grams").groupBy("k1", "k2").agg(F.collect_list("places").alias("places"))
+    anchors = each.select("k1", "k2", F.explode(F.arrays_zip("grams", "times")).alias("a")).select("k1", "k2", "a.grams", "a.times")
+    shared = anchors.groupBy("grams").agg(F.sum("times").alias("n")).where("n > 1").select("grams")
+    seeds = anchors.select("k1", "k2", "grams").join(shared, "grams").groupBy("k1", "k2").agg(F.collect_list("grams").alias("seeds"))
     seeds = seeds.join(each.select("k1", "k2", "copies", "rep"), ["k1", "k2"])
     sown = texts.alias("t").join(
         seeds.alias("s"), (F.col("t.k1") == F.col("s.k1")) & (F.col("t.k2") == F.col("s.k2")) & F.col("t.doc").eqNullSafe(F.col("s.rep"))
     )
     extended = stored(
-        sown.select("t.k1", "t.k2", "s.copies", "s.places", "t.text").mapInArrow(
+        sown.select("t.k1", "t.k2", "s.copies", "s.seeds", "t.text").mapInArrow(
             _extend(window, gram), "k1 long, k2 long, copies long, start int, wins array<long>"
         ),
         "repeat-extensions",
