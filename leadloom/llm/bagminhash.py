@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, tenths: int = THRESHOLD_TEN
     labelled = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("slot")
     open_slots = stored(labelled.join(mixed, "slot").select("slot", "node", "weight", "component"), "near-open")
-    rest = _unstarred(open_slots, sets, tenths).join(stars, ["a", "b"], "left_anti")
+    rest = _unstarred(open_slots, signed_texts, sets, tenths).join(stars, ["a", "b"], "left_anti")
     more = stored(_verified(stored(rest, "near-rest"), sets, tenths), "near-more")
     links = links.union(more)
     final = components(links, "near-all") if more.limit(1).count() else first
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, tenths: int = THRESHOLD_TEN
     )
 
 
-def _unstarred(open_slots: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+def _unstarred(open_slots: DataFrame, signed_texts: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """Pairs (a, b) of different components that may be similar enough; misses none that share a slot.
 
     Order each set's elements by how many open sets hold them.  Two similar sets share an element in the
@@ -203,7 +203,8 @@ def _unstarred(open_slots: DataFrame, sets: DataFrame, tenths: int) -> DataFrame
     prefix = elements.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("weight") - F.ceil(F.col("weight") * tenths / 10) + 1)
     prefix = stored(prefix.where(F.col("held").between(2, RARE)).select("e", "node", "weight", "component"), "near-rare")
     common = elements.groupBy("node").agg(F.count_if(F.col("held") > RARE).alias("common"))
-    core = stored(open_slots.join(common, "node").where(F.col("common") * 10 >= F.col("weight") * tenths), "near-core")
+    core = open_slots.join(common, "node").where(F.col("common") * 10 >= F.col("weight") * tenths)
+    core = stored(core.join(signed_texts.select("node", "bands"), "node"), "near-core")
 
     def pairs(rows: DataFrame, key: str, fits: Column) -> DataFrame:
         one, two = rows.alias("x"), rows.alias("y")
@@ -213,6 +214,8 @@ def _unstarred(open_slots: DataFrame, sets: DataFrame, tenths: int) -> DataFrame
 
     weights = F.col("x.weight") + F.col("y.weight")
     enough = F.least("x.common", "y.common") * (10 + tenths) >= weights * tenths
+    # Of the slots that two sets share, the first alone gives the pair.
+    enough = enough & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.slot"))
     found = pairs(prefix, "e", F.least("x.weight", "y.weight") * 10 >= F.greatest("x.weight", "y.weight") * tenths).union(pairs(core, "slot", enough))
     return found.where(_sizes_fit(tenths)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
