@@ -54,9 +54,9 @@ def _divide(children: DataFrame, parents: DataFrame, up: Sequence[str], level: s
     by differences of the floors of running sums, so the sum is exact.
     """
     w = children.withColumn("w", _weight(level, weights))
-    joined = w.join(parents.select(*up, F.col("budget").alias("total")), list(up)) if up else w.crossJoin(F.broadcast(parents.select(F.col("budget").alias("total"))))
+    joined = w.join(parents.select(*up, F.col("budget").alias("total")), list(up))
     ratio = [F.col("capacity") / F.col("w"), F.asc_nulls_first(level)]
-    own = Window.partitionBy(*up) if up else Window.partitionBy(F.lit(0))
+    own = Window.partitionBy(*up)
     so_far = own.orderBy(*ratio).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = joined.withColumns({"c": F.sum("capacity").over(so_far), "v": F.sum("w").over(so_far), "all": F.sum("w").over(own)})
     # full: capacity / w <= (total - capacity of those before) / (weight of it and those after)
@@ -75,11 +75,13 @@ def _divide(children: DataFrame, parents: DataFrame, up: Sequence[str], level: s
 
 def budgets(leaves: DataFrame, total: Column, levels: Sequence[str] = LEVELS, weights: dict = WEIGHTS) -> DataFrame:
     """``leaves`` (levels..., capacity) -> (levels..., capacity, budget); ``total`` in terms of ``capacity``, the sum."""
-    nodes = leaves.agg(F.coalesce(F.sum("capacity"), F.lit(0)).alias("capacity")).select(total.alias("budget"))
+    leaves = leaves.withColumn("root", F.lit(0))
+    nodes = leaves.groupBy("root").agg(F.sum("capacity").alias("capacity")).select("root", total.alias("budget"))
     for k, level in enumerate(levels):
-        children = leaves.groupBy(*levels[: k + 1]).agg(F.sum("capacity").alias("capacity"))
-        nodes = _divide(children, nodes, levels[:k], level, weights)
-    return nodes
+        up = ["root", *levels[:k]]
+        children = leaves.groupBy(*up, level).agg(F.sum("capacity").alias("capacity"))
+        nodes = _divide(children, nodes, up, level, weights)
+    return nodes.drop("root")
 
 
 def mix(docs: DataFrame, per_mille: int = BUDGET_PER_MILLE, epochs: int = EPOCHS, seed: str = SEED, weights: dict = WEIGHTS) -> DataFrame:
