@@ -173,19 +173,21 @@ def top_inner_products(rows: DataFrame, is_query: Column | None = None, k: int =
     )
     compare = _compare(dims, rotation, head, k)
     found = "query_id long, vec_id long, score long"
-    # The block numbers are few: one for every `block` vectors.
-    numbers = [r["block"] for r in candidates.select("block", "longest").orderBy(F.desc("longest"), "block").select("block").collect()]
-    if not numbers:
+    # A table of one row for each block, so thousands of times smaller than the input; 1 has the longest vectors.
+    by_length = Window.orderBy(F.desc("longest"), "block")
+    numbers = stored(candidates.select("block", "longest").withColumn("nth", F.row_number().over(by_length)).select("block", "nth"), "topk-numbers")
+    n_blocks = numbers.count()
+    if not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
-    def pairs(q: DataFrame, blocks_: list[int]) -> DataFrame:
-        listed = q.withColumn("block", F.explode(F.array(*(F.lit(b) for b in blocks_))))
+    def pairs(q: DataFrame, first: int, last: int) -> DataFrame:
+        listed = q.withColumn("nth", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(numbers, "nth")
         return listed.join(candidates, "block").select("q_ids", "q_vectors", "floors", "ids", "vectors", "longest").repartition(F.xxhash64("q_ids", "ids"))
 
     lowest = queries.withColumn("floors", F.lit(None).cast("binary")).mapInArrow(_no_floors, "q_ids binary, q_vectors binary, q_block long, floors binary")
-    first = stored(pairs(lowest, numbers[:1]).mapInArrow(compare, found), "topk-first")
+    first = stored(pairs(lowest, 1, 1).mapInArrow(compare, found), "topk-first")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    if len(numbers) == 1:
+    if n_blocks == 1:
         hits = first
     else:
         floors = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k)
@@ -193,7 +195,7 @@ def top_inner_products(rows: DataFrame, is_query: Column | None = None, k: int =
         ids = queries.mapInArrow(_ids, "q_block long, place int, query_id long").join(floors, "query_id", "left")
         per_block = ids.groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("floor", F.lit(-(2**63))).alias("floor")))).alias("f"))
         armed = queries.join(per_block, "q_block").mapInArrow(_floors, "q_ids binary, q_vectors binary, q_block long, floors binary")
-        hits = first.union(pairs(stored(armed, "topk-armed"), numbers[1:]).mapInArrow(compare, found))
+        hits = first.union(pairs(stored(armed, "topk-armed"), 2, n_blocks).mapInArrow(compare, found))
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
