@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashindex import HashIndex
@@ -265,13 +265,28 @@ def _score(lexicon: Lexicon, w: Weights):
     return run
 
 
+def _step() -> Column:
+    return F.floor(F.log2("n") * 16)
+
+
 def lexicon_of(texts: DataFrame) -> tuple[Lexicon, DataFrame]:
-    """The lexicon of ``texts`` (text) and the written table (word hash, n) of all word counts."""
+    """The lexicon of ``texts`` (text) and the written table (word hash, n) of the words it does not hold."""
     table = stored(texts.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    top = table.orderBy(F.desc("n"), "word").limit(TOP).toArrow()
+    # Steps of the logarithm of counts: a few hundred, whose sizes tell the least step of at most TOP words.
+    sizes = table.groupBy(_step().alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    least, held = 1 << 30, 0
+    for r in sizes:
+        held += r["words"]
+        if held > TOP:
+            break
+        least = r["step"]
+    top = table.where(_step() >= least).toArrow()
     hashes, counts = top.column("word").to_numpy(), top.column("n").to_numpy()
-    return Lexicon(hashes.view(_U).copy(), counts.astype(np.int64).copy(), int(total["tokens"]), int(total["types"])), table
+    order = np.lexsort((hashes, -counts))
+    hashes, counts = hashes[order], counts[order]
+    lexicon = Lexicon(hashes.view(_U).copy(), counts.astype(np.int64).copy(), int(total["tokens"]), int(total["types"]))
+    return lexicon, table.where(_step() < least)
 
 
 def trained(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights:
@@ -306,10 +321,9 @@ def scored(docs: DataFrame) -> DataFrame:
     ).withColumn("row", F.monotonically_increasing_id())
     made = stored(made, "lm-scores")
     # The words beyond TOP meet their counts in a join; none of them is frequent.
-    low = int(lexicon.count[-1]) if len(lexicon.count) else 0
     rare = made.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     sums = (
-        rare.join(table.where(F.col("n") <= low), "word")
+        rare.join(table, "word")
         .groupBy("row")
         .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"))
     )
