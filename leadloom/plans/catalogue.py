@@ -29,13 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None):
-    """Register a function as a query under its own name, with its SQL."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function as a query under its own name or ``name``, with its SQL."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return add
@@ -369,7 +369,8 @@ def _terms(weights: dict) -> str:
 
 
 @query(
-    f"SELECT c_custkey, CAST(({_terms(seed.WEBSITE_QUALITY)}) / 100.0 AS DECIMAL(5,2)) AS quality, CAST(({_terms(seed.BUSINESS_OPPORTUNITY)}) / 100.0 AS DECIMAL(5,2)) AS opportunity FROM customer"
+    f"SELECT c_custkey, CAST(({_terms(seed.WEBSITE_QUALITY)}) / 100.0 AS DECIMAL(5,2)) AS quality, CAST(({_terms(seed.BUSINESS_OPPORTUNITY)}) / 100.0 AS DECIMAL(5,2)) AS opportunity FROM customer",
+    name="weighted_score",
 )
 def weighted_scores(spark, sf_dir):
     def score(weights):
