@@ -30,15 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+@query(
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, list_transform(list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda w: w <> ''),
+        lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+k AS (SELECT *, len(t) AS n, t[1:{templates.DEPTH}] AS lead FROM l WHERE len(t) >= {templates.MIN_TOKENS}),
+busy AS (SELECT n, lead FROM k GROUP BY ALL HAVING count(DISTINCT r) >= {templates.MIN_DOCS}),
+b AS (SELECT * FROM k SEMI JOIN busy USING (n, lead)),
+c AS (SELECT n, lead, t, count(DISTINCT r) AS docs FROM b GROUP BY ALL),
+p AS (SELECT *, t[pos] AS tok FROM (SELECT *, unnest(range(1, n + 1)) AS pos FROM c)),
+h AS (SELECT n, lead, pos, tok FROM p GROUP BY ALL HAVING sum(docs) >= {templates.MIN_DOCS}),
+f AS (SELECT n, lead, t, list(pos || ' ' || tok ORDER BY pos) AS fixed FROM p JOIN h USING (n, lead, pos, tok) GROUP BY ALL),
+x AS (SELECT r, doc_id, i, n, lead, fixed FROM b JOIN f USING (n, lead, t) WHERE len(fixed) >= n * CAST({templates.SHARE} AS DOUBLE)),
+g AS (SELECT n, lead, fixed, min(doc_id) AS keeper FROM x GROUP BY ALL HAVING count(DISTINCT r) >= {templates.MIN_DOCS}),
+gone AS (SELECT r, list(i) AS gi FROM x JOIN g USING (n, lead, fixed) WHERE doc_id <> keeper GROUP BY r)
+SELECT doc_id, len(ls) AS n_lines, CAST(coalesce(len(gi), 0) AS BIGINT) AS n_dropped,
+  sha256(array_to_string(list_filter(ls, lambda x, i: gi IS NULL OR NOT list_contains(gi, i)), chr(10))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+)
 def op2_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = templates.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g, count(*) AS n FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0) GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN t x ON a = x.doc_id JOIN t y ON b = y.doc_id WHERE 10 * k >= 8 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM reach GROUP BY a
+"""
+)
 def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def _level(level: str, parents: str, keys: str, weights: str) -> str:
@@ -127,7 +156,17 @@ def op6_sentencepiece_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFra
     return pieces.encode(docs).drop("text")
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_inner_product(x, x) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+)
 def op7_nn_descent_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
 
