@@ -1,4 +1,4 @@
-"""Connected components as joins and aggregates over written tables."""
+"""Connected components by contracting links, as joins and aggregates over written tables."""
 
 from __future__ import annotations
 
@@ -11,30 +11,35 @@ from .store import stored
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """``edges`` (a, b), longs, not null -> (node, component): the smallest node that links reach.
 
-    Each round takes the smallest label of a node's neighbours and then the label of that label, so
-    the number of rounds grows with the logarithm of a component's diameter.  Labels live in written
-    tables; only the number of changed labels comes to the driver.  No edges: an empty table.
+    Each round points every node at its smallest neighbour, follows the pointers for four steps and
+    replaces the ends of links by where they lead; links within one node vanish.  A round leaves less
+    than half the nodes of any component that still has links, so rounds grow with the logarithm of its size.
+    Only whether links are left comes to the driver.  No edges: an empty table.
     """
-    both = stored(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        f"{tag}-edges",
-    )
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), f"{tag}-labels")
+    links = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{tag}-links")
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    reached = nodes.withColumn("component", F.col("node"))
     while True:
-        near = (
-            both.join(labels, F.col("b") == F.col("node"))
-            .groupBy("a")
-            .agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("now")
-        )
-        upper = labels.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        step = step.join(upper, F.col("now") == F.col("up"), "left").select(
-            "node", "was", F.least(F.col("now"), F.coalesce("top", "now")).alias("component")
-        )
-        step = stored(step, f"{tag}-labels")
-        changed = step.where("component <> was").limit(1).count()
-        labels = step.select("node", "component")
-        if not changed:
-            return labels
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+        to = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to"))
+        to = stored(to, f"{tag}-pointers")
+        for _ in range(2):
+            to = _followed(to, to)
+        to = stored(to, f"{tag}-pointers")
+        reached = stored(_moved(reached, "component", to), f"{tag}-reached")
+        links = _moved(_moved(links, "a", to), "b", to)
+        links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{tag}-links")
+        if not links.limit(1).count():
+            return reached
+
+
+def _followed(pointers: DataFrame, by: DataFrame) -> DataFrame:
+    step = by.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+    return pointers.join(step, F.col("to") == F.col("_n")).select("node", F.col("_t").alias("to"))
+
+
+def _moved(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """``rows`` with what ``column`` leads to; nodes without links stay."""
+    step = to.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+    moved = rows.join(step, F.col(column) == F.col("_n"), "left").withColumn(column, F.coalesce("_t", column))
+    return moved.select(*rows.columns)
