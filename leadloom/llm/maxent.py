@@ -293,8 +293,11 @@ def trained(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights
     """``texts`` (text, turn): the rows of turn k teach in round k."""
     w = Weights.new(lexicon)
     for turn in range(rounds):
-        changes = texts.where(F.col("turn") == turn).select("text").mapInArrow(_learn(lexicon, w), "slab int, tokens long, change binary")
-        sums = changes.repartition(16, "slab").mapInArrow(_summed, "slab int, tokens long, change binary").toArrow()
+        shape = "slab int, tokens long, change binary"
+        changes = texts.where(F.col("turn") == turn).select("text").mapInArrow(_learn(lexicon, w), shape)
+        # Sums of sums: many tasks share a slab's first sums, so none streams what all partitions gave.
+        spread = changes.withColumn("part", F.spark_partition_id() % 64).repartition("slab", "part").drop("part")
+        sums = spread.mapInArrow(_summed, shape).repartition("slab").mapInArrow(_summed, shape).toArrow()
         theta, phi = w.theta.reshape(BUCKETS // _ROWS, _ROWS, -1), w.phi.reshape(BUCKETS // _ROWS, _ROWS, -1)
         for slab, tokens, change in zip(sums.column("slab").to_pylist(), sums.column("tokens").to_pylist(), sums.column("change").to_pylist()):
             x = np.frombuffer(change, np.float32).reshape(_ROWS, -1) / tokens
