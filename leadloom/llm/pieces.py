@@ -1,11 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding (operator 6).
 
 A piece model with byte fallback joins symbols by the score of what they form.  Here each candidate
-merge (left part, right part) of a chunk is kept or skipped by a keyed hash of its place, so a chunk
-has ``variants`` possible segmentations and each occurrence takes one of them by seed, document and
-place in the document.  Pieces hold blanks only at their start, so a text falls into chunks (blanks,
-then other characters) that merge on their own; equal (chunk, variant) pairs are worked out once per
-block, all merges of a round in one numpy step.
+merge (left part, right part) of an occurrence of a chunk is kept or skipped by a hash of its span,
+keyed by seed, document, the chunk and its place in the document.  Pieces hold blanks only at their
+start, so a text falls into chunks (blanks, then other characters) that merge on their own; equal
+chunks of a block whose occurrences skip no candidate share one merge, all merges of a round are one
+numpy step.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .store import small_batches
 from .textblocks import Block, blocks, mix, mix_int
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 BLANK, NEVER, PAD = "▁", np.int32(2**31 - 1), -1
 _U = np.uint64
 
@@ -129,8 +129,11 @@ def _kept(key, start, middle, end, dropout: float):
     return (mix(key + at) >> _U(11)).astype(np.float64) * 2.0**-53 >= dropout
 
 
-def merge_rows(vocab: Pieces, symbols: np.ndarray, size: np.ndarray, key: np.ndarray, dropout: float) -> np.ndarray:
-    """Merge each row of ``symbols`` (padded by PAD on the right); what a merge took in becomes PAD."""
+def merge_rows(vocab: Pieces, symbols: np.ndarray, size: np.ndarray, key: np.ndarray, dropout: float, seen: list | None = None) -> np.ndarray:
+    """Merge each row of ``symbols`` (padded by PAD on the right); what a merge took in becomes PAD.
+
+    ``seen`` takes the candidates: (row, start, middle, end).
+    """
     n, width = symbols.shape
     s = np.full((n, width + 1), PAD, np.int32)
     s[:, :width] = symbols
@@ -143,6 +146,8 @@ def merge_rows(vocab: Pieces, symbols: np.ndarray, size: np.ndarray, key: np.nda
         end = after[rows, np.minimum(mid, width)]
         new = vocab.join(s[rows, at], s[rows, np.minimum(mid, width)])
         ok = (new >= 0) & (mid < size[rows])
+        if seen is not None:
+            seen.append((rows[ok], at[ok], mid[ok], end[ok]))
         ok &= _kept(key[rows], at, mid, end, dropout)
         rank[rows, at] = np.where(ok, vocab.rank[new], NEVER)
         forms[rows, at] = new
@@ -214,7 +219,61 @@ def _hash_runs(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(_U))
 
 
-def encode_block(vocab: Pieces, block: Block, names: np.ndarray, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_chunks(vocab: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, dropout: float, seen: list | None = None):
+    """Merge each chunk -> (ids, where each chunk's begin, how many they are).
+
+    With ``seen`` the chunks that are merged together skip nothing, and it takes their candidates.
+    """
+    pool: list[np.ndarray] = []
+    count = np.zeros(len(start), np.int64)
+    order: list[np.ndarray] = []
+    low = 0
+    for width in WIDTHS:
+        own = np.flatnonzero((size > low) & (size <= width))
+        low = width
+        if not len(own):
+            continue
+        at = start[own][:, None] + np.arange(width)[None, :]
+        rows = np.where(np.arange(width)[None, :] < size[own][:, None], symbols[np.minimum(at, len(symbols) - 1)], PAD)
+        met = None if seen is None else []
+        done = merge_rows(vocab, rows, size[own], key[own], dropout if seen is None else 0.0, met)
+        if met is not None:
+            seen += [(own[m[0]], *m[1:]) for m in met]
+        left = done != PAD
+        pool.append(done[left])
+        count[own] = left.sum(axis=1)
+        order.append(own)
+    for c in np.flatnonzero(size > low):
+        done = merge_one(vocab, symbols[start[c] : start[c] + size[c]].tolist(), int(key[c]), dropout)
+        pool.append(np.array(done, np.int32))
+        count[c] = len(done)
+        order.append(np.array([c]))
+    if not pool:
+        return np.zeros(0, np.int32), count, count
+    order = np.concatenate(order)
+    begin = np.zeros(len(start), np.int64)
+    begin[order] = np.cumsum(count[order]) - count[order]
+    return np.concatenate(pool), begin, count
+
+
+def _skipping(seen: list, back: np.ndarray, key: np.ndarray, dropout: float) -> np.ndarray:
+    """The occurrences (chunk number ``back``, key) that skip one of their chunk's candidates ``seen``."""
+    if not seen:
+        return np.zeros(0, np.int64)
+    chunk, at, mid, end = (np.concatenate([m[k] for m in seen]) for k in range(4))
+    order = np.argsort(chunk, kind="stable")
+    at, mid, end = at[order], mid[order], end[order]
+    number = np.bincount(chunk, minlength=int(back.max()) + 1)
+    times = number[back]
+    stop = np.cumsum(times)
+    which = np.repeat((np.cumsum(number) - number)[back] - (stop - times), times) + np.arange(stop[-1])
+    kept = _kept(np.repeat(key, times), at[which], mid[which], end[which], dropout)
+    skips = np.zeros(len(back), dtype=bool)
+    skips[np.repeat(np.arange(len(back)), times)[~kept]] = True
+    return np.flatnonzero(skips)
+
+
+def encode_block(vocab: Pieces, block: Block, names: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids of each text).  ``names``: a 64-bit key of each text's document."""
     raw = block.data.tobytes()
     texts = [raw[a:b].decode() for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist())]
@@ -233,42 +292,23 @@ def encode_block(vocab: Pieces, block: Block, names: np.ndarray, dropout: float,
     first = np.searchsorted(start, bounds)
     chunks = np.diff(first)
     doc = np.repeat(np.arange(block.rows), chunks)
-    key = _hash_runs(codes, start, end)
+    size, symbols = end - start, vocab.symbols(codes)
+    key = equal = _hash_runs(codes, start, end)
     if dropout > 0:
         nth = np.arange(len(start)) - first[doc]
-        pick = mix(mix(names[doc] + _U(mix_int(seed))) + nth.astype(_U)) % _U(variants)
-        key = mix(key + (pick + _U(1)) * _U(mix_int(seed + 1) | 1))
-    _, one, back = np.unique(key, return_index=True, return_inverse=True)
-    size = (end - start)[one]
-    symbols = vocab.symbols(codes)
-    pool: list[np.ndarray] = []
-    count = np.zeros(len(one), np.int64)
-    order: list[np.ndarray] = []
-    low = 0
-    for width in WIDTHS:
-        own = np.flatnonzero((size > low) & (size <= width))
-        low = width
-        if not len(own):
-            continue
-        at = start[one[own]][:, None] + np.arange(width)[None, :]
-        rows = np.where(np.arange(width)[None, :] < size[own][:, None], symbols[np.minimum(at, len(symbols) - 1)], PAD)
-        done = merge_rows(vocab, rows, size[own], key[one[own]], dropout)
-        left = done != PAD
-        pool.append(done[left])
-        count[own] = left.sum(axis=1)
-        order.append(own)
-    for u in np.flatnonzero(size > low):
-        c = one[u]
-        done = merge_one(vocab, symbols[start[c] : end[c]].tolist(), int(key[c]), dropout)
-        pool.append(np.array(done, np.int32))
-        count[u] = len(done)
-        order.append(np.array([u]))
-    flat, order = np.concatenate(pool), np.concatenate(order)
-    begin = np.zeros(len(one), np.int64)
-    begin[order] = np.cumsum(count[order]) - count[order]
-    times = count[back]
+        key = mix(equal + mix(mix(names[doc] + _U(mix_int(seed))) + nth.astype(_U)))
+        equal = np.where(size > WIDTHS[-1], key, equal)  # long chunks nearly always skip something
+    _, one, back = np.unique(equal, return_index=True, return_inverse=True)
+    seen = [] if dropout > 0 else None
+    flat, begin, count = merge_chunks(vocab, symbols, start[one], size[one], key[one], dropout, seen)
+    begin, times = begin[back], count[back]
+    if seen:
+        own = _skipping(seen, back, key, dropout)
+        more, at, times[own] = merge_chunks(vocab, symbols, start[own], size[own], key[own], dropout)
+        begin[own] = len(flat) + at
+        flat = np.concatenate([flat, more])
     stop = np.cumsum(times)
-    ids = flat[np.repeat(begin[back] - (stop - times), times) + np.arange(stop[-1])]
+    ids = flat[np.repeat(begin - (stop - times), times) + np.arange(stop[-1])]
     per_doc = np.diff(np.concatenate([[0], stop])[first])
     if (ids < PAD).any():
         code = np.where(ids < PAD, -2 - ids.astype(np.int64), 0)
@@ -302,7 +342,7 @@ def decode_ids(vocab: Pieces, ids: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return data[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
-def _encode(vocab: Pieces, dropout: float, seed: int, variants: int, names: list[str]):
+def _encode(vocab: Pieces, dropout: float, seed: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
@@ -310,7 +350,7 @@ def _encode(vocab: Pieces, dropout: float, seed: int, variants: int, names: list
             null = text.is_null().to_numpy(zero_copy_only=False)
             for block in blocks(text, limit=1 << 20):
                 own = slice(block.first, block.first + block.rows)
-                ids, counts = encode_block(vocab, block, keys[own].view(_U), dropout, seed, variants)
+                ids, counts = encode_block(vocab, block, keys[own].view(_U), dropout, seed)
                 data, bounds = decode_ids(vocab, ids, counts)
                 raw = data.tobytes()
                 digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -342,7 +382,7 @@ def read_model(path: str) -> Pieces:
         return Pieces.read(f.read())
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, ...) and piece_ids, n_pieces, decoded_sha256 (of the decoded ids), lossless.
 
     The same row gives the same ids on every run.  A null text gives nulls, an empty one no pieces; a
@@ -355,7 +395,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     source = docs.select(*names, F.xxhash64("doc_id").alias("_key"))
     fields = ", ".join(f"`{c}` {t}" for c, t in source.select(*names).dtypes)
     return source.mapInArrow(
-        _encode(vocab, dropout, seed, variants, names), f"{fields}, piece_ids array<int>, n_pieces long, decoded_sha256 string, lossless boolean"
+        _encode(vocab, dropout, seed, names), f"{fields}, piece_ids array<int>, n_pieces long, decoded_sha256 string, lossless boolean"
     )
 
 

@@ -34,6 +34,31 @@ def test_dropout_varies_by_seed_and_place_but_not_by_run(spark):
     assert len({tuple(ids[0][k : k + 6]) for k in range(len(ids[0]))}) > 6 and vocab.spelled[ids[0][0]].startswith(b" ")
 
 
+def test_each_occurrence_has_its_own_dropout(spark):
+    df = spark.createDataFrame([(1, "international " * 400)], "doc_id long, text string")
+    ids = pieces.encode(df, dropout=0.3).first()["piece_ids"]
+    vocab = pieces.read_model(pieces.MODEL)
+    found, word = set(), []
+    for i in ids:
+        if vocab.spelled[i].startswith(b" ") and word:
+            found.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(found) > 20
+
+
+def test_sharing_equals_merging_each_occurrence(monkeypatch):
+    vocab = pieces.read_model(pieces.MODEL)
+    rng = np.random.default_rng(1)
+    known = ["".join(rng.choice(list("etaoinshr"), n)) for n in (1, 2, 3, 5, 8, 8, 13, 30, 60)] + ["international", "the", "çé▁"]
+    block = next(blocks(pa.array([" ".join(rng.choice(known, 200)) for _ in range(5)] + [""])))
+    names = np.arange(6, dtype=np.uint64)
+    ids, counts = pieces.encode_block(vocab, block, names, 0.1, 3)
+    monkeypatch.setattr(pieces, "_skipping", lambda seen, back, key, dropout: np.arange(len(back)))
+    all_ids, all_counts = pieces.encode_block(vocab, block, names, 0.1, 3)
+    assert np.array_equal(ids, all_ids) and np.array_equal(counts, all_counts)
+
+
 def test_rows_equal_agenda():
     vocab = pieces.read_model(pieces.MODEL)
     rng = np.random.default_rng(0)
