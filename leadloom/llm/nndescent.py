@@ -5,7 +5,8 @@ hyperplanes, in which neighbouring rows are compared, and is refined by joining
 neighbours until few lists change.  A list whose every entry passes the threshold is saturated; it is
 enlarged to all saturated vectors of the label by products of blocks, which count links and give one
 representative of each linked set, and leave out pairs of blocks too far apart for a link.  Recall is
-audited against brute force on a few vectors; below ``RECALL`` the lists are doubled and refined again.
+audited against brute force on as many vectors as show ``LINKS`` links; below ``RECALL`` the lists are
+doubled and refined again, and if that does not reach it either, blocks of all vectors give all links.
 Links are decided by cosines in double precision.
 """
 
@@ -24,8 +25,8 @@ from .store import small_batches, stored
 
 THRESHOLD, NEIGHBOURS, ORDERS, ROUNDS = 0.93, 16, 5, 5
 CHUNK, OVERLAP, BLOCK = 256, 128, 512
-#: The audit: at most about so many vectors, the recall it asks for, enlargements of all lists at most.
-AUDIT, RECALL, ENLARGEMENTS = 200, 0.98, 2
+#: The audit: vectors of its first slice, true links it must see, the recall it asks for; enlargements of all lists before blocks.
+AUDIT, LINKS, RECALL, ENLARGEMENTS = 200, 200, 0.98, 2
 _NEAR = 1e-4  # float32 sums may be off by less
 
 
@@ -232,12 +233,28 @@ def _double(dims: int):
 
 
 def _audited(vectors: DataFrame, links: DataFrame, full: DataFrame, dims: int, threshold: float) -> float:
-    """The share of the links of some unsaturated vectors, by brute force, that ``links`` holds."""
-    n = vectors.count()
+    """The share of the links of some unsaturated vectors, by brute force, that ``links`` holds.
+
+    Slices of growing size, up to a bound that the driver holds, go on until ``LINKS`` true links are seen or no vector is left.
+    """
     place = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 20))
-    some = vectors.join(full, "node", "left_anti").where(place < (1 << 20) * min(1.0, AUDIT / max(n, 1))).limit(4 * AUDIT).select("node", "label", "exact").toArrow()
+    each = (1 << 20) / max(vectors.count(), 1)
+    low, width, n, hits = 0, AUDIT, 0, 0
+    while n < LINKS and low < 1 << 20:
+        high = low + max(1, round(width * each))
+        seen = _slice_links(vectors, vectors.join(full, "node", "left_anti").where((place >= low) & (place < high)), dims, threshold)
+        if seen is not None:
+            got = seen.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
+            n, hits = n + got["n"], hits + got["hits"]
+        low, width = high, min(4 * width, 16 * AUDIT)
+    return 1.0 if not n else hits / n
+
+
+def _slice_links(vectors: DataFrame, some: DataFrame, dims: int, threshold: float) -> DataFrame | None:
+    """All links of the vectors ``some``, by brute force."""
+    some = some.select("node", "label", "exact").toArrow()
     if not some.num_rows:
-        return 1.0
+        return None
     ids, labels = some.column("node").to_numpy(), some.column("label").to_numpy()
     v = _vectors(some.column("exact").combine_chunks(), dims, np.float64)
 
@@ -249,9 +266,7 @@ def _audited(vectors: DataFrame, links: DataFrame, full: DataFrame, dims: int, t
                 i, j = np.nonzero((s >= threshold) & (labels[:, None] == other[None, :]) & (ids[:, None] != own[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], own[j])), pa.array(np.maximum(ids[i], own[j]))], names=["a", "b"])
 
-    true = vectors.select("node", "label", "exact").mapInArrow(run, "a long, b long").distinct()
-    got = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return 1.0 if not got["n"] else got["hits"] / got["n"]
+    return vectors.select("node", "label", "exact").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -294,14 +309,22 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBO
         exact = vectors.select("node", "exact")
         both = pairs.join(exact.select(F.col("node").alias("a"), F.col("exact").alias("ea")), "a").join(exact.select(F.col("node").alias("b"), F.col("exact").alias("eb")), "b")
         links = stored(both.mapInArrow(_double(dims), "a long, b long, cosine double").where(F.col("cosine") >= threshold).select("a", "b"), "descent-links")
-        if enlargement == ENLARGEMENTS or _audited(vectors, links, full, dims, threshold) >= RECALL:
+        enough = _audited(vectors, links, full, dims, threshold) >= RECALL
+        if enough:
             break
         k *= 2
     # Saturated vectors: all their links with each other, by blocks; with others, by the others' lists.
-    inner = links.join(full.withColumnRenamed("node", "a"), "a", "left_semi").join(full.withColumnRenamed("node", "b"), "b", "left_semi")
-    groups = components(inner, "descent-groups")
-    packed = vectors.join(full, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    packed = packed.repartitionByRange(places, "label", "component", "node").sortWithinPartitions("label", "component", "node")
+    order = ["label", "component", "node"]
+    if not enough:
+        # Lists that miss links even so decide nothing: all vectors count as saturated, in blocks by direction.
+        full = vectors.select("node")
+        packed = vectors.mapInArrow(_coded(dims, 0), "node long, label long, vec binary, exact binary, code long").withColumn("component", F.lit(0).cast("long"))
+        order.insert(2, "code")
+    else:
+        inner = links.join(full.withColumnRenamed("node", "a"), "a", "left_semi").join(full.withColumnRenamed("node", "b"), "b", "left_semi")
+        groups = components(inner, "descent-groups")
+        packed = vectors.join(full, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    packed = packed.repartitionByRange(places, *order).sortWithinPartitions(*order)
     blocks = stored(packed.select("label", "component", "node", "exact").mapInArrow(_blocks(dims), "label long, block long, nodes binary, vectors binary, mean array<double>, angle double"), "descent-blocks")
     one, two = blocks.alias("x"), blocks.alias("y")
     apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.aggregate(F.zip_with("x.mean", "y.mean", lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c))))

@@ -1,5 +1,6 @@
 import numpy as np
 
+from leadloom.llm import nndescent
 from leadloom.llm.nndescent import near_vectors
 from tests.llm.conftest import Union
 
@@ -40,6 +41,18 @@ def test_groups_of_all_sizes_and_odd_vectors(spark):
     assert all(r["kept"] == (r["vec_id"] is None or r["vec_id"] == r["component_id"]) for r in out)
 
 
+def test_links_that_descent_loses_are_found_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "AUDIT", 4)
+    monkeypatch.setattr(nndescent, "ENLARGEMENTS", 0)
+    monkeypatch.setattr(nndescent, "_descend", lambda graph, *rest: graph.where("s < 0.5"))
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.standard_normal(16).tolist(), k % 2) for k in range(150)]
+    rows += [(150 + k, (np.array(rows[k // 2][1]) + 0.05 * rng.standard_normal(16)).tolist(), rows[k // 2][2]) for k in range(12)]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((False, r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=str) == brute(rows)
+    assert sum(r["n_links"] for r in out) > 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(df).collect() == []
