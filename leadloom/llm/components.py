@@ -11,35 +11,58 @@ from .store import stored
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """``edges`` (a, b), longs, not null -> (node, component): the smallest node that links reach.
 
-    Each round points every node at its smallest neighbour, follows the pointers for four steps and
-    replaces the ends of links by where they lead; links within one node vanish.  A round leaves less
-    than half the nodes of any component that still has links, so rounds grow with the logarithm of its size.
-    Only whether links are left comes to the driver.  No edges: an empty table.
+    In each round every node points at the neighbour whose hash of that round is smallest.  Such pointers
+    form trees whose roots are pairs that point at each other; the smaller one of a pair is the root.
+    Pointers are followed for four steps, as deep as trees by random orders usually are, and the ends of
+    links are replaced by where they lead.  Every tree holds two nodes or more, so nodes at least halve
+    in a round whatever the order of their numbers is: rounds grow with the logarithm of the size.
+    Only numbers of links come to the driver.  No edges: an empty table.
     """
-    links = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{tag}-links")
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    reached = nodes.withColumn("component", F.col("node"))
-    while True:
-        ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
-        to = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to"))
-        to = stored(to, f"{tag}-pointers")
+    links = stored(_pairs(edges), f"{tag}-links")
+    left, levels = links.count(), []
+    while left:
+        nearest = stored(_nearest(links, len(levels)), f"{tag}-nearest", 2 * left)
+        to = stored(_rooted(nearest), f"{tag}-rooted", 2 * left)
         for _ in range(2):
-            to = _followed(to, to)
-        to = stored(to, f"{tag}-pointers")
-        reached = stored(_moved(reached, "component", to), f"{tag}-reached")
-        links = _moved(_moved(links, "a", to), "b", to)
-        links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{tag}-links")
-        if not links.limit(1).count():
-            return reached
+            to = _followed(to)
+        levels.append(stored(to, f"{tag}-pointers", 2 * left))
+        links = stored(_pairs(_moved(_moved(links, "a", levels[-1]), "b", levels[-1])), f"{tag}-links", left)
+        left = links.count()
+    if not levels:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    reached = levels.pop().select("node", F.col("to").alias("root"))
+    while levels:
+        reached = _moved(levels.pop().select("node", F.col("to").alias("root")), "root", reached.select("node", F.col("root").alias("to")))
+    reached = stored(reached, f"{tag}-reached")
+    least = reached.groupBy("root").agg(F.min("node").alias("component"))
+    return reached.join(least, "root").select("node", "component")
 
 
-def _followed(pointers: DataFrame, by: DataFrame) -> DataFrame:
-    step = by.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
-    return pointers.join(step, F.col("to") == F.col("_n")).select("node", F.col("_t").alias("to"))
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _nearest(links: DataFrame, round_: int) -> DataFrame:
+    """(node, to): the neighbour of the round's smallest hash."""
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    first = F.min(F.struct(F.xxhash64(F.lit(round_), "other").alias("hash"), "other"))
+    return ends.groupBy("node").agg(first.alias("first")).select("node", F.col("first.other").alias("to"))
+
+
+def _rooted(to: DataFrame) -> DataFrame:
+    """Of two that point at each other the smaller points at itself."""
+    step = to.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+    root = (F.col("_t") == F.col("node")) & (F.col("node") < F.col("to"))
+    return to.join(step, F.col("to") == F.col("_n")).select("node", F.when(root, F.col("node")).otherwise(F.col("to")).alias("to"))
+
+
+def _followed(to: DataFrame) -> DataFrame:
+    step = to.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+    return to.join(step, F.col("to") == F.col("_n")).select("node", F.col("_t").alias("to"))
 
 
 def _moved(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
-    """``rows`` with what ``column`` leads to; nodes without links stay."""
+    """``rows`` with what ``column`` leads to; nodes without pointers stay."""
     step = to.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
     moved = rows.join(step, F.col(column) == F.col("_n"), "left").withColumn(column, F.coalesce("_t", column))
     return moved.select(*rows.columns)

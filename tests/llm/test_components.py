@@ -1,5 +1,6 @@
 import numpy as np
 
+from leadloom.llm import components as module
 from leadloom.llm.components import components
 from tests.llm.conftest import Union
 
@@ -19,5 +20,14 @@ def test_paths_stars_and_noise(spark):
     assert {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
+def test_a_sorted_chain_takes_few_rounds(spark, monkeypatch):
+    rounds, own = [], module._nearest
+    monkeypatch.setattr(module, "_nearest", lambda links, k: rounds.append(k) or own(links, k))
+    chain = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
+    out = components(chain)
+    assert out.count() == 10_001 and out.where("component <> 0").count() == 0
+    assert len(rounds) < 20
+
+
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
