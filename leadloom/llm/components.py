@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .store import stored
 
 
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+def components(edges: DataFrame, tag: str = "cc", rows: int | None = None) -> DataFrame:
     """``edges`` (a, b), longs, not null -> (node, component): the smallest node that links reach.
 
     In each round every node points at the neighbour whose hash of that round is smallest.  Such pointers
@@ -16,10 +16,12 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     Pointers are followed for four steps, as deep as trees by random orders usually are, and the ends of
     links are replaced by where they lead.  Every tree holds two nodes or more, so nodes at least halve
     in a round whatever the order of their numbers is: rounds grow with the logarithm of the size.
-    Only numbers of links come to the driver.  No edges: an empty table.
+    Only numbers of links come to the driver.  No edges: an empty table.  ``rows``: about how many edges
+    there are, if known, to write small tables in few tasks.
     """
-    links = stored(_pairs(edges), f"{tag}-links")
+    links = stored(_pairs(edges), f"{tag}-links", rows)
     left, levels = links.count(), []
+    size = 2 * left
     while left:
         nearest = stored(_nearest(links, len(levels)), f"{tag}-nearest", 2 * left)
         to = stored(_rooted(nearest), f"{tag}-rooted", 2 * left)
@@ -33,7 +35,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     reached = levels.pop().select("node", F.col("to").alias("root"))
     while levels:
         reached = _moved(levels.pop().select("node", F.col("to").alias("root")), "root", reached.select("node", F.col("root").alias("to")))
-    reached = stored(reached, f"{tag}-reached")
+    reached = stored(reached, f"{tag}-reached", size)
     least = reached.groupBy("root").agg(F.min("node").alias("component"))
     return reached.join(least, "root").select("node", "component")
 

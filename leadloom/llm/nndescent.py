@@ -1,13 +1,14 @@
 """Near-duplicate embeddings by NN-descent (operator 7).
 
-A graph of each vector's nearest neighbours of its own label starts from a few orders by random
-hyperplanes, in which neighbouring rows are compared, and is refined by joining the neighbours of
-neighbours until few lists change.  A list whose every entry passes the threshold is saturated; it is
-enlarged to all saturated vectors of the label by products of blocks, which count links and give one
-representative of each linked set, and leave out pairs of blocks too far apart for a link.  Recall is
+Equal vectors of a label are one node with a number of copies.  A graph of each node's nearest
+neighbours of its own label starts from a few orders by random hyperplanes, in which neighbouring rows
+are compared, and is refined by joining the neighbours of neighbours until hardly an entry above the
+threshold is new.  A list whose every entry passes the threshold is saturated; it is enlarged to all
+saturated nodes of the label by products of blocks, which count links and give one representative of
+each linked set.  Pairs of blocks too far apart for a link are left out before vectors move.  Recall is
 audited against brute force on as many vectors as show ``LINKS`` links; below ``RECALL`` the lists are
 doubled and refined again, and if that does not reach it either, blocks of all vectors give all links.
-Links are decided by cosines in double precision.
+Links are decided in double precision.
 """
 
 from __future__ import annotations
@@ -21,93 +22,111 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .store import small_batches, stored
+from .store import few, small_batches, stored
 
-THRESHOLD, NEIGHBOURS, ORDERS, ROUNDS = 0.93, 16, 5, 5
-CHUNK, OVERLAP, BLOCK = 256, 128, 512
+THRESHOLD, NEIGHBOURS, ORDERS, ROUNDS = 0.93, 16, 5, 8
+CHUNK, BLOCK, SUPER = 256, 512, 256
 #: The audit: vectors of its first slice, true links it must see, the recall it asks for; enlargements of all lists before blocks.
-AUDIT, LINKS, RECALL, ENLARGEMENTS = 200, 200, 0.98, 2
+AUDIT, LINKS, RECALL, ENLARGEMENTS = 400, 200, 0.98, 2
 _NEAR = 1e-4  # float32 sums may be off by less
 
 
 def _vectors(column: pa.Array, dims: int, kind=np.float32) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), kind).reshape(-1, dims)
+    """Rows of a binary column of equal lengths, read from its buffer at once."""
+    if not len(column):
+        return np.zeros((0, dims), kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(-1, dims)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A matrix as a binary column, a row each."""
+    width = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _planes(dims: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dims, 24)).astype(np.float32)
+
+
+_POWERS = 1 << np.arange(23, -1, -1)
 
 
 def _unit(dims: int):
-    """Rows (node, label, x: array<double>) -> unit vectors as bytes, in float32 and in double."""
+    """Rows (node, label, copies, x: array<double>) -> unit vectors as bytes, in float32 and in double."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out32, out64, keep = [], [], []
-            for k, x in enumerate(batch.column("x").to_pylist()):
-                v = np.zeros(dims)
-                v[: len(x)] = x
-                top = np.abs(v).max(initial=0.0)
-                if top > 0:
-                    v /= top
-                    v /= np.sqrt((v * v).sum())
-                    keep.append(k)
-                    out32.append(v.astype(np.float32).tobytes())
-                    out64.append(v.tobytes())
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("label"), pa.array(out32, pa.binary()), pa.array(out64, pa.binary())], names=["node", "label", "vec", "exact"])
+            x = batch.column("x")
+            counts = np.diff(x.offsets.to_numpy())
+            values = x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()]
+            v = np.zeros((len(counts), dims))
+            v[np.repeat(np.arange(len(counts)), counts), np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)] = values
+            v /= np.maximum(np.abs(v).max(axis=1, keepdims=True), np.finfo(float).tiny)
+            v /= np.sqrt(np.maximum((v * v).sum(axis=1, keepdims=True), np.finfo(float).tiny))
+            own = [batch.column(c) for c in ("node", "label", "copies")]
+            yield pa.RecordBatch.from_arrays([*own, _binary(v.astype(np.float32)), _binary(v)], names=["node", "label", "copies", "vec", "exact"])
 
     return run
 
 
-def _coded(dims: int, seed: int):
-    """Adds the signs of projections on 24 random hyperplanes as one number."""
-    planes = np.random.default_rng(seed).standard_normal((dims, 24)).astype(np.float32)
-    powers = 1 << np.arange(23, -1, -1)
+def _coded(dims: int, seeds: list[int], names: list[str]):
+    """Adds, for each seed, the signs of projections on 24 random hyperplanes as one number: a row for each."""
+    planes = [_planes(dims, s) for s in seeds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = (_vectors(batch.column("vec"), dims) @ planes > 0) @ powers if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64))], names=[*batch.schema.names, "code"])
+            v = _vectors(batch.column("vec"), dims)
+            for t, p in enumerate(planes):
+                code = (v @ p > 0) @ _POWERS
+                turn = pa.array(np.full(len(v), t, np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), turn, pa.array(code.astype(np.int64))], names=[*names, "turn", "code"])
 
     return run
 
 
-def _best(nodes: np.ndarray, labels: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
-    s = v @ v.T
-    s[(labels[:, None] != labels[None, :]) | (nodes[:, None] == nodes[None, :])] = -2
+def _best(nodes: np.ndarray, labels: np.ndarray, v: np.ndarray, k: int, own: slice) -> pa.RecordBatch:
+    """The ``k`` nearest of the rows ``own`` among all rows given."""
+    s = v[own] @ v.T
+    s[(labels[own, None] != labels[None, :]) | (nodes[own, None] == nodes[None, :])] = -2
     kk = min(k, len(nodes))
     at = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-    own = np.repeat(np.arange(len(nodes)), kk)
-    sim = s[own, at.ravel()]
+    row = np.repeat(np.arange(len(s)), kk)
+    sim = s[row, at.ravel()]
     ok = sim > -2
-    return pa.RecordBatch.from_arrays([pa.array(nodes[own][ok]), pa.array(nodes[at.ravel()][ok]), pa.array(sim[ok].astype(np.float32))], names=["u", "v", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own][row][ok]), pa.array(nodes[at.ravel()][ok]), pa.array(sim[ok].astype(np.float32))], names=["u", "v", "s"])
 
 
 def _neighbouring(dims: int, k: int):
-    """Sorted rows -> each row's nearest ones within overlapping chunks."""
+    """Sorted rows -> each row's nearest ones among those around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, labels, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dims), np.float32)
-        fresh = 0
+        begin, edge = 0, CHUNK // 4  # the first row that has no list yet; rows that a row sees on each side at least
         for batch in batches:
-            if not batch.num_rows:
-                continue
             nodes = np.concatenate([nodes, batch.column("node").to_numpy()])
             labels = np.concatenate([labels, batch.column("label").to_numpy()])
             v = np.concatenate([v, _vectors(batch.column("vec"), dims)])
-            fresh += batch.num_rows
             while len(nodes) >= CHUNK:
-                yield _best(nodes[:CHUNK], labels[:CHUNK], v[:CHUNK], k)
-                step = CHUNK - OVERLAP
-                nodes, labels, v = nodes[step:], labels[step:], v[step:]
-        if len(nodes):
-            yield _best(nodes, labels, v, k)
+                yield _best(nodes[:CHUNK], labels[:CHUNK], v[:CHUNK], k, slice(begin, CHUNK - edge))
+                begin = edge
+                nodes, labels, v = (x[CHUNK - 2 * edge :] for x in (nodes, labels, v))
+        if begin < len(nodes):
+            yield _best(nodes, labels, v, k, slice(begin, len(nodes)))
 
     return run
 
 
+_EDGE = "u long, v long, s float"
+
+
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each node; ``fresh`` only where every mention is."""
-    each = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+    """The ``k`` nearest of each node by ``place``; ``fresh`` only where every mention is.  ``floor``: what a better one must pass."""
+    each = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    own = Window.partitionBy("u")
+    placed = each.withColumn("place", F.row_number().over(own.orderBy(F.desc("s"), "v"))).where(F.col("place") <= k)
+    return placed.withColumn("floor", F.when(F.count("*").over(own) >= k, F.min("s").over(own)).otherwise(F.lit(-2.0)).cast("float"))
 
 
 def _local_join(dims: int):
@@ -144,85 +163,140 @@ def _local_join(dims: int):
     return run
 
 
-_EDGE = "u long, v long, s float"
-
-
-def _descend(graph: DataFrame, vectors: DataFrame, dims: int, k: int, rounds: int) -> DataFrame:
-    """Refine the lists until fewer than one in a hundred entries is new."""
-    for step in range(rounds):
-        floors = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-        back = graph.select(F.col("v").alias("w"), F.col("u").alias("node"), "fresh")
+def _descend(graph: DataFrame, vectors: DataFrame, dims: int, k: int, size: int, near: float) -> DataFrame:
+    """Refine the lists until fewer than one in two hundred of the entries of at least ``near`` is new."""
+    for step in range(ROUNDS):
+        floors = graph.where("place = 1").select(F.col("u").alias("node"), "floor")
+        known = vectors.select("node", "vec").join(floors, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0).cast("float")))
         # Of a list's reverse entries a hash of the round takes as many as the list holds.
         order = Window.partitionBy("w").orderBy(F.desc("fresh"), F.xxhash64("node", F.lit(step)))
-        back = back.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
-        near = graph.select(F.col("u").alias("w"), F.col("v").alias("node"), "fresh").union(back).groupBy("w", "node").agg(F.max("fresh").alias("fresh"))
-        members = near.join(floors.withColumnRenamed("u", "node"), "node").join(vectors.select("node", "vec"), "node")
+        back = graph.select(F.col("v").alias("w"), F.col("u").alias("node"), "fresh")
+        back = back.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k).drop("turn")
+        members = graph.select(F.col("u").alias("w"), F.col("v").alias("node"), "fresh").union(back).join(known, "node")
         groups = members.groupBy("w").agg(F.collect_list(F.struct("node", "floor", "fresh", "vec")).alias("members"))
-        better = groups.mapInArrow(_local_join(dims), _EDGE)
-        old = graph.withColumn("fresh", F.lit(False))
-        graph = stored(_nearest(old.union(better.withColumn("fresh", F.lit(True)).select(*old.columns)), k), "descent")
-        sizes = graph.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
-        if sizes["fresh"] * 100 < sizes["n"]:
+        better = few(groups, size // k, 2000).mapInArrow(_local_join(dims), _EDGE).withColumn("fresh", F.lit(True))
+        old = graph.select("u", "v", "s", F.lit(False).alias("fresh"))
+        graph = stored(_nearest(old.union(better), k), "descent", size)
+        sizes = graph.where(F.col("s") >= near).agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
+        if sizes["fresh"] * 200 <= sizes["n"]:
             break
     return graph
 
 
 def _blocks(dims: int):
-    """Sorted saturated rows -> blocks of one label with their mean direction and the widest angle from it."""
+    """Rows sorted by (label, component) -> blocks of one component with their mean direction and the widest angle from it."""
 
-    def give(label, nodes, v):
+    def give(label, nodes, copies, v):
         mean = v.mean(axis=0)
         mean /= max(np.sqrt((mean * mean).sum()), 1e-300)
         angle = float(np.arccos(np.clip(v @ mean, -1, 1)).max())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([label], pa.int64()), pa.array([int(nodes[0])]), pa.array([nodes.tobytes()]), pa.array([v.tobytes()]), pa.array([mean.tolist()]), pa.array([angle])],
-            names=["label", "block", "nodes", "vectors", "mean", "angle"],
-        )
+        cells = [[label], [int(nodes[0])], [nodes.tobytes()], [copies.tobytes()], [v.tobytes()], [mean.tobytes()], [angle]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["label", "block", "nodes", "copies", "vectors", "mean", "angle"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = [*(batch.column(c).to_numpy() for c in ("label", "component", "node", "copies")), _vectors(batch.column("exact"), dims, np.float64)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            ends = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+            a = 0
+            for b in [*ends.tolist(), len(held[0])]:
+                while b - a >= BLOCK or (b < len(held[0]) and b > a):
+                    c = min(b, a + BLOCK)
+                    yield give(int(held[0][a]), held[2][a:c], held[3][a:c], held[4][a:c])
+                    a = c
+            held = [x[a:] for x in held]
+        if held is not None and len(held[0]):
+            yield give(int(held[0][0]), held[2], held[3], held[4])
+
+    return run
+
+
+def _supers(dims: int):
+    """Rows (label, block, mean, angle), labels together -> up to ``SUPER`` of one label in a row."""
+
+    def give(label, blocks, means, angles):
+        cells = [[label], [int(blocks[0])], [blocks.tobytes()], [means.tobytes()], [angles.tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["label", "super", "blocks", "means", "angles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, v = None, [], []
         for batch in batches:
-            x = _vectors(batch.column("exact"), dims, np.float64) if batch.num_rows else None
-            for k, (label, component, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", "component", "node")))):
-                if nodes and (key != (label, component) or len(nodes) == BLOCK):
-                    yield give(key[0], np.array(nodes), np.array(v))
-                    nodes, v = [], []
-                key = (label, component)
-                nodes.append(node)
-                v.append(x[k])
-        if nodes:
-            yield give(key[0], np.array(nodes), np.array(v))
+            label, block, angle = (batch.column(c).to_numpy() for c in ("label", "block", "angle"))
+            mean = _vectors(batch.column("mean"), dims, np.float64)
+            ends = np.flatnonzero(label[1:] != label[:-1]) + 1
+            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(label)]):
+                for c in range(a, b, SUPER):
+                    d = min(b, c + SUPER)
+                    yield give(int(label[c]), block[c:d], mean[c:d], angle[c:d])
+
+    return run
+
+
+def _near_blocks(dims: int, threshold: float):
+    """Pairs of such rows -> (block, other): the blocks that may hold a link, each pair once."""
+    widest = float(np.arccos(threshold)) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cell = lambda name, kind: np.frombuffer(batch.column(name)[k].as_buffer(), kind)
+                a, b = cell("blocks", np.int64), cell("other_blocks", np.int64)
+                x, y = cell("means", np.float64).reshape(-1, dims), cell("other_means", np.float64).reshape(-1, dims)
+                apart = np.arccos(np.clip(x @ y.T, -1, 1)) - cell("angles", np.float64)[:, None] - cell("other_angles", np.float64)[None, :]
+                i, j = np.nonzero((apart <= widest) & ((a[:, None] <= b[None, :]) | (a[0] != b[0])))
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], names=["block", "other"])
 
     return run
 
 
 def _block_links(dims: int, threshold: float):
     """Pairs of blocks -> (node, links in the other block, the smallest node that these links reach)."""
+    big = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in ("nodes", "other_nodes"))
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.float64).reshape(-1, dims) for c in ("vectors", "other_vectors"))
+                cell = lambda name, kind: np.frombuffer(batch.column(name)[k].as_buffer(), kind)
+                a, b, m, n = (cell(c, np.int64) for c in ("nodes", "other_nodes", "copies", "other_copies"))
+                x, y = (cell(c, np.float64).reshape(-1, dims) for c in ("vectors", "other_vectors"))
                 linked = x @ y.T >= threshold
                 if a[0] == b[0]:
                     np.fill_diagonal(linked, False)
                 one, two = a.copy(), b.copy()
-                big = np.iinfo(np.int64).max
                 while True:
                     new_two = np.minimum(two, np.where(linked, one[:, None], big).min(axis=0))
                     new_one = np.minimum(one, np.where(linked, new_two[None, :], big).min(axis=1))
                     if np.array_equal(new_one, one) and np.array_equal(new_two, two):
                         break
                     one, two = new_one, new_two
-                rows = [(a, linked.sum(axis=1), one)] if a[0] == b[0] else [(a, linked.sum(axis=1), one), (b, linked.sum(axis=0), two)]
-                node, n, top = (np.concatenate([r[c] for r in rows]) for c in range(3))
-                ok = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(n[ok].astype(np.int64)), pa.array(top[ok])], names=["node", "n", "top"])
+                rows = [(a, linked @ n, one)] if a[0] == b[0] else [(a, linked @ n, one), (b, m @ linked, two)]
+                node, links, top = (np.concatenate([r[c] for r in rows]) for c in range(3))
+                ok = links > 0
+                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(links[ok].astype(np.int64)), pa.array(top[ok])], names=["node", "n", "top"])
 
     return run
 
 
+def _dense(packed: DataFrame, dims: int, threshold: float, size: int) -> DataFrame:
+    """(node, n, top) of the links among ``packed`` (label, component, node, copies, exact), sorted by (label, component)."""
+    shape = "label long, block long, nodes binary, copies binary, vectors binary, mean binary, angle double"
+    blocks = stored(few(packed.select("label", "component", "node", "copies", "exact"), size, 8192).mapInArrow(_blocks(dims), shape), "descent-blocks")
+    shape = "label long, super long, blocks binary, means binary, angles binary"
+    supers = stored(blocks.select("label", "block", "mean", "angle").mapInArrow(_supers(dims), shape), "descent-supers", size)
+    # Which pairs are near is known from numbers and means alone; vectors are fetched for those.
+    slim = supers.select("label", "super")
+    listed = slim.join(slim.select("label", F.col("super").alias("other_super")), "label").where(F.col("super") <= F.col("other_super")).drop("label")
+    means = listed.join(supers.drop("label"), "super").join(_other(supers.drop("label")), "other_super")
+    near = stored(few(means.drop("super", "other_super"), size, 8192).mapInArrow(_near_blocks(dims, threshold), "block long, other long"), "descent-near")
+    own = blocks.select("block", "nodes", "copies", "vectors")
+    pairs = near.join(own, "block").join(_other(own).withColumnRenamed("other_block", "other"), "other").drop("block", "other")
+    return stored(few(pairs, size, 4000).mapInArrow(_block_links(dims, threshold), "node long, n long, top long"), "descent-dense")
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"other_{c}") for c in rows.columns))
+
+
 def _double(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,26 +306,26 @@ def _double(dims: int):
     return run
 
 
-def _audited(vectors: DataFrame, links: DataFrame, full: DataFrame, dims: int, threshold: float) -> float:
+def _audited(vectors: DataFrame, size: int, links: DataFrame, full: DataFrame, dims: int, threshold: float) -> float:
     """The share of the links of some unsaturated vectors, by brute force, that ``links`` holds.
 
     Slices of growing size, up to a bound that the driver holds, go on until ``LINKS`` true links are seen or no vector is left.
     """
     place = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 20))
-    each = (1 << 20) / max(vectors.count(), 1)
+    each = (1 << 20) / max(size, 1)
     low, width, n, hits = 0, AUDIT, 0, 0
     while n < LINKS and low < 1 << 20:
         high = low + max(1, round(width * each))
-        seen = _slice_links(vectors, vectors.join(full, "node", "left_anti").where((place >= low) & (place < high)), dims, threshold)
+        seen = _slice_links(vectors, vectors.where((place >= low) & (place < high)).join(full, "node", "left_anti"), dims, threshold)
         if seen is not None:
             got = seen.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
             n, hits = n + got["n"], hits + got["hits"]
-        low, width = high, min(4 * width, 16 * AUDIT)
+        low, width = high, min(4 * width, 3200)
     return 1.0 if not n else hits / n
 
 
 def _slice_links(vectors: DataFrame, some: DataFrame, dims: int, threshold: float) -> DataFrame | None:
-    """All links of the vectors ``some``, by brute force."""
+    """All links of the vectors ``some``, by brute force; those between two of them twice."""
     some = some.select("node", "label", "exact").toArrow()
     if not some.num_rows:
         return None
@@ -260,13 +334,23 @@ def _slice_links(vectors: DataFrame, some: DataFrame, dims: int, threshold: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                s = v @ _vectors(batch.column("exact"), dims, np.float64).T
-                own, other = batch.column("node").to_numpy(), batch.column("label").to_numpy()
-                i, j = np.nonzero((s >= threshold) & (labels[:, None] == other[None, :]) & (ids[:, None] != own[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], own[j])), pa.array(np.maximum(ids[i], own[j]))], names=["a", "b"])
+            s = v @ _vectors(batch.column("exact"), dims, np.float64).T
+            own, other = batch.column("node").to_numpy(), batch.column("label").to_numpy()
+            i, j = np.nonzero((s >= threshold) & (labels[:, None] == other[None, :]) & (ids[:, None] != own[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], own[j])), pa.array(np.maximum(ids[i], own[j]))], names=["a", "b"])
+
+    return vectors.select("node", "label", "exact").mapInArrow(run, "a long, b long")
+
 
-    return vectors.select("node", "label", "exact").mapInArrow(run, "a long, b long").distinct()
+def _links(graph: DataFrame, vectors: DataFrame, dims: int, threshold: float, size: int) -> DataFrame:
+    """(a, b), a < b: the entries of the lists that are links; those near the threshold are decided in doubles."""
+    close = graph.where(F.col("s") >= threshold - _NEAR).groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("s").alias("s"))
+    close = stored(close, "descent-pairs", size)
+    exact = vectors.select("node", "exact")
+    both = close.where(F.col("s") < threshold + _NEAR).select("a", "b").join(exact.select(F.col("node").alias("a"), F.col("exact").alias("ea")), "a")
+    both = both.join(exact.select(F.col("node").alias("b"), F.col("exact").alias("eb")), "b")
+    decided = few(both, size).mapInArrow(_double(dims), "a long, b long, cosine double").where(F.col("cosine") >= threshold).select("a", "b")
+    return stored(close.where(F.col("s") >= threshold + _NEAR).select("a", "b").union(decided), "descent-links", size)
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -280,36 +364,34 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBO
     small_batches(rows.sparkSession)
     x = F.col("embedding").cast("array<double>")
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
-    ids = stored(
-        rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.col("label").cast("string")).alias("label"), F.when(usable, x).alias("x")).withColumn("node", F.monotonically_increasing_id()),
-        "descent-rows",
-    )
-    dims = ids.agg(F.max(F.size("x"))).first()[0] or 0
-    plain = ids.select("vec_id", "node")
-    if dims <= 0:
-        return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    vectors = stored(ids.where("x is not null").select("node", "label", "x").mapInArrow(_unit(dims), "node long, label long, vec binary, exact binary"), "descent-vectors")
-    n = vectors.count()
-    places = max(1, n // 8192)
-    shape = "node long, label long, vec binary, code long"
+    usable = usable & F.coalesce(F.exists(x, lambda c: c != 0), F.lit(False))
+    ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.col("label").cast("string")).alias("label"), F.when(usable, x).alias("x"))
+    ids = ids.select("*", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(7), "x").alias("k2"), F.monotonically_increasing_id().alias("row"))
+    ids = stored(ids, "descent-rows")
+    sizes = ids.agg(F.max(F.size("x")).alias("dims"), F.count("x").alias("n")).first()
+    dims, n = sizes["dims"] or 0, sizes["n"]
+    if not n:
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    key = ["label", "k1", "k2"]
+    used = ids.where("x is not null")
+    nodes = stored(used.groupBy(*key).agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "descent-nodes", n)
+    firsts = ids.select(F.col("row").alias("node"), "x").join(nodes.select("node", "label", "copies"), "node")
+    vectors = few(firsts.select("node", "label", "copies", "x"), n, 4000).mapInArrow(_unit(dims), "node long, label long, copies long, vec binary, exact binary")
+    vectors = stored(vectors, "descent-vectors")
+    near = threshold - _NEAR
     graph = None
     for enlargement in range(ENLARGEMENTS + 1):
-        found = []
-        for t in range(ORDERS):
-            coded = vectors.select("node", "label", "vec").mapInArrow(_coded(dims, 100 * enlargement + t), shape)
-            ordered = coded.repartitionByRange(places, "label", "code", "node").sortWithinPartitions("label", "code", "node")
-            found.append(ordered.select("node", "label", "vec").mapInArrow(_neighbouring(dims, k), _EDGE).withColumn("fresh", F.lit(True)))
-        for f in found:
-            graph = f if graph is None else graph.union(f.select(*graph.columns))
-        graph = _descend(stored(_nearest(graph, k), "descent"), vectors, dims, k, ROUNDS)
-        lists = graph.groupBy("u").agg(F.count_if(F.col("s") >= threshold - _NEAR).alias("near"))
-        full = stored(lists.where(F.col("near") >= k).select(F.col("u").alias("node")), "descent-full")
-        close = graph.where(F.col("s") >= threshold - _NEAR)
-        pairs = stored(close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "descent-pairs")
-        exact = vectors.select("node", "exact")
-        both = pairs.join(exact.select(F.col("node").alias("a"), F.col("exact").alias("ea")), "a").join(exact.select(F.col("node").alias("b"), F.col("exact").alias("eb")), "b")
-        links = stored(both.mapInArrow(_double(dims), "a long, b long, cosine double").where(F.col("cosine") >= threshold).select("a", "b"), "descent-links")
-        enough = _audited(vectors, links, full, dims, threshold) >= RECALL
+        seeds = [100 * enlargement + t for t in range(ORDERS)]
+        coded = vectors.select("node", "label", "vec").mapInArrow(_coded(dims, seeds, ["node", "label", "vec"]), "node long, label long, vec binary, turn int, code long")
+        order = ["turn", "label", "code", "node"]
+        ordered = coded.repartitionByRange(max(1, n * ORDERS // 16384), *order).sortWithinPartitions(*order)
+        found = few(ordered.select("node", "label", "vec"), n * ORDERS, 8192).mapInArrow(_neighbouring(dims, k), _EDGE).withColumn("fresh", F.lit(True))
+        if graph is not None:
+            found = graph.select("u", "v", "s", "fresh").union(found)
+        graph = _descend(stored(_nearest(found, k), "descent", n * k), vectors, dims, k, n * k, near)
+        full = stored(graph.where((F.col("place") == k) & (F.col("s") >= near)).select(F.col("u").alias("node")), "descent-full", n)
+        links = _links(graph, vectors, dims, threshold, n)
+        enough = _audited(vectors, n, links, full, dims, threshold) >= RECALL
         if enough:
             break
         k *= 2
@@ -318,30 +400,30 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBO
     if not enough:
         # Lists that miss links even so decide nothing: all vectors count as saturated, in blocks by direction.
         full = vectors.select("node")
-        packed = vectors.mapInArrow(_coded(dims, 0), "node long, label long, vec binary, exact binary, code long").withColumn("component", F.lit(0).cast("long"))
+        names = ["node", "label", "copies", "exact"]
+        coded = vectors.mapInArrow(_coded(dims, [0], names), "node long, label long, copies long, exact binary, turn int, code long")
+        packed = coded.select(*names, F.lit(0).cast("long").alias("component"), "code")
         order.insert(2, "code")
     else:
         inner = links.join(full.withColumnRenamed("node", "a"), "a", "left_semi").join(full.withColumnRenamed("node", "b"), "b", "left_semi")
-        groups = components(inner, "descent-groups")
+        groups = components(inner, "descent-groups", n)
         packed = vectors.join(full, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    packed = packed.repartitionByRange(places, *order).sortWithinPartitions(*order)
-    blocks = stored(packed.select("label", "component", "node", "exact").mapInArrow(_blocks(dims), "label long, block long, nodes binary, vectors binary, mean array<double>, angle double"), "descent-blocks")
-    one, two = blocks.alias("x"), blocks.alias("y")
-    apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.aggregate(F.zip_with("x.mean", "y.mean", lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c))))
-    near = one.join(two, (F.col("x.label") == F.col("y.label")) & (F.col("x.block") <= F.col("y.block")) & (apart - F.col("x.angle") - F.col("y.angle") <= float(np.arccos(threshold)) + 1e-6))
-    pairs_of_blocks = near.select("x.nodes", "x.vectors", F.col("y.nodes").alias("other_nodes"), F.col("y.vectors").alias("other_vectors")).repartition(F.xxhash64("nodes", "other_nodes"))
-    dense = stored(pairs_of_blocks.mapInArrow(_block_links(dims, threshold), "node long, n long, top long"), "descent-dense")
+    packed = packed.repartitionByRange(max(1, n // 8192), *order).sortWithinPartitions(*order)
+    dense = _dense(packed, dims, threshold, n)
     outer = _outer(links, full)
-    ends = outer.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("n")).union(outer.select("b", F.lit(1).cast("long"))).union(dense.select("node", "n"))
-    counts = ends.groupBy("node").agg(F.sum("n").alias("n_links"))
-    reached = components(outer.union(dense.where("node <> top").select("node", "top")), "descent-all")
-    named = reached.join(plain, "node")
-    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = plain.join(counts, "node", "left").join(reached.join(least, "component").select("node", "component_id"), "node", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
-    )
+    several = nodes.where("copies > 1").select(F.col("node").alias("other"), "copies")
+    ends = outer.select(F.col("a").alias("node"), F.col("b").alias("other")).union(outer.select("b", "a")).join(several, "other", "left")
+    ends = ends.select("node", F.coalesce("copies", F.lit(1)).alias("n")).union(dense.select("node", "n"))
+    counts = ends.groupBy("node").agg(F.sum("n").alias("n"))
+    reached = components(outer.union(dense.where("node <> top").select("node", "top")), "descent-all", n)
+    named = nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")).join(counts, "node", "left")
+    named = stored(named.select(*key, "component", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "descent-named", n)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = named.join(least, "component").select(*key, "n_links", "component_id")
+    out = used.select("vec_id", *key).join(known, key).select("vec_id", "n_links", "component_id")
+    rest = ids.where("x is null").select("vec_id", F.lit(0).cast("long"), "vec_id")
+    component = F.col("component_id")
+    return few(out, n).union(rest).select("vec_id", "n_links", component, F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def _outer(links: DataFrame, full: DataFrame) -> DataFrame:

@@ -26,20 +26,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-#: Rows that a file of a small table holds at least.
-FILE_ROWS = 20_000
+#: Rows that a task of a small table gets at least.
+TASK_ROWS = 20_000
+
+
+def few(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` in no more tasks than its number of ``rows`` asks for, at ``each`` for a task; no shuffle.
+
+    Large tables keep their partitions; small ones do not pay for hundreds of empty tasks.
+    """
+    return df.coalesce(rows // each + 1)
 
 
 def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what is written, and the
-    table's statistics let Spark choose the next joins by size.  ``rows``: about how many there are, if
-    known; the last stage then gets no more tasks than ``FILE_ROWS`` for each asks for.
+    table's statistics let Spark choose the next joins by size.  ``rows``: about how many there are, if known.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(rows // FILE_ROWS + 1)
+        df = few(df, rows)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -45,6 +45,7 @@ def test_links_that_descent_loses_are_found_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "AUDIT", 4)
     monkeypatch.setattr(nndescent, "ENLARGEMENTS", 0)
     monkeypatch.setattr(nndescent, "_descend", lambda graph, *rest: graph.where("s < 0.5"))
+    monkeypatch.setattr(nndescent, "SUPER", 3)
     rng = np.random.default_rng(4)
     rows = [(k, rng.standard_normal(16).tolist(), k % 2) for k in range(150)]
     rows += [(150 + k, (np.array(rows[k // 2][1]) + 0.05 * rng.standard_normal(16)).tolist(), rows[k // 2][2]) for k in range(12)]
@@ -53,6 +54,24 @@ def test_links_that_descent_loses_are_found_by_blocks(spark, monkeypatch):
     assert sum(r["n_links"] for r in out) > 0
 
 
+def test_equal_vectors_and_blocks_of_many(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "BLOCK", 8)
+    monkeypatch.setattr(nndescent, "SUPER", 2)
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(12)
+    rows = [(k, (centre + 0.05 * rng.standard_normal(12)).tolist(), 0) for k in range(60)]
+    rows += [(100 + k, rows[k % 3][1], 0) for k in range(30)] + [(200 + k, rows[4][1], 1) for k in range(3)] + [(300 + k, [0.0] * 12, 0) for k in range(2)]
+    rows += [(400, (2 * np.array(rows[5][1])).tolist(), 0), (401, [-c for c in rows[5][1]], 0)]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((False, r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=str) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    rows = [(k, [1.0, 0.1 * k], 0, 7, 8, 9) for k in range(4)]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int, k1 int, copies int")).collect()
+    assert sorted(((False, r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=str) == brute([r[:3] for r in rows])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(df).collect() == []
