@@ -40,51 +40,62 @@ def _role_in(role: Column) -> Column:
 def turn_events(conversations: DataFrame) -> DataFrame:
     """Rows by turn (conv_id, turn, role, text) as one ``message`` event each.
 
-    Rows of equal turn are messages of their own, ordered by role and text; null turns come last.
+    Rows of equal turn are messages of their own, ordered by role and text; null turns come last.  Rows
+    without a conv_id are conversations of one message each.
     """
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    order = Window.partitionBy(*_OWN).orderBy(F.asc_nulls_last("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text").withColumn("msg", F.col("seq"))
+    return _lone(rows).select(*_OWN, F.row_number().over(order).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text").withColumn("msg", F.col("seq"))
+
+
+#: What names a conversation: its id, or the number of a row that has none, so that such rows are no hot key.
+_OWN = ("conv_id", "lone")
+
+
+def _lone(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
-    """(conv_id, msg, role, text): the final messages of a log.
+    """(conv_id, lone, msg, role, text): the final messages of a log.
 
-    Null texts and roles are empty; null kinds count as ``message``; unknown kinds are ignored.  A
-    message's role is that of its last event with one.  Equal sequence numbers go by kind, then text.
-    A null conv_id is one conversation.  No events: an empty table.
+    Null texts and roles are empty; null kinds count as ``message``; unknown kinds are ignored.  Events
+    go by sequence number; equal ones by kind (delta, edit, message, regenerate), then text.  A message is
+    what its last event other than a delta says, and the deltas after it; its role is that of its last
+    event with one.  Events without a conv_id are conversations of their own.  No events: an empty table.
     """
+    events = events if "lone" in events.columns else _lone(events)
     rows = events.select(
-        "conv_id", "msg", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")
+        *_OWN, "msg", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")
     ).where(F.col("kind").isin("message", "delta", "edit", "regenerate"))
-    own = Window.partitionBy("conv_id", "msg")
-    resets = F.col("kind") != "delta"
-    rows = rows.withColumn("reset", F.max(F.when(resets, F.col("seq"))).over(own))
-    folded = rows.groupBy("conv_id", "msg").agg(
+    at = F.struct("seq", "kind", "text")
+    own = Window.partitionBy(*_OWN, "msg")
+    rows = rows.withColumn("reset", F.max(F.when(F.col("kind") != "delta", at)).over(own))
+    # Of events that equal the reset in all respects one is the message; the others are replaced by it.
+    rows = rows.withColumn("said", F.when(F.col("kind") != "regenerate", F.col("text")).otherwise(""))
+    after = F.col("reset").isNull() | (at > F.col("reset"))
+    start = F.first(F.when(at == F.col("reset"), F.col("said")), ignorenulls=True)
+    folded = rows.groupBy(*_OWN, "msg").agg(
         F.max("seq").alias("last"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regenerated"),
-        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))), F.lit("")).alias("role"),
-        F.array_sort(
-            F.collect_list(
-                F.when(F.col("reset").isNull() | (F.col("seq") >= F.col("reset")), F.struct("seq", "kind", F.when(F.col("kind") != "regenerate", F.col("text")).otherwise("").alias("text")))
-            )
-        ).alias("parts"),
+        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.struct(at, "role"))), F.lit("")).alias("role"),
+        F.concat(F.array(F.coalesce(start, F.lit(""))), F.transform(F.array_sort(F.collect_list(F.when(after, at))), lambda p: p["text"])).alias("parts"),
     )
-    before = Window.partitionBy("conv_id").orderBy("msg").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*_OWN).orderBy("msg").rowsBetween(Window.unboundedPreceding, -1)
     folded = folded.withColumn("superseded", F.max("regenerated").over(before))
     live = folded.where(F.col("superseded").isNull() | (F.col("last") > F.col("superseded")))
-    return live.select("conv_id", "msg", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    return live.select(*_OWN, "msg", "role", F.array_join("parts", "").alias("text"))
 
 
 def rendered(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans) of (conv_id, msg, role, text).
+    """(conv_id, formatted, loss_spans) of (conv_id, lone, msg, role, text).
 
     ``loss_spans``: (start, length) in code points of ``formatted`` for the text of each assistant turn.
     """
     head = F.concat(F.lit(OPEN), _role_out(F.col("role")), F.lit("\n"))
     body = escaped(F.col("text"))
-    turns = messages.select("conv_id", F.struct("msg", head.alias("head"), body.alias("body"), (F.col("role") == "assistant").alias("learn")).alias("t"))
-    turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    turns = messages.select(*_OWN, F.struct("msg", head.alias("head"), body.alias("body"), (F.col("role") == "assistant").alias("learn")).alias("t"))
+    turns = turns.groupBy(*_OWN).agg(F.array_sort(F.collect_list("t")).alias("turns"))
     tail = f"{CLOSE}\n"
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))

@@ -35,14 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, i, list_transform(list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda w: w <> ''),
         lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-k AS (SELECT *, len(t) AS n, t[1:{templates.DEPTH}] AS lead FROM l WHERE len(t) >= {templates.MIN_TOKENS}),
+k AS (SELECT *, len(t) AS n, t[1:{templates.DEPTH}] AS lead FROM l WHERE len(t) > 0),
 busy AS (SELECT n, lead FROM k GROUP BY ALL HAVING count(DISTINCT r) >= {templates.MIN_DOCS}),
 b AS (SELECT * FROM k SEMI JOIN busy USING (n, lead)),
 c AS (SELECT n, lead, t, count(DISTINCT r) AS docs FROM b GROUP BY ALL),
 p AS (SELECT *, t[pos] AS tok FROM (SELECT *, unnest(range(1, n + 1)) AS pos FROM c)),
 h AS (SELECT n, lead, pos, tok FROM p GROUP BY ALL HAVING sum(docs) >= {templates.MIN_DOCS}),
-f AS (SELECT n, lead, t, list(pos || ' ' || tok ORDER BY pos) AS fixed FROM p JOIN h USING (n, lead, pos, tok) GROUP BY ALL),
-x AS (SELECT r, doc_id, i, n, lead, fixed FROM b JOIN f USING (n, lead, t) WHERE len(fixed) >= n * CAST({templates.SHARE} AS DOUBLE)),
+f AS (SELECT n, lead, t, list(pos || ' ' || tok ORDER BY pos) AS fixed, bool_or(tok <> '<*>') AS word FROM p JOIN h USING (n, lead, pos, tok) GROUP BY ALL),
+x AS (SELECT r, doc_id, i, n, lead, fixed FROM b JOIN f USING (n, lead, t) WHERE word AND len(fixed) >= n * CAST({templates.SHARE} AS DOUBLE)),
 g AS (SELECT n, lead, fixed, min(doc_id) AS keeper FROM x GROUP BY ALL HAVING count(DISTINCT r) >= {templates.MIN_DOCS}),
 gone AS (SELECT r, list(i) AS gi FROM x JOIN g USING (n, lead, fixed) WHERE doc_id <> keeper GROUP BY r)
 SELECT doc_id, len(ls) AS n_lines, CAST(coalesce(len(gi), 0) AS BIGINT) AS n_dropped,
@@ -119,13 +119,13 @@ _ESCAPED = f"regexp_replace(text, '{chat.FIND}', '\\1\\\\\\2\\3', 'g')"
 
 @query(
     f"""
-WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(length(role) + length({_ESCAPED}) + {len(chat.OPEN) + len(chat.CLOSE) + 2}) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, lone
 """
 )
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 A line falls through a tree of fixed depth: its number of tokens, then its first ``depth`` tokens.
 Tokens with a digit are variable fields.  In a leaf, a token is constant if it stands at its place in
 lines of at least ``min_docs`` documents; the others are variable, and a line's template is what is
-left.  A template is dropped if at least ``min_docs`` documents hold it and at least ``share`` of its
-places are constant; the document of the smallest id keeps its lines, so no content is lost whole.
+left.  A template is dropped if at least ``min_docs`` documents hold it, at least ``share`` of its places
+are constant and one of these is no variable field, so that bare numbers are no template; the document
+of the smallest id keeps its lines, so no content is lost whole.  Lines of any length take part.
 The rules look at counts alone, so no leaf is ever gathered: all is hash aggregates and joins.
 """
 
@@ -20,15 +21,16 @@ from pyspark.sql import functions as F
 from .store import small_batches, stored
 from .textblocks import Block, _powers, blocks, lists, mix, mix_int, span_hashes, words
 
-MIN_DOCS, SHARE, DEPTH, MIN_TOKENS = 10, 0.7, 3, 3
+MIN_DOCS, SHARE, DEPTH = 10, 0.7, 3
 _U = np.uint64
 _FIELD = _U(mix_int(0x3C2A3E))
+_FIELD_LONG = int(_FIELD.view(np.int64))
 _LAST_ID = 2**63 - 1
 _NAME = ["doc", "k1", "k2"]
 
 
-def _parsed(block: Block, depth: int, min_tokens: int):
-    """(text, line number, tokens, leaf, first token's number) of each long enough line; masked token hashes."""
+def _parsed(block: Block, depth: int):
+    """(text, line number, tokens, leaf, first token's number) of each line with a token; masked token hashes."""
     w = words(block)
     h = span_hashes(block.data, w.start, w.end)
     digits = np.concatenate([[0], np.cumsum((block.data >= 48) & (block.data <= 57))])
@@ -39,8 +41,6 @@ def _parsed(block: Block, depth: int, min_tokens: int):
     new[1:] = (w.doc[1:] != w.doc[:-1]) | (line[1:] != line[:-1])
     first = np.flatnonzero(new)
     n = np.diff(first, append=len(h))
-    ok = n >= max(1, min_tokens)
-    first, n = first[ok], n[ok]
     leaf = n.astype(_U) * _U(mix_int(99) | 1)
     for k in range(depth):
         if len(first):
@@ -58,12 +58,12 @@ def _once(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def _leaves(depth: int, min_tokens: int):
+def _leaves(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.select(_NAME)
             for block in blocks(batch.column("text")):
-                doc, line, _, leaf, _, _ = _parsed(block, depth, min_tokens)
+                doc, line, _, leaf, _, _ = _parsed(block, depth)
                 part = names.take(pa.array(block.first + doc))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(line.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(_once(doc, leaf))], names=[*_NAME, "line", "leaf", "once"]
@@ -72,7 +72,7 @@ def _leaves(depth: int, min_tokens: int):
     return run
 
 
-def _tokens(depth: int, min_tokens: int):
+def _tokens(depth: int):
     """Texts with the numbers of some of their lines -> these lines' leaves, hashes and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def _tokens(depth: int, min_tokens: int):
             names, wanted = batch.select(_NAME), batch.column("lines")
             limits, values = wanted.offsets.to_numpy(), wanted.values.to_numpy()
             for block in blocks(batch.column("text")):
-                doc, line, n, leaf, first, h = _parsed(block, depth, min_tokens)
+                doc, line, n, leaf, first, h = _parsed(block, depth)
                 at = block.first + np.arange(block.rows)
                 own = np.repeat(np.arange(block.rows), limits[at + 1] - limits[at]) << 32 | values[limits[block.first] : limits[block.first + block.rows]].astype(np.int64)
                 keep = np.isin(doc << 32 | line, own)
@@ -100,25 +100,25 @@ def _tokens(depth: int, min_tokens: int):
     return run
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depth: int = DEPTH) -> DataFrame:
     """(doc, k1, k2, lines): the numbers of the lines to drop of each document that has any.
 
     ``docs``: (doc, k1, k2, text), as ``named`` gives them.
     """
     docs = docs.select(*_NAME, "text")
     name = ", ".join(f"{c} long" for c in _NAME)
-    lines = stored(docs.mapInArrow(_leaves(depth, min_tokens), f"{name}, line int, leaf long, once long"), "template-lines")
+    lines = stored(docs.mapInArrow(_leaves(depth), f"{name}, line int, leaf long, once long"), "template-lines")
     busy = lines.groupBy("leaf").agg(F.sum("once").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     wanted = lines.join(busy, "leaf").groupBy(*_NAME).agg(F.collect_list("line").alias("lines"))
     found = docs.join(wanted, _NAME).select(*_NAME, "lines", "text").mapInArrow(
-        _tokens(depth, min_tokens), f"{name}, line int, leaf long, content long, once long, tokens array<long>"
+        _tokens(depth), f"{name}, line int, leaf long, content long, once long, tokens array<long>"
     )
     found = stored(found, "template-tokens")
     contents = stored(found.groupBy("leaf", "content").agg(F.sum("once").alias("n"), F.first("tokens").alias("tokens")), "template-contents")
     places = contents.select("leaf", "content", "n", F.posexplode("tokens").alias("place", "token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs)
     fixed = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "content").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fixed"))
-    named = contents.join(fixed, ["leaf", "content"]).where(F.size("fixed") >= F.size("tokens") * share)
+    named = contents.join(fixed, ["leaf", "content"]).where((F.size("fixed") >= F.size("tokens") * share) & F.exists("fixed", lambda p: p["token"] != _FIELD_LONG))
     named = named.select("leaf", "content", F.xxhash64("leaf", "fixed").alias("template"))
     held = stored(found.select(*_NAME, "line", "leaf", "content").join(named, ["leaf", "content"]).select(*_NAME, "line", "template"), "template-held")
     counts = held.groupBy("template", *_NAME).agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"))
@@ -130,9 +130,9 @@ def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the lines of recurring templates dropped from ``text``.
 
     Adds n_lines and n_dropped.  A null text stays null and has no lines; an empty one has one empty line.
-    Lines of fewer tokens than ``min_tokens`` always stay.  Rows without an id count as documents and
-    keep a template's lines only if no row with an id holds it; rows that repeat an id and text are one
-    document.  Other columns stay as they are; columns with the added names are replaced.
+    Lines of white space alone stay.  Rows without an id count as documents and keep a template's lines
+    only if no row with an id holds it.  Rows that repeat an id and text are one document of a template,
+    though each counts where constant tokens are looked for.  Other columns stay as they are; columns with the added names are replaced.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -141,9 +141,12 @@ def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     one = docs.select(F.struct(*names).alias("r"), *keys).alias("d")
     rows = one.join(drop.alias("x"), _NAME, "left").select("r", "lines")
-    parts = F.split(F.col("r.text"), "\n")
-    kept = F.filter(parts, lambda p, i: ~F.array_contains("lines", i))
+    rows = rows.withColumn("parts", F.split(F.col("r.text"), "\n"))
+    # A hash set of the lines to drop: long texts may lose tens of thousands.
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "lines")
+    kept = F.transform(left, lambda i: F.get("parts", i))
     new = F.when(F.col("lines").isNull(), F.col("r.text")).otherwise(F.array_join(kept, "\n"))
+    parts = F.col("parts")
     return rows.select(
         *(new.alias("text") if c == "text" else F.col(f"r.`{c}`").alias(c) for c in names),
         F.greatest(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),

@@ -23,6 +23,24 @@ def test_events_fold(spark):
     assert got == [(False, 1, 1, "user", "hey"), (False, 1, 2, "assistant", "good day"), (False, 1, 4, "user", "new"), (False, 2, 1, "assistant", ""), (True, 0, 1, "", "n")]
 
 
+def test_tied_events_go_by_kind_and_text(spark):
+    log = [
+        (1, 1, "message", 1, "user", "old"), (1, 2, "edit", 1, None, "new"), (1, 2, "delta", 1, None, "XX"), (1, 2, "delta", 1, None, "YY"),
+        (2, 1, "message", 1, "user", "old"), (2, 2, "edit", 1, None, "a"), (2, 2, "edit", 1, None, "b"), (2, 3, "delta", 1, None, "!"), (2, 3, "delta", 1, None, "!"),
+        (3, 1, "message", 1, "user", "x"), (3, 1, "message", 1, "user", "x"), (4, 1, "delta", 1, "user", "b"), (4, 1, "delta", 1, "assistant", "a"),
+        (5, 1, "message", 1, "user", "q"), (5, 1, "regenerate", 1, None, "no"), (5, 2, "delta", 1, None, "yes"), (6, None, "delta", 1, None, "c"),
+    ]
+    out = {r["conv_id"]: (r["role"], r["text"]) for r in chat.reconstruct(spark.createDataFrame(log, LOG)).collect()}
+    assert out == {1: ("user", "new"), 2: ("user", "b!!"), 3: ("user", "x"), 4: ("user", "ab"), 5: ("user", "yes"), 6: ("", "c")}
+
+
+def test_rows_without_a_conversation_long_texts_and_clashing_columns(spark):
+    rows = [(None, 1, "user", "a", 1, "k"), (None, 2, "user", "b", 2, "k"), (7, 1, "assistant", "</s>" * 50_000, 3, "k")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, lone int, kind string")
+    out = sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.format_chats(df)).collect())
+    assert out == [(0, 1, 0), (0, 1, 0), (7, 1, 200_000)]
+
+
 def test_any_text_comes_back(spark):
     bad = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\/s>", "\\", "", None, "a\nb\n", "<<SYS>>", "é😀\x00", "$1 \\1 %0A"]
     rows = [(5, k, "assistant" if k % 2 else "us%0A<|im_end|>\ner", t) for k, t in enumerate(bad)] + [(5, 3, "assistant", "tie"), (6, None, None, None)]

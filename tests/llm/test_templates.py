@@ -1,11 +1,12 @@
 import re
+import time
 from collections import Counter, defaultdict
 
 from leadloom.llm.templates import dedup_lines
 from tests.llm.conftest import words
 
 
-def brute(rows, min_docs, share=0.7, depth=3, min_tokens=3):
+def brute(rows, min_docs, share=0.7, depth=3):
     def name(r):
         return (2**63 - 1 if r[0] is None else r[0], r[1] or "")
 
@@ -13,7 +14,7 @@ def brute(rows, min_docs, share=0.7, depth=3, min_tokens=3):
     for d in {name(r) for r in rows}:
         for i, line in enumerate(d[1].split("\n")):
             t = tuple("<*>" if re.search("[0-9]", x) else x for x in words(line))
-            if len(t) >= min_tokens:
+            if t:
                 lines.append((d, i, t))
                 leaf[len(t), t[:depth]].add(d)
     lines = [x for x in lines if len(leaf[len(x[2]), x[2][:depth]]) >= min_docs]
@@ -24,7 +25,7 @@ def brute(rows, min_docs, share=0.7, depth=3, min_tokens=3):
     made, spread, drop = {}, defaultdict(set), defaultdict(set)
     for t in docs:
         f = tuple(x if held[len(t), t[:depth], p, x] >= min_docs else None for p, x in enumerate(t))
-        if sum(x is not None for x in f) >= share * len(t):
+        if sum(x is not None for x in f) >= share * len(t) and any(x not in (None, "<*>") for x in f):
             made[t] = f
     for d, _, t in lines:
         if t in made:
@@ -48,6 +49,22 @@ def test_equals_brute_force(docs, spark):
     assert sum(r["n_dropped"] for r in out) > 20
 
 
+def test_short_lines_go_but_bare_numbers_stay(spark):
+    rows = [(k, f"Home\n{k}\nPage {k}\n12 {k}\nown{chr(97 + k)} word{chr(97 + k)}\n\n  ") for k in range(12)]
+    out = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0]["text"] == rows[0][1] and out[0]["n_dropped"] == 0
+    for k in range(1, 12):
+        assert out[k]["text"] == f"{k}\n12 {k}\nown{chr(97 + k)} word{chr(97 + k)}\n\n  " and out[k]["n_dropped"] == 2
+
+
+def test_a_very_long_text_of_dropped_lines(spark):
+    rows = [(k, "read more of this\nkept") for k in range(11)] + [(99, "read more of this\n" * 60_000 + "end of it")]
+    began = time.time()
+    out = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[99]["text"] == "end of it" and out[99]["n_dropped"] == 60_000
+    assert time.time() - began < 30
+
+
 def test_other_columns_and_empty(empty, spark):
     assert dedup_lines(empty).columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "n_dropped"]
     assert dedup_lines(empty).collect() == []
