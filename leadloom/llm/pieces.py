@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -345,8 +345,8 @@ def decode_ids(vocab: Pieces, ids: np.ndarray, counts: np.ndarray) -> tuple[np.n
 def _encode(vocab: Pieces, dropout: float, seed: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text")
-            keys = batch.column("_key").to_numpy(zero_copy_only=False)
+            text = batch.column(names.index("text"))
+            keys = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             null = text.is_null().to_numpy(zero_copy_only=False)
             for block in blocks(text, limit=1 << 20):
                 own = slice(block.first, block.first + block.rows)
@@ -368,7 +368,7 @@ def _encode(vocab: Pieces, dropout: float, seed: int, names: list[str]):
                     pa.array(same, pa.bool_(), mask=null[own]),
                 ]
                 part = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, "piece_ids", "n_pieces", "decoded_sha256", "lossless"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), *made], names=[*names, "piece_ids", "n_pieces", "decoded_sha256", "lossless"])
 
     return run
 
@@ -382,18 +382,20 @@ def read_model(path: str) -> Pieces:
         return Pieces.read(f.read())
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``docs`` (doc_id, text, ...) and piece_ids, n_pieces, decoded_sha256 (of the decoded ids), lossless.
 
-    The same row gives the same ids on every run.  A null text gives nulls, an empty one no pieces; a
-    null doc_id counts as one name; columns of ``docs`` that have the added names are replaced, all
-    others stay.  A literal U+2581 and characters outside the model become byte pieces.
+    ``key``: the columns whose values, with the seed, key a row's dropout.  The same row gives the same
+    ids on every run.  A null text gives nulls, an empty one no pieces; nulls in a key count as one
+    value; columns of ``docs`` that have the added names are replaced, all others stay whatever their
+    names are.  A literal U+2581 and characters outside the model become byte pieces.
     """
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ADDED]
     vocab = read_model(model)
-    source = docs.select(*names, F.xxhash64("doc_id").alias("_key"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in source.select(*names).dtypes)
+    own = docs.select(*(F.col(f"`{c}`") for c in names))
+    fields = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
+    source = docs.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(*key).alias("_" * (1 + max(map(len, names)))))  # longer than any other name
     return source.mapInArrow(
         _encode(vocab, dropout, seed, names), f"{fields}, piece_ids array<int>, n_pieces long, decoded_sha256 string, lossless boolean"
     )

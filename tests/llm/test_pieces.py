@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,58 @@ def test_rows_equal_agenda():
         assert [x for x in out[k].tolist() if x != pieces.PAD] == pieces.merge_one(vocab, s.tolist(), int(key[k]), 0.3)
 
 
+def test_input_columns_named_like_the_key(spark):
+    df = spark.createDataFrame([(1, "some words here", 5, "x")], "doc_id long, text string, _key int, ids string")
+    r = pieces.encode(df).first()
+    assert r["_key"] == 5 and r["ids"] == "x" and r["lossless"]
+    assert r["piece_ids"] == pieces.encode(df.select("doc_id", "text")).first()["piece_ids"]
+
+
+def by_hand(vocab, library, text, name, dropout, seed):
+    """Pieces of a text by the definition alone: every chunk's best kept candidate is merged until none is left."""
+
+    def scramble(x):
+        x &= 2**64 - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    known = {library.id_to_piece(i): i for i in range(library.get_piece_size()) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))}
+    base = 0x9E3779B97F4A7C15 | 1
+    out = []
+    for nth, chunk in enumerate(re.findall(r" +[^ ]*|[^ ]+", " " + text)):
+        h, power = 0, 1
+        for c in chunk:
+            h, power = (h + scramble(ord(c) + 1) * power) % 2**64, power * base % 2**64
+        key = scramble(scramble(h + len(chunk)) + scramble(scramble(name + scramble(seed)) + nth))
+        parts = [(k, k + 1, c.replace(" ", "▁") if c != "▁" else None) for k, c in enumerate(chunk)]
+        while True:
+            best = None
+            for k, ((a, m, x), (_, e, y)) in enumerate(zip(parts, parts[1:])):
+                new = None if x is None or y is None or x not in known or y not in known else known.get(x + y)
+                if new is not None:
+                    at = a * 0x100000001B3 + m * 0xC2B2AE3D27D4EB4F + e * 0x165667B19E3779F9
+                    if (scramble(key + at) >> 11) * 2.0**-53 >= dropout and (best is None or (-library.get_score(new), k) < best):
+                        best = (-library.get_score(new), k)
+            if best is None:
+                break
+            k = best[1]
+            parts[k : k + 2] = [(parts[k][0], parts[k + 1][1], parts[k][2] + parts[k + 1][2])]
+        for a, e, x in parts:
+            out += [known[x]] if x in known else [library.piece_to_id(f"<0x{b:02X}>") for b in chunk[a:e].encode()]
+    return out
+
+
+def test_dropout_equals_the_definition_step_by_step(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    vocab = pieces.read_model(pieces.MODEL)
+    texts = ["international conversations  on the 日本 é▁x", " leading", "a" * 50 + " the theatre", "banana bandana " * 6]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "xxhash64(doc_id) AS name")
+    for dropout in (0.0, 0.3):
+        for r in pieces.encode(df, dropout=dropout).collect():
+            assert r["piece_ids"] == by_hand(vocab, library, r["text"], r["name"] % 2**64, dropout, pieces.SEED), (dropout, r["text"])
+
+
 def test_long_words_and_clashing_columns(spark, empty):
     long = "ab" * 4000
     df = spark.createDataFrame([(1, long, 5)], "doc_id long, text string, n_pieces int")
