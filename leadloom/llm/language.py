@@ -3,7 +3,8 @@
 Sparse multinomial logistic regression on TF-IDF of hashed character n-grams, fitted by
 follow-the-regularised-leader with an elastic-net penalty and calibrated by a temperature.  Document
 frequencies cover all documents that may be learned from; the weights are fitted on at most
-``SAMPLE`` of them for each language, chosen by a hash.  Whole texts are read in learning and scoring.
+``SAMPLE`` of them for each language and about ``FITTED`` in all, those of the smallest hashes.  Whole
+texts are read in learning and scoring.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .store import small_batches
 from .textblocks import blocks, lists
 
 BITS, SIZES = 17, 3
-#: Upper bound of the fitted documents of one language, and of languages.
-SAMPLE, LANGUAGES = 500, 1000
+#: Upper bounds of the fitted documents: of one language, and of all, but for one of each language.
+SAMPLE, FITTED = 500, 50_000
 UNKNOWN = "und"
 _SCALE = 30.0
 
@@ -155,23 +157,32 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def chosen(docs: DataFrame, languages: int, sample: int = SAMPLE) -> DataFrame:
+    """(lang, pick, text): for each language the ``sample`` rows of the smallest hashes, fewer where there are many languages.
+
+    The limits are found from hashes alone, so no task sorts texts; rows with equal hashes at a limit,
+    repeated ones for instance, are cut by number.
+    """
+    each = max(1, min(sample, FITTED // max(1, languages)))
+    keyed = docs.withColumn("pick", F.xxhash64(F.lit(11), "doc_id", "text"))
+    first = Window.partitionBy("lang").orderBy("pick")
+    slim = keyed.select("lang", "pick").withColumn("place", F.row_number().over(first)).where(F.col("place") <= each)
+    limits = slim.groupBy("lang").agg(F.max("pick").alias("limit"))
+    near = keyed.join(limits, "lang").where(F.col("pick") <= F.col("limit"))
+    return near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("lang", "pick", "text")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of ``docs`` (doc_id, text, lang), which hold only what may be learned from; None if they name no language."""
     docs = docs.where("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
+    languages = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    if not languages:
         return None
-    languages = sorted(sizes)
     counts = docs.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros((1 << BITS) + 1)
     df[counts["feature"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
     idf = np.log((1 + df[-1]) / (1 + df[:-1]))
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang]))))
-    place = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 20))
-    chosen = docs.withColumn("pick", place).where(F.col("pick") < share[F.col("lang")] * (1 << 20))
-    taken = chosen.select("lang", "pick", "text").mapInArrow(_vectors, "lang string, pick long, index array<int>, share array<float>").toArrow()
+    taken = chosen(docs, len(languages), sample).mapInArrow(_vectors, "lang string, pick long, index array<int>, share array<float>").toArrow()
     rows = []
     for batch in taken.to_batches():
         for field in ("index", "share"):
