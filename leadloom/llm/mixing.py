@@ -46,17 +46,16 @@ def _wide(c: Column) -> Column:
     return c.cast("decimal(19,0)")
 
 
-def _divide(children: DataFrame, parents: DataFrame, up: Sequence[str], level: str, weights: dict) -> DataFrame:
-    """``children`` (up..., level, capacity) with ``budget``, from ``parents`` (up..., budget).
+def _divide(children: DataFrame, up: Sequence[str], level: str, weights: dict) -> DataFrame:
+    """``children`` (up..., level, capacity, total: their parent's budget) with ``budget``.
 
     Children are filled in the order of capacity by weight: one is full if the budget, shared by weight
     among it and those after it, reaches its capacity.  The others share the rest by weight; rounding is
     by differences of the floors of running sums, so the sum is exact.
     """
-    w = children.withColumn("w", _weight(level, weights))
-    joined = w.join(parents.select(*up, F.col("budget").alias("total")), list(up))
+    joined = children.withColumn("w", _weight(level, weights))
     ratio = [F.col("capacity") / F.col("w"), F.asc_nulls_first(level)]
-    own = Window.partitionBy(*up)
+    own = Window.partitionBy(*(up or [F.lit(0)]))
     so_far = own.orderBy(*ratio).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = joined.withColumns({"c": F.sum("capacity").over(so_far), "v": F.sum("w").over(so_far), "all": F.sum("w").over(own)})
     # full: capacity / w <= (total - capacity of those before) / (weight of it and those after)
@@ -75,13 +74,18 @@ def _divide(children: DataFrame, parents: DataFrame, up: Sequence[str], level: s
 
 def budgets(leaves: DataFrame, total: Column, levels: Sequence[str] = LEVELS, weights: dict = WEIGHTS) -> DataFrame:
     """``leaves`` (levels..., capacity) -> (levels..., capacity, budget); ``total`` in terms of ``capacity``, the sum."""
-    leaves = leaves.withColumn("root", F.lit(0))
-    nodes = leaves.groupBy("root").agg(F.sum("capacity").alias("capacity")).select("root", total.alias("budget"))
+    nodes = None
     for k, level in enumerate(levels):
-        up = ["root", *levels[:k]]
+        up = list(levels[:k])
         children = leaves.groupBy(*up, level).agg(F.sum("capacity").alias("capacity"))
-        nodes = _divide(children, nodes, up, level, weights)
-    return nodes.drop("root")
+        if nodes is None:
+            # The children of the root are few rows; their sum, a window, is the root's.
+            whole = children.withColumn("all", F.sum("capacity").over(Window.partitionBy(F.lit(0)))).select("*", F.col("capacity").alias("own"))
+            children = whole.withColumn("capacity", F.col("all")).withColumn("total", total).select(level, F.col("own").alias("capacity"), "total")
+        else:
+            children = children.join(nodes.select(*up, F.col("budget").alias("total")), up)
+        nodes = _divide(children, up, level, weights)
+    return nodes
 
 
 def mix(docs: DataFrame, per_mille: int = BUDGET_PER_MILLE, epochs: int = EPOCHS, seed: str = SEED, weights: dict = WEIGHTS) -> DataFrame:
@@ -130,18 +134,31 @@ def mix(docs: DataFrame, per_mille: int = BUDGET_PER_MILLE, epochs: int = EPOCHS
 def texts(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that ``mix`` chooses, once for each pass, cut texts cut after their last token.
 
-    ``docs`` must tell its rows apart by (doc_id, text); equal rows are chosen together.  A cut text keeps
-    its white space between the tokens it keeps.
+    Equal rows are numbered: a pass takes as many of them whole as it chooses, and cuts the next one, so
+    the tokens are those of ``mix``.  A cut text keeps its white space between the tokens it keeps.
+    Columns of ``docs`` may have any names.
     """
     names = docs.columns
-    chosen = mix(docs, **limits)
-    chosen = chosen.groupBy("doc_id", "content", "epoch").agg(F.max("take_tokens").alias("take"), F.max("n_tokens").alias("of"))
-    chosen = chosen.groupBy(F.col("doc_id").alias("_doc"), F.col("content").alias("_content")).agg(F.collect_list(F.struct("take", "of")).alias("_takes"))
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_content": F.xxhash64("text")})
-    one = keyed.alias("d").join(chosen.alias("c"), F.col("d._doc").eqNullSafe(F.col("c._doc")) & (F.col("d._content") == F.col("c._content")))
-    one = one.select(*(F.col(f"d.`{n}`").alias(n) for n in names), F.explode("c._takes").alias("_take"))
-    words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    key = ["doc", "content", "lang", "source"]
+    part = F.col("take_tokens") < F.col("n_tokens")
+    passes = mix(docs, **limits).withColumnRenamed("doc_id", "doc").groupBy(*key, "epoch")
+    passes = passes.agg(F.count_if(~part).alias("whole"), F.max(F.when(part, F.col("take_tokens"))).alias("take"))
+    # At most one entry for each pass.
+    chosen = passes.groupBy(*key).agg(F.collect_list(F.struct("whole", "take")).alias("passes"))
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{n}`") for n in names)).alias("r"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("content"),
+        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+    )
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("doc")))
+    same = F.col("d.doc").eqNullSafe(F.col("c.doc"))
+    for k in key[1:]:
+        same = same & (F.col(f"d.{k}") == F.col(f"c.{k}"))
+    one = keyed.alias("d").join(chosen.alias("c"), same).select("d.r", "d.nth", F.explode("c.passes").alias("p"))
+    one = one.where((F.col("nth") <= F.col("p.whole")) | ((F.col("nth") == F.col("p.whole") + 1) & F.col("p.take").isNotNull()))
+    text = F.col("r.text")
+    words = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     # The first part holds no word if the text starts with white space.
-    lead = F.when(F.regexp_like("text", F.lit(r"^[\x20\x09-\x0D]")), 1).otherwise(0)
-    cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("_take.take").cast("int") + lead), ""), r"[\x20\x09-\x0D]+$", "")
-    return one.select(*(F.when(F.col("_take.take") < F.col("_take.of"), cut).otherwise(F.col("text")).alias("text") if n == "text" else n for n in names))
+    lead = F.when(F.regexp_like(text, F.lit(r"^[\x20\x09-\x0D]")), 1).otherwise(0)
+    cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("p.take").cast("int") + lead), ""), r"[\x20\x09-\x0D]+$", "")
+    new = F.when(F.col("nth") > F.col("p.whole"), cut).otherwise(text)
+    return one.select(*(new.alias("text") if n == "text" else F.col(f"r.`{n}`").alias(n) for n in names))
