@@ -1,11 +1,12 @@
 """Exact top-k inner products by norm-sorted blocks and SVD-rotated partial sums (operator 5).
 
-Candidates are sorted by descending length and packed into blocks.  A rotation by the singular vectors
-of all candidates (from their Gram matrix, summed in the cluster) puts most of each inner product into
-the first coordinates.  A first pass over the block of the longest vectors gives each query a floor:
-its k-th best score there.  A block is then read only if the query's length times the block's largest
-length reaches the floor, and within it a candidate's exact integer product is taken only if the
-rotated partial sum plus the product of the two residual lengths (Cauchy-Schwarz) does.
+Candidates are sorted by descending length and packed into blocks, neighbouring blocks into bands.  A
+rotation by the singular vectors of all candidates (from their Gram matrix, summed in the cluster) puts
+most of each inner product into the first coordinates.  Bands are read in waves, the longest vectors
+first; after each wave a query's floor is its k-th best score so far.  A band is read for a block of
+queries only if the longest query times the band's longest vector reaches the least floor: numbers
+decide this before any vector moves.  Inside, a candidate's exact integer product is taken only if its
+rotated partial sum plus the product of the two residual lengths (Cauchy-Schwarz) reaches the floor.
 """
 
 from __future__ import annotations
@@ -18,17 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import small_batches, stored
+from .store import few, small_batches, stored
 
 K, LEVELS, EVERY = 20, 64, 20
 BLOCK, HEAD_DIMS = 4096, 16
+#: Bands of a wave by those before it.
+GROWTH = 8
 
 
 def integer_vectors(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(vec_id, v: array<long>) of the rows whose id and whose components are all usable."""
+    """(vec_id, v: array<double> of whole numbers) of the rows whose id and whose components are all usable."""
     x = F.col("embedding").cast("array<double>")
     usable = F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, _finite), F.lit(False))
-    return rows.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * levels).cast("long")).alias("v"))
+    # Spark's floor() of a double is a long and stops at its ends, so large numbers are kept: they are whole.
+    floor = lambda c: F.when(F.abs(c * levels) < 2.0**52, F.floor(c * levels).cast("double")).otherwise(c * levels)
+    return rows.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, floor).alias("v"))
 
 
 def _finite(c: Column) -> Column:
@@ -36,10 +41,10 @@ def _finite(c: Column) -> Column:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Rows of a list column as int64; shorter vectors end in zeros."""
+    """Rows of a list column as doubles; shorter vectors end in zeros."""
     counts = np.diff(column.offsets.to_numpy())
     values = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
-    out = np.zeros((len(counts), dims), np.int64)
+    out = np.zeros((len(counts), dims))
     out[np.repeat(np.arange(len(counts)), counts), np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)] = values
     return out
 
@@ -48,7 +53,7 @@ def _grams(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
         for batch in batches:
-            x = _matrix(batch.column("v"), dims).astype(np.float64)
+            x = _matrix(batch.column("v"), dims)
             total += x.T @ x
         at = np.arange(dims)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total))], names=["i", "g"])
@@ -56,50 +61,51 @@ def _grams(dims: int):
     return run
 
 
-def _packed(dims: int, size: int):
-    """Sorted rows -> blocks: ids and components as bytes, so that a pair of blocks is one row."""
+def _packed(dims: int, size: int, kind: str):
+    """Sorted rows -> blocks: row numbers, ids and components as bytes, so that a pair of blocks is one row."""
 
-    def give(ids: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
-        x, ids_ = np.concatenate(rows), np.concatenate(ids)
-        length = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids_.tobytes()]), pa.array([x.tobytes()]), pa.array([float(length.max())])], names=["ids", "vectors", "longest"]
-        )
+    def give(parts: list[tuple]) -> pa.RecordBatch:
+        rows, ids, x = (np.concatenate(p) for p in zip(*parts))
+        length = float(np.sqrt((x * x).sum(axis=1)).max())
+        cells = [[int(rows[0])], [rows.tobytes()], [ids.tobytes()], [x.astype(kind).tobytes()], [length]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["block", "rows", "ids", "vectors", "longest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, held = [], [], 0
+        parts, held = [], 0
         for batch in batches:
-            i, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), dims)
-            a = 0
-            while a < len(i):
-                b = min(len(i), a + size - held)
-                ids.append(i[a:b])
-                rows.append(x[a:b])
+            own = (batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), dims))
+            a, n = 0, len(own[0])
+            while a < n:
+                b = min(n, a + size - held)
+                parts.append(tuple(x[a:b] for x in own))
                 held += b - a
                 a = b
                 if held == size:
-                    yield give(ids, rows)
-                    ids, rows, held = [], [], 0
+                    yield give(parts)
+                    parts, held = [], 0
         if held:
-            yield give(ids, rows)
+            yield give(parts)
 
     return run
 
 
+_BLOCK = "block long, rows binary, ids binary, vectors binary, longest double"
+
+
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products; doubles do where no sum can pass 2 ** 53."""
     if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2.0**53:
         return np.rint(q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    return np.einsum("qd,cd->qc", q, c)
+    return np.einsum("qd,cd->qc", q.astype(np.int64), c.astype(np.int64))
 
 
-def block_best(q_ids, q, floors, c_ids, c, rotation: np.ndarray, head: int, k: int):
+def block_best(q_rows, q, floors, c_rows, c_ids, c, rotation: np.ndarray, head: int, k: int):
     """(query numbers, candidate ids, scores) of each query's ``k`` best in a block that reach its floor."""
     qr, cr = q.astype(np.float64) @ rotation, c.astype(np.float64) @ rotation
     q_rest, c_rest = np.sqrt((qr[:, head:] ** 2).sum(axis=1)), np.sqrt((cr[:, head:] ** 2).sum(axis=1))
     bound = qr[:, :head] @ cr[:, :head].T + q_rest[:, None] * c_rest[None, :]
     slack = 1e-9 * (1 + np.sqrt((qr**2).sum(axis=1))[:, None] * np.sqrt((cr**2).sum(axis=1)).max(initial=0))
-    open_ = (bound + slack >= floors[:, None]) & (q_ids[:, None] != c_ids[None, :])
+    open_ = (bound + slack >= floors[:, None]) & (q_rows[:, None] != c_rows[None, :])
     rows, columns, scores = [], [], []
     used = np.flatnonzero(open_.any(axis=0))
     exact = products(q, c[used])
@@ -111,108 +117,120 @@ def block_best(q_ids, q, floors, c_ids, c, rotation: np.ndarray, head: int, k: i
             low = np.partition(s, len(s) - k)[len(s) - k]
             at, s = at[s >= low], s[s >= low]
         ids = c_ids[used[at]]
-        best = np.lexsort((ids, -s))[:k]
+        best = np.lexsort((c_rows[used[at]], ids, -s))[:k]
         rows.append(np.full(len(best), i))
         columns.append(ids[best])
         scores.append(s[best])
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(scores)
 
 
-def _compare(dims: int, rotation: np.ndarray, head: int, k: int):
+def _compare(dims: int, rotation: np.ndarray, head: int, k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in range(batch.num_rows):
-                q_ids, c_ids = (np.frombuffer(batch.column(n)[j].as_buffer(), np.int64) for n in ("q_ids", "ids"))
-                q = np.frombuffer(batch.column("q_vectors")[j].as_buffer(), np.int64).reshape(-1, dims)
-                c = np.frombuffer(batch.column("vectors")[j].as_buffer(), np.int64).reshape(-1, dims)
-                floors = np.frombuffer(batch.column("floors")[j].as_buffer(), np.float64)
-                longest = batch.column("longest")[j].as_py()
+                cell = lambda name, kind: np.frombuffer(batch.column(name)[j].as_buffer(), kind)
+                q_rows, q_ids, rows, ids = (cell(n, np.int64) for n in ("q_rows", "q_ids", "rows", "ids"))
+                q, c = (cell(n, kind).reshape(-1, dims).astype(np.int64) for n in ("q_vectors", "vectors"))
+                floors, longest = cell("floors", np.float64), batch.column("longest")[j].as_py()
                 own = np.flatnonzero(np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * longest * (1 + 1e-9) >= floors)
-                if not len(own):
-                    continue
-                rows, ids, scores = block_best(q_ids[own], q[own], floors[own], c_ids, c, rotation, head, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[own][rows]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+                if len(own):
+                    at, found, scores = block_best(q_rows[own], q[own], floors[own], rows, ids, c, rotation, head, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_rows[own][at]), pa.array(q_ids[own][at]), pa.array(found), pa.array(scores)], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
 
+_FOUND = "query long, query_id long, vec_id long, score long"
+
+
+def open_pairs(queries: DataFrame, blocks: DataFrame, low: int, high: int) -> DataFrame:
+    """(q_block, block) of the pairs with a band from ``low`` until before ``high`` that may hold a score.
+
+    ``queries`` (q_block, q_longest, least: the smallest floor), ``blocks`` (band, block, longest): numbers only.
+    """
+    listed = queries.withColumn("band", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+    reach = F.col("q_longest") * F.col("longest") * (1 + 1e-9) >= F.col("least")
+    return listed.join(blocks, "band").where(reach).select("q_block", "block")
+
+
 def top_inner_products(rows: DataFrame, is_query: Column | None = None, k: int = K, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
     """The ``k`` largest integer inner products of each query with all other rows.
 
     ``rows`` (vec_id, embedding).  Queries: ids divisible by ``EVERY`` unless ``is_query`` says otherwise.
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.  Vectors that are null
     or hold null or non-finite components, and rows without an id, take no part; shorter vectors count as
-    ending in zeros; rows that repeat an id are candidates each, but not of queries with that id.
+    ending in zeros.  Rows that repeat an id are queries and candidates each: only a query's own row is
+    none of its candidates.  Components so large that a product could pass a long raise ValueError.
     """
     spark = rows.sparkSession
     small_batches(spark)
     is_query = F.col("vec_id") % EVERY == 0 if is_query is None else is_query
-    vectors = stored(integer_vectors(rows, levels).withColumn("is_query", is_query), "topk-vectors")
-    sizes = vectors.agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n")).first()
-    if not sizes["n"] or not sizes["dims"]:
-        dims = 1
-        rotation = np.eye(1)
-    else:
-        dims = int(sizes["dims"])
-        parts = vectors.select("v").mapInArrow(_grams(dims), "i long, g array<double>")
-        sums = parts.select("i", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-        gram = np.zeros((dims, dims))
-        gram[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["x"].to_numpy()
-        rotation = np.linalg.eigh(gram)[1][:, ::-1].copy()
-    head = min(HEAD_DIMS, dims)
-    length = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
-    places = max(1, -(-int(sizes["n"]) // (4 * block)))
-    sorted_rows = vectors.withColumn("len", length).repartitionByRange(places, F.desc("len"), "vec_id").sortWithinPartitions(F.desc("len"), "vec_id")
-    shape = "ids binary, vectors binary, longest double"
-    candidates = stored(sorted_rows.select("vec_id", "v").mapInArrow(_packed(dims, block), shape).withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
-    queries = stored(
-        vectors.where("is_query").select("vec_id", "v").mapInArrow(_packed(dims, block // 8), shape).select(
-            F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.monotonically_increasing_id().alias("q_block")
-        ),
-        "topk-queries",
-    )
-    compare = _compare(dims, rotation, head, k)
-    found = "query_id long, vec_id long, score long"
-    # A table of one row for each block, so thousands of times smaller than the input; 1 has the longest vectors.
-    by_length = Window.orderBy(F.desc("longest"), "block")
-    numbers = stored(candidates.select("block", "longest").withColumn("nth", F.row_number().over(by_length)).select("block", "nth"), "topk-numbers")
-    n_blocks = numbers.count()
-    if not n_blocks:
+    vectors = stored(integer_vectors(rows, levels).withColumn("is_query", is_query).withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
+    largest = F.array_max(F.transform("v", F.abs))
+    sizes = vectors.agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n"), F.count_if("is_query").alias("queries"), F.max(largest).alias("largest")).first()
+    if not sizes["n"] or not sizes["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    def pairs(q: DataFrame, first: int, last: int) -> DataFrame:
-        listed = q.withColumn("nth", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(numbers, "nth")
-        return listed.join(candidates, "block").select("q_ids", "q_vectors", "floors", "ids", "vectors", "longest").repartition(F.xxhash64("q_ids", "ids"))
-
-    lowest = queries.withColumn("floors", F.lit(None).cast("binary")).mapInArrow(_no_floors, "q_ids binary, q_vectors binary, q_block long, floors binary")
-    first = stored(pairs(lowest, 1, 1).mapInArrow(compare, found), "topk-first")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    if n_blocks == 1:
-        hits = first
-    else:
-        floors = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k)
-        floors = floors.select("query_id", F.element_at("s", k).alias("floor"))
-        ids = queries.mapInArrow(_ids, "q_block long, place int, query_id long").join(floors, "query_id", "left")
-        per_block = ids.groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("floor", F.lit(-(2**63))).alias("floor")))).alias("f"))
-        armed = queries.join(per_block, "q_block").mapInArrow(_floors, "q_ids binary, q_vectors binary, q_block long, floors binary")
-        hits = first.union(pairs(stored(armed, "topk-armed"), 2, n_blocks).mapInArrow(compare, found))
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _no_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, dims, most = sizes["n"], max(1, sizes["dims"]), sizes["largest"] or 0.0
+    if most * most * dims >= 2.0**63:
+        raise ValueError(f"inner products of components up to {most:g} do not fit a long")
+    kind = next(t for t in ("int16", "int32", "int64") if most <= np.iinfo(t).max)
+    parts = few(vectors.select("v"), n).mapInArrow(_grams(dims), "i long, g array<double>")
+    sums = parts.select("i", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    gram = np.zeros((dims, dims))
+    gram[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["x"].to_numpy()
+    rotation, head = np.linalg.eigh(gram)[1][:, ::-1].copy(), min(HEAD_DIMS, dims)
+    length = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
+    places = max(1, -(-n // (4 * block)))
+    ordered = vectors.withColumn("len", length).repartitionByRange(places, F.desc("len"), "row").sortWithinPartitions(F.desc("len"), "row")
+    # A band is what one range of lengths holds: a few blocks.  Bands are numbered by falling length.
+    ordered = few(ordered.select("row", "vec_id", "v"), n, 4 * block)
+    candidates = stored(ordered.mapInArrow(_packed(dims, block, kind), _BLOCK).withColumn("band", F.spark_partition_id()), "topk-blocks")
+    slim = candidates.select("band", "block", "longest")
+    bands = slim.agg(F.max("band")).first()[0] + 1
+    queries = few(vectors.where("is_query").select("row", "vec_id", "v"), sizes["queries"], block // 2).mapInArrow(_packed(dims, max(1, block // 8), kind), _BLOCK)
+    queries = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "rows", "ids", "vectors", "longest")))
+    queries = stored(queries, "topk-queries")
+    compare = _compare(dims, rotation, head, k, kind)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    hits, low, high = None, 0, 1
+    while low < bands:
+        armed = few(queries if hits is None else queries.join(_by_block(queries, hits, k), "q_block", "left"), sizes["queries"], block)
+        armed = armed if hits is not None else armed.withColumn("f", F.lit(None).cast("map<bigint,bigint>"))
+        armed = stored(armed.mapInArrow(_armed, _ARMED), "topk-armed")
+        pairs = open_pairs(armed.select("q_block", "q_longest", "least"), slim, low, high)
+        fetched = pairs.join(armed.drop("q_longest", "least"), "q_block").join(candidates.drop("band"), "block").drop("block", "q_block")
+        # A row is a pair of blocks; hashes of both spread the pairs of a hot block.
+        found = fetched.repartition(F.xxhash64("q_rows", "rows")).mapInArrow(compare, _FOUND)
+        found = found if hits is None else hits.union(found)
+        hits = stored(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "topk-hits", sizes["queries"] * k).drop("rank")
+        low, high = high, min(bands, GROWTH * high)
+    return hits.withColumn("rank", F.row_number().over(best).cast("int")).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_block(queries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """(q_block, f): the floors of a block's queries that have ``k`` scores, by row."""
+    floors = hits.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    rows = queries.select("q_block", "q_rows").mapInArrow(_rows, "q_block long, query long")
+    return rows.join(floors, "query").groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query", "floor"))).alias("f"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        floors = [np.full(len(x.as_buffer()) // 8, -np.inf).tobytes() for x in batch.column("q_ids")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q_ids", "q_vectors", "q_block")), pa.array(floors, pa.binary())], names=["q_ids", "q_vectors", "q_block", "floors"])
+        for block, rows in zip(batch.column("q_block").to_pylist(), batch.column("q_rows")):
+            own = np.frombuffer(rows.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(own)], names=["q_block", "query"])
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, ids in zip(batch.column("q_block").to_pylist(), batch.column("q_ids")):
-            own = np.frombuffer(ids.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own)], names=["q_block", "place", "query_id"])
+_ARMED = "q_block long, q_rows binary, q_ids binary, q_vectors binary, q_longest double, floors binary, least double"
 
 
-def _floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _armed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries with their floors (none: minus infinity) and the least of them."""
     for batch in batches:
-        floors = [np.array([p["floor"] for p in x], np.float64).tobytes() for x in batch.column("f").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q_ids", "q_vectors", "q_block")), pa.array(floors, pa.binary())], names=["q_ids", "q_vectors", "q_block", "floors"])
+        floors = []
+        for rows, known in zip(batch.column("q_rows"), batch.column("f").to_pylist()):
+            known = dict(known or [])
+            floors.append(np.array([known.get(r, -np.inf) for r in np.frombuffer(rows.as_buffer(), np.int64).tolist()], np.float64))
+        own = [batch.column(c) for c in ("q_block", "q_rows", "q_ids", "q_vectors", "q_longest")]
+        made = [pa.array([f.tobytes() for f in floors], pa.binary()), pa.array([float(f.min()) for f in floors], pa.float64())]
+        yield pa.RecordBatch.from_arrays([*own, *made], names=["q_block", "q_rows", "q_ids", "q_vectors", "q_longest", "floors", "least"])
