@@ -174,7 +174,7 @@ def _descend(graph: DataFrame, vectors: DataFrame, dims: int, k: int, size: int,
         back = back.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k).drop("turn")
         members = graph.select(F.col("u").alias("w"), F.col("v").alias("node"), "fresh").union(back).join(known, "node")
         groups = members.groupBy("w").agg(F.collect_list(F.struct("node", "floor", "fresh", "vec")).alias("members"))
-        better = few(groups, size // k, 2000).mapInArrow(_local_join(dims), _EDGE).withColumn("fresh", F.lit(True))
+        better = few(groups, size // k, 500).mapInArrow(_local_join(dims), _EDGE).withColumn("fresh", F.lit(True))
         old = graph.select("u", "v", "s", F.lit(False).alias("fresh"))
         graph = stored(_nearest(old.union(better), k), "descent", size)
         sizes = graph.where(F.col("s") >= near).agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
