@@ -1,18 +1,25 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax (operator 9).
 
-P(word | history) = P(class | history) P(word | class, history).  The ``HEAD`` most frequent words form
-classes of ``WIDE`` words; all others fall into classes by rank and, beyond the ``TOP`` counted words
-that tasks hold, into one last class.  Both factors of head words are softmaxes over hashed features of
-the history: the last word, the last two, and the last but one (a skip).  In the other classes a
-word's share is its smoothed count.  Biases start at the smoothed unigram model; weights come from
-rounds of gradient updates in all partitions, averaged by tokens through the shuffle.  Every learning
-document is used once; word counts and all sums cover all documents.
+P(word | history) = P(class | history) P(word | class, history).  The ``TOP`` most frequent words are
+leaves of a tree below the classes: the first classes hold ``WIDE`` words each, later ones ``WIDE`` groups of
+``WIDE`` words, the last ones a level more; the words beyond and the unseen one share one class by their
+smoothed counts.  Each choice on the way to a word is a softmax whose logits are a bias and the weights
+of hashed features of the history: the last word, the last two, and the last but one (a skip).
+
+Biases are the smoothed unigram model.  In each round all learning tokens give, for each weight, how often
+its feature and choice were observed and how often they were drawn: each token draws one choice at each
+of its nodes from the model's shares, so the difference is an unbiased estimate of the gradient.  These
+numbers are summed over all partitions, and each weight takes the step of iterative scaling along its
+gradient.  Draws are keyed by text and place, so the weights do not depend on the partitions, and more
+text means better known gradients.  In the first round every history gives the same shares, so it needs
+no softmax, and at the root no draws.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +31,19 @@ from .language import fold
 from .store import small_batches, stored
 from .textblocks import Block, blocks, lists, mix, mix_int, span_hashes, words
 
-#: Words that every task holds, those of them in head classes, words of a head class.
-TOP, HEAD, WIDE = 1 << 18, 1024, 32
-#: Ranks at which the tail classes end; the last class holds the words beyond TOP and the unseen one.
-TAIL = (4096, 16384, 65536, TOP)
-FEATURES, BUCKETS, ROUNDS, BATCH, RATE = 3, 1 << 14, 2, 8192, 0.15
-KNOWN_HISTORY = 4096
+#: Words in the tree, which every task holds, and choices at a node below the root.
+TOP, WIDE = 1 << 18, 32
+#: Classes by rank: how many, and levels below them.
+LEVELS = ((32, 1), (4, 2), (8, 3))
+DEEPEST = 3
+#: Features at the root and below it, rows of the hashed tables (a parameter of the model, as in any hashed one), rounds.
+FEATURES, INNER, BUCKETS, ROUNDS, BATCH = 3, 2, 1 << 15, 2, 1 << 14
+#: Counts that are added to what a weight has observed and expected: in the first round at the root (times the
+#: class's share) and below it, and in later ones, where draws are noise beside what is left to learn; largest step.
+PRIOR, INNER_PRIOR, LATER, LONGEST = 20.0, 1.0, 30.0, 2.0
 _U = np.uint64
-END = mix_int(0x656E64)
-_ROWS = 256  # of a weight table in a shuffled slab
+END, _NONE = mix_int(0x656E64), mix_int(0x6E6F6E65)
+_ROWS = 256  # of a table in a shuffled slab
 
 
 @dataclass
@@ -45,28 +56,70 @@ class Lexicon:
     types: int
 
     def __post_init__(self):
-        ends = [min(k, len(self.top)) for k in (*range(WIDE, HEAD + 1, WIDE), *TAIL)]
-        begins = [0, *ends[:-1]]
-        mass = np.array([self.count[a:b].sum() for a, b in zip(begins, ends)], dtype=np.float64)
-        size = np.array([b - a for a, b in zip(begins, ends)], dtype=np.float64)
-        rest = self.tokens - mass.sum() + (self.types - size.sum()) + 1
-        #: Smoothed counts of each class; the last holds the words beyond and one unseen.
-        self.mass = np.append(mass + size, rest)
-        self.classes = len(self.mass)
-        self.head = min(HEAD, len(self.top))
         self.whole = self.tokens + self.types + 1
         self.index = HashIndex(self.top)
-
-    def class_of(self, rank: np.ndarray) -> np.ndarray:
-        tail = np.searchsorted(np.array(TAIL), rank, side="right") + HEAD // WIDE
-        return np.where(rank < 0, self.classes - 1, np.where(rank < HEAD, rank // WIDE, tail))
+        self.classes = sum(n for n, _ in LEVELS) + 1
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_tree"}
+
+    @cached_property
+    def _tree(self):
+        """(class, nodes, choices) by rank, and the smoothed mass of each choice at each node; rank -1: the last class."""
+        n = len(self.top)
+        cls, node, choice = np.full(n + 1, self.classes - 1, np.int64), np.full((DEEPEST, n + 1), -1, np.int64), np.zeros((DEEPEST, n + 1), np.int64)
+        rank, first_class, nodes = 0, 0, 0
+        for classes, depth in LEVELS:
+            size = WIDE**depth
+            at = np.arange(rank, min(n, rank + classes * size))
+            own, place = (at - rank) // size, (at - rank) % size
+            cls[at] = first_class + own
+            for j in range(depth):
+                span = WIDE ** (depth - j - 1)
+                node[j, at] = nodes + own * WIDE**j + place // (span * WIDE)
+                choice[j, at] = place // span % WIDE
+                nodes += classes * WIDE**j
+            rank, first_class = rank + classes * size, first_class + classes
+        weight = self.count.astype(np.float64) + 1
+        mass = np.zeros((nodes, WIDE))
+        for j in range(DEEPEST):
+            at = np.flatnonzero(node[j] >= 0)
+            np.add.at(mass, (node[j, at], choice[j, at]), weight[at])
+        by_class = np.bincount(cls[:n], weight, self.classes)
+        by_class[-1] += self.whole - weight.sum()
+        # Each node has rows of its own in the inner table, as many as its share of the tokens asks for.
+        spare = BUCKETS - nodes
+        share = mass.sum(axis=1) / max(mass.sum(), 1)
+        size = 1 + np.floor(share * spare).astype(np.int64)
+        return cls, node, choice, by_class, mass, np.cumsum(size) - size, size
+
+    def inner_rows(self, keys: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Rows of phi for keys at nodes."""
+        begin, size = self._tree[5:]
+        # A multiple of a hash's upper half instead of a remainder.
+        part = (keys[:, :INNER] >> _U(32)).astype(np.int64) * size[node][:, None] >> 32
+        return begin[node][:, None] + part
+
+    @property
+    def owner(self) -> np.ndarray:
+        """The node of each row of phi; rows that none has: the last."""
+        size = self._tree[6]
+        return np.append(np.repeat(np.arange(len(size)), size), np.full(BUCKETS - size.sum(), len(size) - 1))
+
+    def path(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class; node and choice at each level below it, node -1: none) of each rank."""
+        cls, node, choice = self._tree[:3]
+        return cls[rank], node[:, rank], choice[:, rank]
+
+    @property
+    def rest(self) -> float:
+        """The smoothed mass of the last class: the words beyond the tree and one unseen."""
+        return float(self._tree[3][-1])
 
     def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """Biases at the root and at each node."""
         with np.errstate(divide="ignore"):
-            by_class = np.log(self.mass / self.whole)
-            words_ = np.full(HEAD, -np.inf)
-            words_[: self.head] = np.log(self.count[: self.head] + 1.0)
-        return np.maximum(by_class, -50.0).astype(np.float32), np.maximum(words_, -50.0).reshape(-1, WIDE).astype(np.float32)
+            return tuple(np.maximum(np.log(m / max(m.sum(), 1)), -50.0).astype(np.float32) for m in self._tree[3:5])
 
 
 def token_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -111,145 +164,178 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
-def _histories(rank: np.ndarray, counts: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """Buckets of the features of each token's history, one column for each feature."""
-    own = np.where((rank >= 0) & (rank < KNOWN_HISTORY), rank, KNOWN_HISTORY + lexicon.class_of(rank)).astype(np.int64)
+def histories(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64-bit keys of each token's features, one column each: the last word, the last two, the last but one."""
     begin = np.cumsum(counts) - counts
-    last, before = np.full(len(own), 8191, np.int64), np.full(len(own), 8191, np.int64)
-    last[1:], before[2:] = own[:-1], own[:-2]
-    last[begin], before[begin] = 8190, 8190
-    second = begin[counts > 1] + 1
-    before[second] = 8190
-    keys = np.stack([last, 1 << 30 | last << 14 | before, 2 << 30 | before], axis=1).astype(_U)
-    return (mix(keys.ravel() * _U(0x9E3779B97F4A7C15)) & _U(BUCKETS - 1)).astype(np.int32).reshape(keys.shape)
+    last, before = np.full(len(hashes), _NONE, _U), np.full(len(hashes), _NONE, _U)
+    last[1:], before[2:] = hashes[:-1], hashes[:-2]
+    last[begin] = before[begin] = before[begin[counts > 1] + 1] = _U(_NONE)
+    return np.stack([mix(last + _U(1)), mix(last * _U(0x9E3779B97F4A7C15) + before), mix(before + _U(3))], axis=1)
 
 
 @dataclass
 class Weights:
     by_class: np.ndarray  # bias
-    in_class: np.ndarray  # bias
-    theta: np.ndarray  # features' buckets x classes
-    phi: np.ndarray  # features' buckets mixed with the class x WIDE
+    in_node: np.ndarray  # bias
+    theta: np.ndarray  # features' rows x classes
+    phi: np.ndarray  # features' rows mixed with the node x WIDE
 
     @classmethod
     def new(cls, lexicon: Lexicon) -> Weights:
-        by_class, in_class = lexicon.start()
-        return cls(by_class, in_class, np.zeros((BUCKETS, lexicon.classes), np.float32), np.zeros((BUCKETS, WIDE), np.float32))
+        return cls(*lexicon.start(), np.zeros((BUCKETS, lexicon.classes), np.float32), np.zeros((BUCKETS, WIDE), np.float32))
+
 
+def outer_rows(keys: np.ndarray) -> np.ndarray:
+    """Rows of theta."""
+    return (keys & _U(BUCKETS - 1)).astype(np.int64)
 
-def _inner(features: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return ((features.astype(np.int64) * 0x9E3779B1 + own[:, None].astype(np.int64) * 0x85EBCA6B) >> 7) & (BUCKETS - 1)
 
+def exponentials(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of ``rows`` what is proportional to the shares of the choices, and its sum.
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    Logits are at most a few dozen, as each step of a weight is bounded, so no maximum is taken off first.
+    """
+    x = table[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        x += table[rows[:, k]]
+    x += bias
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    return x, x @ np.ones(x.shape[1], np.float32)
+
+
+def _shares(bias: np.ndarray) -> np.ndarray:
+    x = np.exp(bias)
+    return x / x.sum(axis=-1, keepdims=True)
 
 
-def class_shares(w: Weights, features: np.ndarray) -> np.ndarray:
-    x = w.theta[features[:, 0]]
-    for k in range(1, features.shape[1]):
-        x += w.theta[features[:, k]]
-    x += w.by_class
-    return _softmax(x)
+def drawn(cumulative: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The choice whose part of its line's running sums holds the share ``u`` of the whole."""
+    return (cumulative > (cumulative[:, -1] * u)[:, None]).argmax(axis=1)
+
+
+def randoms(hashes: np.ndarray, counts: np.ndarray, turn: int) -> np.ndarray:
+    """A number from 0 to 1 for each level of each token, keyed by its text, its place and the round."""
+    begin = np.cumsum(counts) - counts
+    text = np.repeat(np.add.reduceat(hashes, begin), counts)
+    x = mix(text + (np.arange(len(hashes)) - np.repeat(begin, counts) + (turn << 40)).astype(_U) * _U(0x9E3779B97F4A7C15))
+    parts = [(x >> _U(16 * k)) & _U(0xFFFFFF) for k in range(DEEPEST)] + [mix(x) >> _U(40)]
+    return np.stack(parts).astype(np.float32) * np.float32(2.0**-24)
+
 
+class _Table:
+    """How often choices were met, by rows of a table."""
 
-def word_shares(w: Weights, features: np.ndarray, own: np.ndarray) -> np.ndarray:
-    at = _inner(features, own)
-    x = w.phi[at[:, 0]]
-    for k in range(1, at.shape[1]):
-        x += w.phi[at[:, k]]
-    x += w.in_class[own]
-    return _softmax(x)
+    def __init__(self, width: int):
+        self.width, self.total, self.held, self.number = width, np.zeros(BUCKETS * width), [], 0
 
+    def add(self, rows: np.ndarray, choice: np.ndarray) -> None:
+        self.held.append((rows.astype(np.int32) * np.int32(self.width) + choice[:, None].astype(np.int32)).ravel())
+        self.number += rows.size
+        if self.number > 1 << 21:
+            self.settle()
 
-def _descend(table: np.ndarray, square: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
-    """Adagrad on the rows ``at`` of a table; equal rows are summed first."""
-    for k in range(at.shape[1]):
-        order = np.argsort(at[:, k], kind="stable")
-        rows = at[order, k]
-        first = np.flatnonzero(np.diff(rows, prepend=-1))
-        g = np.add.reduceat(gradient[order], first, axis=0)
-        rows = rows[first]
-        square[rows] += g * g
-        table[rows] -= RATE * g / np.sqrt(square[rows] + 1.0)
+    def settle(self) -> np.ndarray:
+        if self.held:
+            self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total))
+            self.held, self.number = [], 0
+        return self.total.reshape(BUCKETS, self.width).astype(np.float32)
 
 
-def _learn(lexicon: Lexicon, w: Weights):
-    """One pass over a partition from the shared weights; gives the changes, times tokens, in slabs of rows."""
+def _halves(x: np.ndarray) -> bytes:
+    """Floats by their upper halves: what they sum to is known to far better than a step needs."""
+    return ((np.ascontiguousarray(x).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def _floats(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
+def _tallied(lexicon: Lexicon, w: Weights, turn: int):
+    """What a partition's tokens observe and draw, in slabs of rows.  In turn 0 all weights are zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Weights(w.by_class, w.in_class, w.theta.copy(), w.phi.copy())
-        sq_theta, sq_phi, seen = np.zeros_like(w.theta), np.zeros_like(w.phi), 0
+        seen, expected = (_Table(lexicon.classes), _Table(WIDE)), (_Table(lexicon.classes), _Table(WIDE))
+        met = (_Table(1), _Table(1))
+        some = False
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
                 hashes, counts = token_hashes(block)
-                rank = lexicon.index.find(hashes)
-                features, cls = _histories(rank, counts, lexicon), lexicon.class_of(rank)
-                seen += len(rank)
+                rank, some = lexicon.index.find(hashes), True
+                all_keys, all_u = histories(hashes, counts), randoms(hashes, counts, turn)
                 for a in range(0, len(rank), BATCH):
-                    f, c, r = features[a : a + BATCH], cls[a : a + BATCH], rank[a : a + BATCH]
-                    g = class_shares(own, f)
-                    g[np.arange(len(c)), c] -= 1
-                    _descend(own.theta, sq_theta, f, g)
-                    head = np.flatnonzero((r >= 0) & (r < HEAD))
-                    if len(head):
-                        g = word_shares(own, f[head], c[head])
-                        g[np.arange(len(head)), r[head] % WIDE] -= 1
-                        _descend(own.phi, sq_phi, _inner(f[head], c[head]), g)
-        if seen:
-            change = np.concatenate([(own.theta - w.theta), (own.phi - w.phi)], axis=1) * np.float32(seen)
-            slabs = change.reshape(BUCKETS // _ROWS, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(slabs), dtype=np.int32)), pa.array(np.full(len(slabs), seen, np.int64)), pa.array([s.tobytes() for s in slabs])],
-                names=["slab", "tokens", "change"],
-            )
+                    keys, u = all_keys[a : a + BATCH], all_u[:, a : a + BATCH]
+                    cls, node, choice = lexicon.path(rank[a : a + BATCH])
+                    rows = outer_rows(keys)
+                    seen[0].add(rows, cls)
+                    if turn:
+                        expected[0].add(rows, drawn(exponentials(w.theta, rows, w.by_class)[0].cumsum(axis=1), u[-1]))
+                    else:
+                        met[0].add(rows, np.zeros(len(rows), np.int32))
+                    for j in range(DEEPEST):
+                        own = np.flatnonzero(node[j] >= 0)
+                        if len(own):
+                            n = node[j, own]
+                            rows = lexicon.inner_rows(keys[own], n)
+                            seen[1].add(rows, choice[j, own])
+                            if turn:
+                                expected[1].add(rows, drawn(exponentials(w.phi, rows, w.in_node[n])[0].cumsum(axis=1), u[j, own]))
+                            else:
+                                met[1].add(rows, np.zeros(len(rows), np.int32))
+        if some:
+            if turn:
+                drew = [t.settle() for t in expected]
+            else:
+                # A row of the inner table belongs to one node.
+                drew = [met[0].settle() * _shares(w.by_class), met[1].settle() * _shares(w.in_node)[lexicon.owner]]
+            whole = np.concatenate([seen[0].settle(), drew[0], seen[1].settle(), drew[1]], axis=1).reshape(BUCKETS // _ROWS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array([_halves(x) for x in whole])], names=["slab", "sums"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the slabs of a partition as they stream by."""
-    found: dict[int, list] = {}
+    found: dict[int, np.ndarray] = {}
     for batch in batches:
-        for slab, tokens, change in zip(batch.column("slab").to_pylist(), batch.column("tokens").to_pylist(), batch.column("change")):
-            x = np.frombuffer(change.as_buffer(), np.float32)
+        for slab, sums in zip(batch.column("slab").to_pylist(), batch.column("sums")):
+            x = _floats(np.frombuffer(sums.as_buffer(), np.uint16))
             if slab in found:
-                found[slab][0] += tokens
-                found[slab][1] += x
+                found[slab] += x
             else:
-                found[slab] = [tokens, x.astype(np.float64)]
+                found[slab] = x.astype(np.float64)
     if found:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.int32()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1].astype(np.float32).tobytes() for v in found.values()])],
-            names=["slab", "tokens", "change"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([_halves(v.astype(np.float32)) for v in found.values()])], names=["slab", "sums"])
+
+
+def step(observed: np.ndarray, expected: np.ndarray, prior: np.ndarray | float, features: int) -> np.ndarray:
+    """The move of weights by iterative scaling: as the gradient, observed - expected, points."""
+    return np.clip(np.log((observed + prior) / (expected + prior)) / features, -LONGEST, LONGEST)
 
 
 def _score(lexicon: Lexicon, w: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_count = np.log10(lexicon.count + 1.0)
-        log_mass = np.log10(np.maximum(lexicon.mass, 1e-300))
+        log_count = np.append(np.log10(lexicon.count + 1.0), 0.0)
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
                 hashes, counts = token_hashes(block)
                 rank = lexicon.index.find(hashes)
-                features, cls = _histories(rank, counts, lexicon), lexicon.class_of(rank)
+                all_keys = histories(hashes, counts)
                 model = np.empty(len(rank))
                 for a in range(0, len(rank), BATCH):
-                    f, c, r = features[a : a + BATCH], cls[a : a + BATCH], rank[a : a + BATCH]
-                    share = class_shares(w, f)
-                    out = np.log10(share[np.arange(len(c)), c].astype(np.float64))
-                    head = (r >= 0) & (r < HEAD)
-                    if head.any():
-                        p = word_shares(w, f[head], c[head])
-                        out[head] += np.log10(np.maximum(p[np.arange(len(p)), r[head] % WIDE].astype(np.float64), 1e-30))
-                    tail = ~head
-                    out[tail] += np.where(r[tail] >= 0, log_count[r[tail]] if len(log_count) else 0.0, 0.0) - log_mass[c[tail]]
+                    keys, r = all_keys[a : a + BATCH], rank[a : a + BATCH]
+                    cls, node, choice = lexicon.path(r)
+                    x, whole = exponentials(w.theta, outer_rows(keys), w.by_class)
+                    p = x[np.arange(len(r)), cls] / whole
+                    for j in range(DEEPEST):
+                        own = np.flatnonzero(node[j] >= 0)
+                        if len(own):
+                            n = node[j, own]
+                            x, whole = exponentials(w.phi, lexicon.inner_rows(keys[own], n), w.in_node[n])
+                            p[own] *= x[np.arange(len(own)), choice[j, own]] / whole
+                    out = np.log10(np.maximum(p.astype(np.float64), 1e-37))
+                    out[r < 0] -= np.log10(lexicon.rest)
                     model[a : a + BATCH] = out
-                base = np.where(rank >= 0, log_count[rank] if len(log_count) else 0.0, 0.0) - np.log10(lexicon.whole)
+                base = log_count[rank] - np.log10(lexicon.whole)
                 begin = np.cumsum(counts) - counts
                 rare = rank < 0
                 per = np.add.reduceat(rare.astype(np.int64), begin)
@@ -290,19 +376,21 @@ def lexicon_of(texts: DataFrame) -> tuple[Lexicon, DataFrame]:
 
 
 def trained(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights:
-    """``texts`` (text, turn): the rows of turn k teach in round k."""
+    """``texts`` (text): all rows teach in every round."""
     w = Weights.new(lexicon)
+    shape = "slab int, sums binary"
     for turn in range(rounds):
-        shape = "slab int, tokens long, change binary"
-        changes = texts.where(F.col("turn") == turn).select("text").mapInArrow(_learn(lexicon, w), shape)
+        tallies = texts.select("text").mapInArrow(_tallied(lexicon, w, turn), shape)
         # Sums of sums: many tasks share a slab's first sums, so none streams what all partitions gave.
-        spread = changes.withColumn("part", F.spark_partition_id() % 64).repartition("slab", "part").drop("part")
+        spread = tallies.withColumn("part", F.spark_partition_id() % 64).repartition("slab", "part").drop("part")
         sums = spread.mapInArrow(_summed, shape).repartition("slab").mapInArrow(_summed, shape).toArrow()
-        theta, phi = w.theta.reshape(BUCKETS // _ROWS, _ROWS, -1), w.phi.reshape(BUCKETS // _ROWS, _ROWS, -1)
-        for slab, tokens, change in zip(sums.column("slab").to_pylist(), sums.column("tokens").to_pylist(), sums.column("change").to_pylist()):
-            x = np.frombuffer(change, np.float32).reshape(_ROWS, -1) / tokens
-            theta[slab] += x[:, : lexicon.classes]
-            phi[slab] += x[:, lexicon.classes :]
+        prior, inner_prior = (LATER, LATER) if turn else (PRIOR * np.exp(w.by_class.astype(np.float64)), INNER_PRIOR)
+        theta, phi = (x.reshape(BUCKETS // _ROWS, _ROWS, -1) for x in (w.theta, w.phi))
+        for slab, x in zip(sums.column("slab").to_pylist(), sums.column("sums").to_pylist()):
+            x = _floats(np.frombuffer(x, np.uint16)).astype(np.float64).reshape(_ROWS, -1)
+            seen, expected, seen_in, expected_in = np.split(x, np.cumsum([lexicon.classes, lexicon.classes, WIDE]), axis=1)
+            theta[slab] += step(seen, expected, prior, FEATURES)
+            phi[slab] += step(seen_in, expected_in, inner_prior, INNER)
     return w
 
 
@@ -316,7 +404,7 @@ def scored(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     parts = fold("doc_id", 7)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (parts == 2).alias("held_out"))
-    learn = rows.where(~F.col("held_out")).withColumn("turn", F.pmod(F.xxhash64(F.lit(29), "text"), F.lit(ROUNDS)))
+    learn = rows.where(~F.col("held_out"))
     lexicon, table = lexicon_of(learn)
     weights = trained(learn, lexicon)
     made = rows.mapInArrow(
