@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +35,40 @@ def canonical_key(dimension: Column) -> Column:
     return F.when(dimension.isNotNull(), F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}")))
 
 
+_ESCAPES = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+
+
 def _quoted(text: Column) -> Column:
+    """A JSON string: quotes, backslashes and what is below a blank are escaped."""
     escaped = F.regexp_replace(text, r'(["\\])', r"\\$1")
-    for code, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        escaped = F.replace(escaped, F.lit(code), F.lit(name))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    clean = escaped
+    for code in range(32):
+        clean = F.replace(clean, F.lit(chr(code)), F.lit(_ESCAPES.get(code, f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(escaped.rlike(r"[\x00-\x1f]"), clean).otherwise(escaped), F.lit('"'))
+
+
+def _text(value: object) -> str:
+    """Keys by length in bytes, then bytes; numbers in plain digits as they were written."""
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: (len(k.encode()), k.encode()))
+        return "{" + ", ".join(f"{_text(k)}: {_text(value[k])}" for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_text, value)) + "]"
+    if isinstance(value, Decimal):
+        return format(abs(value) if not value else value, "f")
+    if isinstance(value, str):
+        return '"' + "".join("\\" + c if c in '"\\' else _ESCAPES.get(ord(c), f"\\u{ord(c):04x}") if c < " " else c for c in value) + '"'
+    return {None: "null", True: "true", False: "false"}[value] if value is None or isinstance(value, bool) else str(value)
+
+
+def json_key(value: Column) -> Column:
+    """One text for equal JSON values, given as JSON text: any nesting, so in Arrow batches of Python; null for null.
+
+    Numbers keep the digits that the text has; Spark's variant type has none of a decimal's last zeros.
+    """
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else _text(json.loads(x, parse_float=Decimal)), na_action="ignore")
+
+    return text(value)

@@ -10,42 +10,52 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 from pyspark.sql.window import Window
 
-from ..functions.ordering import canonical_key
+from ..functions.ordering import canonical_key, json_key
 from ..sources.registry import foreign_keys, load_order, tables
+from ..sources.warehouse import stored
 
 
 def insert_or_ignore(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``existing`` and those rows of ``batch`` whose key is new, one for each key; existing rows win.
 
     Of batch rows with equal keys the first in the order of all columns stays.  A key with a null is new.
+    One shuffle: both sides meet by key in one window.
     """
     columns = existing.columns
-    rows = batch.select(*columns)
-    whole = [F.col(k).isNotNull() for k in keys]
-    has_key = whole[0]
-    for c in whole[1:]:
-        has_key = has_key & c
-    order = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in columns))
-    first = rows.where(has_key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    new = first.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(*columns)
-    return existing.unionByName(new).unionByName(rows.where(~has_key))
+    both = existing.withColumn("_new", F.lit(False)).unionByName(batch.select(*columns, F.lit(True).alias("_new")))
+    partial = F.lit(False)
+    for k in keys:
+        partial = partial | F.col(k).isNull()
+    # Rows without a whole key are groups of their own, so that they are no hot key.
+    both = both.withColumn("_own", F.when(partial, F.monotonically_increasing_id()))
+    # JSON values have no order of their own; their text has.
+    json = {f.name for f in existing.schema if isinstance(f.dataType, VariantType)}
+    by = [(F.to_json(c) if c in json else F.col(c)).asc_nulls_last() for c in columns]
+    order = Window.partitionBy(*keys, "_own").orderBy("_new", *by)
+    return both.withColumn("_n", F.row_number().over(order)).where(~F.col("_new") | (F.col("_n") == 1)).select(*columns)
 
 
 def with_defaults(name: str, rows: DataFrame, now: Column | None = None) -> DataFrame:
     """Rows of a table with the columns they omit; a default fills an omitted column only, never a null.
 
-    Random ids derive from the row's content, so a repeated task gives the same id.
+    Random ids derive from the row's content and, among equal rows, its number, so rows have different ids
+    and a repeated task gives the same ones.  The generated key of ``metrics`` is computed here too.
     """
     table, out = tables()[name], rows
     now = F.current_timestamp() if now is None else now
     given = rows.columns
+    if any(c.default == "random" and c.name not in given for c in table.columns):
+        content = F.sha2(F.to_json(F.struct(*given), {"ignoreNullFields": "false"}), 256)
+        out = out.withColumn("_content", content)
+        out = out.withColumn("_nth", F.row_number().over(Window.partitionBy("_content").orderBy("_content")))
     for c in table.columns:
         if c.name in given:
             continue
         if c.default == "random":
-            digest = F.sha2(F.to_json(F.struct(*given), {"ignoreNullFields": "false"}), 256)
+            digest = F.sha2(F.concat_ws("#", "_content", "_nth"), 256)
             parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
             value = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in parts))
         elif c.default == "now":
@@ -55,37 +65,48 @@ def with_defaults(name: str, rows: DataFrame, now: Column | None = None) -> Data
         else:
             value = F.lit(c.default).cast(c.type)
         out = out.withColumn(c.name, value)
+    if name == "metrics":
+        if "dimension_key" in given:
+            raise ValueError("dimension_key is generated")
+        out = with_dimension_key(out.drop("dimension_key"))
     return out.select(*(c.name for c in table.columns))
 
 
 def with_dimension_key(rows: DataFrame, dimension: str = "dimension", key: str = "dimension_key") -> DataFrame:
-    """The generated key of a map column; a caller's own value is refused."""
+    """The generated key of a column that holds JSON (variant, or any map, array or struct); a caller's own value is refused."""
     if key in rows.columns:
         raise ValueError(f"{key} is generated")
-    return rows.withColumn(key, canonical_key(F.col(dimension)))
+    flat = rows.schema[dimension].dataType.simpleString() == "map<string,string>"
+    return rows.withColumn(key, canonical_key(F.col(dimension)) if flat else json_key(F.to_json(F.col(dimension), {"ignoreNullFields": "false"})))
 
 
 def delete_cascade(state: dict[str, DataFrame], name: str, gone: DataFrame) -> dict[str, DataFrame]:
     """The next state of all tables in ``state`` after deleting the rows of ``name`` with an id in ``gone`` (id).
 
     Tables follow in load order: a row goes if a cascading reference does, then references that are set
-    null on delete lose what is gone.  A restricting reference to a gone row raises ValueError.
+    null on delete lose what is gone.  The ids lost at a level are written before the next one reads them.
+    A restricting reference to a gone row raises ValueError.
     """
-    lost = {name: gone.select("id").distinct()}
+    lost = {name: stored(gone.select("id").distinct(), f"lost-{name}")}
     out = dict(state)
     order = [t for level in load_order() for t in level]
     for table in order:
         if table not in state:
             continue
         own = [k for k in foreign_keys() if k.child == table and k.parent in lost]
-        for k in (k for k in own if k.action == "cascade"):
-            ids = state[table].join(lost[k.parent].withColumnRenamed("id", "_gone"), F.col(k.column) == F.col("_gone"), "left_semi").select("id")
-            lost[table] = lost[table].union(ids).distinct() if table in lost else ids.distinct()
+        found = [lost[table]] if table in lost else []
+        for k in (k for k in own if k.action == "cascade" and k.column in state[table].columns):
+            found.append(state[table].join(lost[k.parent].withColumnRenamed("id", "_gone"), F.col(k.column) == F.col("_gone"), "left_semi").select("id"))
+        if len(found) > (table in lost):
+            ids = found[0]
+            for more in found[1:]:
+                ids = ids.union(more)
+            lost[table] = stored(ids.distinct(), f"lost-{table}")
         if table in lost:
             out[table] = out[table].join(lost[table], "id", "left_anti")
-        for k in (k for k in own if k.action == "set_null"):
+        for k in (k for k in own if k.action == "set_null" and k.column in state[table].columns):
             out[table] = set_null(out[table], k.column, lost[k.parent])
-        for k in (k for k in own if k.action == "restrict"):
+        for k in (k for k in own if k.action == "restrict" and k.column in state[table].columns):
             if restrict_blockers(out[table], k.column, lost[k.parent]).limit(1).count():
                 raise ValueError(f"{k.name} restricts the delete")
         out[table] = out[table].select(*state[table].columns)

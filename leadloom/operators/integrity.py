@@ -40,19 +40,21 @@ def reference_violations(child: DataFrame, column: str, parent: DataFrame, key:
 
 
 def table_violations(table: Table, rows: DataFrame, parents: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(constraint_name, n) for every rule of ``table`` that ``rows`` break."""
-    out = null_violations(rows, [c.name for c in table.columns if c.required]).select(F.concat(F.lit(f"{table.name}."), "column", F.lit(" not null")).alias("constraint_name"), "n")
-
-    def add(name: str, broken: DataFrame) -> None:
+    """(constraint_name, n) for every rule of ``table`` that ``rows`` break.
+
+    Nulls, checks and domains are counted in one pass; each unique key and each reference needs a shuffle of its own.
+    """
+    broken = {f"{table.name}.{c.name} not null": F.col(c.name).isNull() for c in table.columns if c.required}
+    broken |= {name: ~F.coalesce(F.expr(predicate), F.lit(True)) for name, predicate in table.checks.items()}
+    broken |= {f"{table.name}.{c.name} domain": ~F.coalesce(F.col(c.name).isin(*c.enum), F.lit(True)) for c in table.columns if c.enum}
+    counts = rows.agg(*(F.count_if(condition).alias(f"n{k}") for k, condition in enumerate(broken.values())))
+    listed = F.array(*(F.struct(F.lit(name).alias("constraint_name"), F.col(f"n{k}").alias("n")) for k, name in enumerate(broken)))
+    out = counts.select(F.explode(listed).alias("x")).select("x.constraint_name", "x.n").where("n > 0")
+
+    def add(name: str, found: DataFrame) -> None:
         nonlocal out
-        counted = broken.agg(F.count("*").alias("n")).where("n > 0")
-        out = out.union(counted.select(F.lit(name).alias("constraint_name"), "n"))
-
-    for name, predicate in table.checks.items():
-        add(name, check_violations(rows, predicate))
-    for c in table.columns:
-        if c.enum:
-            add(f"{table.name}.{c.name} domain", domain_violations(rows, c.name, c.enum))
+        out = out.union(found.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(name).alias("constraint_name"), "n"))
+
     for name, columns in {f"{table.name}_pkey": (table.key,), **table.uniques}.items():
         add(name, unique_violations(rows, columns))
     for key in foreign_keys():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,49 @@ def followup_schedule(rows: DataFrame, sent: str, offsets: Sequence[int]) -> Dat
     return out.select(*rows.columns, "_f.sequence_step", (F.col(sent) + F.make_dt_interval(days=F.col("_f.days"))).alias("scheduled_at"))
 
 
-def in_business_hours(local: Column, workdays: Sequence[int] = (1, 2, 3, 4, 5), start: int = 9, end: int = 17) -> Column:
-    """Whether a local time is on a work day (1 Monday to 7 Sunday) from ``start`` until before ``end``."""
-    return (F.weekday(local) + 1).isin(*workdays) & (F.hour(local) >= start) & (F.hour(local) < end)
+def in_business_hours(utc: Column, rules: Mapping) -> Column:
+    """Whether a time in UTC is, in the zone of ``rules``, on one of its work days (1 Monday to 7 Sunday) from start until before end.
+
+    ``rules``: the setting business.hours (timezone, workdays, start and end as HH:MM).
+    """
+    local = F.from_utc_timestamp(utc, rules["timezone"])
+    start, end = (int(t[:2]) * 60 + int(t[3:]) for t in (rules["start"], rules["end"]))
+    minute = F.hour(local) * 60 + F.minute(local)
+    return (F.weekday(local) + 1).isin(*rules["workdays"]) & (minute >= start) & (minute < end)
+
+
+def send_limits(rows: DataFrame, limits: Mapping, campaigns: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The messages that may be sent: ``rows`` (day, kind, contact, campaign_id, ...) in order, with ``slot`` of the day and kind.
+
+    A contact gets at most ``max_per_contact`` a day, a campaign sends at most its ``daily_limit`` a day
+    (``campaigns``: campaign_id, daily_limit; none or null: no limit), and each kind (outreach, followup)
+    at most its own limit of ``limits``, the setting outreach.email.daily_limit; other kinds are not sent.
+    Where limits are small, Spark keeps that many rows of a group in each task before it shuffles.
+    """
+    by_contact = Window.partitionBy("day", "contact").orderBy(*order)
+    own = rows.withColumn("_c", F.row_number().over(by_contact)).where(F.col("_c") <= int(limits["max_per_contact"])).drop("_c")
+    capped = campaigns.select(F.col("campaign_id").alias("_id"), F.col("daily_limit").alias("_limit"))
+    own = own.join(capped, F.col("campaign_id") == F.col("_id"), "left").drop("_id")
+    # Rows without a limited campaign stand alone, so that they are no hot key.
+    own = own.withColumn("_own", F.when(F.col("_limit").isNull(), F.monotonically_increasing_id()))
+    by_campaign = Window.partitionBy("day", "campaign_id", "_own").orderBy(*order)
+    own = own.withColumn("_n", F.row_number().over(by_campaign)).where(F.col("_limit").isNull() | (F.col("_n") <= F.col("_limit"))).drop("_n", "_limit", "_own")
+    by_kind = Window.partitionBy("day", "kind").orderBy(*order)
+    parts = [own.where(F.col("kind") == k).withColumn("slot", F.row_number().over(by_kind)).where(F.col("slot") <= int(limits[k])) for k in ("outreach", "followup")]
+    return parts[0].union(parts[1])
+
+
+def notified(priority: Column, classification: Column, rules: Mapping) -> Column:
+    """``now`` for what the setting notifications.rules tells at once (critical and high exceptions, interested replies), else its digest."""
+    at_once = F.lit(False)
+    for level in ("CRITICAL", "HIGH"):
+        if rules[f"{level.lower()}_exceptions"]:
+            at_once = at_once | F.coalesce(priority == level, F.lit(False))
+    if rules["buying_intent"]:
+        at_once = at_once | F.coalesce(classification == "INTERESTED", F.lit(False))
+    return F.when(at_once, "now").otherwise(F.lit(rules["digest"]))
+
+
+def price_cents(months: Column, setup_fee_cents: int, hosting_monthly_cents: int) -> Column:
+    """The setup fee and the hosting of some months, in whole cents."""
+    return F.lit(int(setup_fee_cents)).cast("long") + months.cast("long") * int(hosting_monthly_cents)

@@ -1,41 +1,44 @@
-"""The registry as tables: what the model declares, for queries."""
+"""The catalog of stored tables, as tables: read from the schemas of what is there."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registry import ENUMS, foreign_keys, tables
+from . import warehouse
 
 SCHEMA = "public"
 
 
-def info_tables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(SCHEMA, t) for t in tables()], "table_schema string, table_name string")
+def info_tables(spark: SparkSession, root: str) -> DataFrame:
+    return spark.createDataFrame([(SCHEMA, t) for t in warehouse.listed(spark, root)], "table_schema string, table_name string")
 
 
 def info_namespaces(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, SCHEMA), (2, "pg_catalog")], "namespace_id int, namespace_name string")
 
 
-def info_enums(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, n, "e", list(v)) for n, v in ENUMS.items()], "namespace_id int, type_name string, type_kind string, labels array<string>")
+def info_enums(spark: SparkSession, root: str) -> DataFrame:
+    """The enums of all columns."""
+    found = {f.metadata["enum"]: list(f.metadata["values"]) for schema, _ in warehouse.schemas(spark, root).values() for f in schema if "enum" in f.metadata}
+    return spark.createDataFrame([(1, n, "e", v) for n, v in sorted(found.items())], "namespace_id int, type_name string, type_kind string, labels array<string>")
 
 
-def info_indexes(spark: SparkSession) -> DataFrame:
+def info_indexes(spark: SparkSession, root: str) -> DataFrame:
     """Declared indexes, and those that keys and unique constraints bring."""
     rows = []
-    for t in tables().values():
-        rows += [(SCHEMA, t.name, f"{t.name}_pkey", [t.key])]
-        rows += [(SCHEMA, t.name, n, list(c)) for n, c in (t.indexes | t.uniques).items()]
+    for name, (_, rules) in warehouse.schemas(spark, root).items():
+        own = {f"{name}_pkey": [rules["key"]]} | rules["indexes"] | rules["uniques"] if rules else {}
+        rows += [(SCHEMA, name, n, c) for n, c in own.items()]
     return spark.createDataFrame(rows, "table_schema string, table_name string, index_name string, columns array<string>")
 
 
-def info_constraints(spark: SparkSession) -> DataFrame:
+def info_constraints(spark: SparkSession, root: str) -> DataFrame:
     """Kinds: p primary key, u unique, c check, f foreign key.  Names are cut at 63 characters, as a server would."""
     rows = []
-    for t in tables().values():
-        rows += [(1, t.name, f"{t.name}_pkey", "p", [t.key])]
-        rows += [(1, t.name, n, "u", list(c)) for n, c in t.uniques.items()]
-        rows += [(1, t.name, n, "c", []) for n in t.checks]
-    rows += [(1, k.child, k.name[:63], "f", [k.column]) for k in foreign_keys()]
+    for name, (_, rules) in warehouse.schemas(spark, root).items():
+        if rules:
+            rows += [(1, name, f"{name}_pkey", "p", [rules["key"]])]
+            rows += [(1, name, n, "u", c) for n, c in rules["uniques"].items()]
+            rows += [(1, name, n, "c", []) for n in rules["checks"]]
+            rows += [(1, name, n[:63], "f", [r[0]]) for n, r in rules["references"].items()]
     return spark.createDataFrame(rows, "namespace_id int, table_name string, constraint_name string, kind string, columns array<string>")
