@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leadloom.llm import bagminhash, language, mixing, pieces, templates
 from leadloom.llm.store import stored
@@ -46,8 +47,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their pieces."""
-    return pieces.encode(docs.select(*COLUMNS))
+    """The documents with their pieces; of equal rows, the passes of a mix, each has a dropout of its own."""
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    numbered = docs.select(*COLUMNS, nth.alias("nth"))
+    return pieces.encode(numbered, key=("doc_id", "nth")).drop("nth")
 
 
 STAGES = [
