@@ -119,7 +119,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SH
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs)
     fixed = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "content").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fixed"))
     named = contents.join(fixed, ["leaf", "content"]).where((F.size("fixed") >= F.size("tokens") * share) & F.exists("fixed", lambda p: p["token"] != _FIELD_LONG))
-    named = named.select("leaf", "content", F.xxhash64("leaf", "fixed").alias("template"))
+    # Written before the join, so that a frequent line's side can be split.
+    named = stored(named.select("leaf", "content", F.xxhash64("leaf", "fixed").alias("template")), "template-named")
     held = stored(found.select(*_NAME, "line", "leaf", "content").join(named, ["leaf", "content"]).select(*_NAME, "line", "template"), "template-held")
     counts = held.groupBy("template", *_NAME).agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"))
     counts = counts.where(F.col("n") >= min_docs)
