@@ -147,31 +147,61 @@ chk_system_settings_type: system_settings type IN ('string', 'number', 'boolean'
 chk_website_analyses_score: website_analyses website_quality_score BETWEEN 0 AND 100
 """
 
-# Indexed columns by table; an index is named idx_<table>_<columns> unless a name stands before it.
+# Indexes as name: table columns.
 _INDEXES = """
-audit_logs: entity=entity_type,entity_id created_at
-businesses: lifecycle_state state_city=state,city city_state_zip=city,state,zip source industry zip
-contacts: business_id email status
-conversation_messages: conversation_id
-conversations: business_id status
-customer_onboarding: status
-demos: business_id status template_id
-domains: customer_id status
-exceptions: status_priority=status,priority entity=entity_type,entity_id first_seen_at
-followups: outreach_message_id status_scheduled_at=status,scheduled_at
-lead_scores: business_id created_at classification priority=lead_priority_score
-lead_state_history: business_id business_created=business_id,created_at
-outreach_campaigns: status
-outreach_messages: business_id campaign_id status contact_id
-payments: customer_id status
-production_websites: customer_id
-sales_opportunities: status business_id customer_id
-scoring_versions: active=score_type,is_active
-subscriptions: customer_id status
-tasks: status_scheduled_at=status,scheduled_at entity=entity_type,entity_id type
-website_analyses: website_id analyzed_at
-website_versions: production_website_id
-websites: business_id status
+idx_audit_logs_entity: audit_logs entity_type entity_id
+idx_audit_logs_created_at: audit_logs created_at
+idx_businesses_lifecycle_state: businesses lifecycle_state
+idx_businesses_state_city: businesses state city
+idx_businesses_city_state_zip: businesses city state zip
+idx_businesses_source: businesses source
+idx_businesses_industry: businesses industry
+idx_businesses_zip: businesses zip
+idx_contacts_business_id: contacts business_id
+idx_contacts_email: contacts email
+idx_contacts_status: contacts status
+idx_conversation_messages_conversation_id: conversation_messages conversation_id
+idx_conversations_business_id: conversations business_id
+idx_conversations_status: conversations status
+idx_customer_onboarding_status: customer_onboarding status
+idx_demos_business_id: demos business_id
+idx_demos_status: demos status
+idx_demos_template_id: demos template_id
+idx_domains_customer_id: domains customer_id
+idx_domains_status: domains status
+idx_exceptions_status_priority: exceptions status priority
+idx_exceptions_entity: exceptions entity_type entity_id
+idx_exceptions_first_seen_at: exceptions first_seen_at
+idx_followups_outreach_message_id: followups outreach_message_id
+idx_followups_status_scheduled_at: followups status scheduled_at
+idx_lead_scores_business_id: lead_scores business_id
+idx_lead_scores_created_at: lead_scores created_at
+idx_lead_scores_classification: lead_scores classification
+idx_lead_scores_priority: lead_scores lead_priority_score
+idx_lead_state_history_business_id: lead_state_history business_id
+idx_lead_state_history_business_created: lead_state_history business_id created_at
+idx_outreach_campaigns_status: outreach_campaigns status
+idx_outreach_messages_business_id: outreach_messages business_id
+idx_outreach_messages_campaign_id: outreach_messages campaign_id
+idx_outreach_messages_status: outreach_messages status
+idx_outreach_messages_contact_id: outreach_messages contact_id
+idx_payments_customer_id: payments customer_id
+idx_payments_status: payments status
+idx_production_websites_customer_id: production_websites customer_id
+idx_sales_opportunities_status: sales_opportunities status
+idx_sales_opportunities_business_id: sales_opportunities business_id
+idx_sales_opportunities_customer_id: sales_opportunities customer_id
+idx_scoring_versions_active: scoring_versions score_type is_active
+idx_subscriptions_customer_id: subscriptions customer_id
+idx_subscriptions_status: subscriptions status
+idx_tasks_status_scheduled_at: tasks status scheduled_at
+idx_tasks_entity: tasks entity_type entity_id
+idx_tasks_type: tasks type
+idx_website_analyses_website_id: website_analyses website_id
+idx_website_analyses_analyzed_at: website_analyses analyzed_at
+idx_website_versions_production_website_id: website_versions production_website_id
+idx_websites_business_id: websites business_id
+idx_websites_status: websites status
 """
 
 _TYPES: dict[str, DataType] = {
@@ -258,10 +288,7 @@ def tables() -> dict[str, Table]:
             columns.insert(0, Column("id", "uuid", True, "random"))
         uniques = {n: tuple(r.split()[1:]) for n, r in _lines(_UNIQUES) if r.split()[0] == name}
         checks = {n: r.split(" ", 1)[1] for n, r in _lines(_CHECKS) if r.split()[0] == name}
-        indexes = {}
-        for item in dict(_lines(_INDEXES)).get(name, "").split():
-            suffix, _, listed = item.partition("=")
-            indexes[f"idx_{name}_{suffix}"] = tuple((listed or suffix).split(","))
+        indexes = {n: tuple(r.split()[1:]) for n, r in _lines(_INDEXES) if r.split()[0] == name}
         out[name] = Table(name, tuple(columns), key, uniques, checks, indexes)
     return out
 
