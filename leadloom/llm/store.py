@@ -30,6 +30,17 @@ def small_batches(spark: SparkSession) -> None:
 TASK_ROWS = 20_000
 
 
+_WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that ``stored`` has written; results that still read them must be written first."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def few(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
     """``df`` in no more tasks than its number of ``rows`` asks for, at ``each`` for a task; no shuffle.
 
@@ -48,5 +59,6 @@ def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     if rows is not None:
         df = few(df, rows)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

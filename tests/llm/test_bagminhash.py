@@ -58,3 +58,10 @@ def test_signatures_estimate_weighted_jaccard():
 
 def test_empty(empty):
     assert near_duplicates(empty).collect() == []
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, 5, 6, 7), (2, text + " more", 5, 6, 7), (3, "another text of its own here", 5, 6, 7)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, node int, weight int, k1 int"))
+    assert sorted((r["doc_id"], r["class_id"], r["kept"]) for r in out.collect()) == [(1, 1, True), (2, 1, False), (3, 3, True)]
