@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -190,17 +190,26 @@ def outer_rows(keys: np.ndarray) -> np.ndarray:
     return (keys & _U(BUCKETS - 1)).astype(np.int64)
 
 
-def exponentials(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=8)
+def _buffer(width: int, use: str) -> np.ndarray:
+    """Memory that batches of this width use again and again."""
+    return np.empty((BATCH, width), np.float32)
+
+
+def exponentials(table: np.ndarray, rows: np.ndarray, bias: np.ndarray, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each line of ``rows`` what is proportional to the shares of the choices, and its sum.
 
+    ``bias``: one for all lines, or the lines ``node`` of a table.  The result holds until the next call.
     Logits are at most a few dozen, as each step of a weight is bounded, so no maximum is taken off first.
     """
-    x = table[rows[:, 0]]
+    width = table.shape[1]
+    x, more = (_buffer(width, use)[: len(rows)] for use in ("sum", "part"))
+    np.take(table, rows[:, 0], axis=0, out=x, mode="clip")
     for k in range(1, rows.shape[1]):
-        x += table[rows[:, k]]
-    x += bias
+        x += np.take(table, rows[:, k], axis=0, out=more, mode="clip")
+    x += bias if node is None else np.take(bias, node, axis=0, out=more, mode="clip")
     np.exp(x, out=x)
-    return x, x @ np.ones(x.shape[1], np.float32)
+    return x, x @ np.ones(width, np.float32)
 
 
 def _shares(bias: np.ndarray) -> np.ndarray:
@@ -208,9 +217,11 @@ def _shares(bias: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def drawn(cumulative: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The choice whose part of its line's running sums holds the share ``u`` of the whole."""
-    return (cumulative > (cumulative[:, -1] * u)[:, None]).argmax(axis=1)
+def drawn(x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The choice whose part of its line's sum holds the share ``u`` of it."""
+    width = x.shape[1]
+    sums = np.matmul(x, np.triu(np.ones((width, width), np.float32)), out=_buffer(width, "part")[: len(x)])
+    return (sums > (sums[:, -1] * u)[:, None]).argmax(axis=1)
 
 
 def randoms(hashes: np.ndarray, counts: np.ndarray, turn: int) -> np.ndarray:
@@ -268,7 +279,7 @@ def _tallied(lexicon: Lexicon, w: Weights, turn: int):
                     rows = outer_rows(keys)
                     seen[0].add(rows, cls)
                     if turn:
-                        expected[0].add(rows, drawn(exponentials(w.theta, rows, w.by_class)[0].cumsum(axis=1), u[-1]))
+                        expected[0].add(rows, drawn(exponentials(w.theta, rows, w.by_class)[0], u[-1]))
                     else:
                         met[0].add(rows, np.zeros(len(rows), np.int32))
                     for j in range(DEEPEST):
@@ -278,7 +289,7 @@ def _tallied(lexicon: Lexicon, w: Weights, turn: int):
                             rows = lexicon.inner_rows(keys[own], n)
                             seen[1].add(rows, choice[j, own])
                             if turn:
-                                expected[1].add(rows, drawn(exponentials(w.phi, rows, w.in_node[n])[0].cumsum(axis=1), u[j, own]))
+                                expected[1].add(rows, drawn(exponentials(w.phi, rows, w.in_node, n)[0], u[j, own]))
                             else:
                                 met[1].add(rows, np.zeros(len(rows), np.int32))
         if some:
@@ -330,7 +341,7 @@ def _score(lexicon: Lexicon, w: Weights):
                         own = np.flatnonzero(node[j] >= 0)
                         if len(own):
                             n = node[j, own]
-                            x, whole = exponentials(w.phi, lexicon.inner_rows(keys[own], n), w.in_node[n])
+                            x, whole = exponentials(w.phi, lexicon.inner_rows(keys[own], n), w.in_node, n)
                             p[own] *= x[np.arange(len(own)), choice[j, own]] / whole
                     out = np.log10(np.maximum(p.astype(np.float64), 1e-37))
                     out[r < 0] -= np.log10(lexicon.rest)

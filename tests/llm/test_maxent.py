@@ -53,7 +53,7 @@ def test_probabilities_sum_to_one():
     p = by_class[cls]
     for j in range(maxent.DEEPEST):
         own = np.flatnonzero(node[j] >= 0)
-        x, whole = maxent.exponentials(w.phi, lexicon.inner_rows(np.repeat(keys, len(own), axis=0), node[j, own]), w.in_node[node[j, own]])
+        x, whole = maxent.exponentials(w.phi, lexicon.inner_rows(np.repeat(keys, len(own), axis=0), node[j, own]), w.in_node, node[j, own])
         p[own] *= x[np.arange(len(own)), choice[j, own]] / whole
     assert set(node[0]) >= set(range(36)) and (node[2] >= 0).any()
     # The last class: the counted words beyond, and one unseen.
