@@ -5,8 +5,8 @@ divides its own among its children by weight, but no child gets more than its su
 (tokens times ``epochs``), and what a full child leaves over goes to its siblings; only what no sibling
 can take comes back to the node's own siblings, since a node's capacity is the sum of its children's.
 A leaf's budget is met by whole passes over its documents and a token-prefix of one more pass, each in
-an order of its own by a seeded hash.  The prefix is found by radix: sums of tokens by the hash's
-first digits, then documents only inside the one bucket where the prefix ends.
+an order of its own by a seeded hash.  The prefix is found by radix: sums of tokens by the hash's first
+digits, then by the next ones inside the one bucket where the prefix ends, then documents inside one of these.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BUDGET_PER_MILLE, EPOCHS, SEED = 600, 2, "mix-1"
 #: Weights by level and name; names that are not listed weigh DEFAULT_WEIGHT.
 WEIGHTS: dict[str, dict[str, int]] = {"domain": {"d0": 4, "d1": 3, "d2": 3}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}}
 DEFAULT_WEIGHT = 1
-_DIGITS = 3  # hex digits of the hash that name a bucket
+_DIGITS, _RADIX = 3, 2  # hex digits of the hash that name a bucket, levels of buckets in buckets
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -114,21 +114,26 @@ def mix(docs: DataFrame, per_mille: int = BUDGET_PER_MILLE, epochs: int = EPOCHS
     plan = stored(plan, "mix-plan")
     rows = slim.join(plan, list(LEVELS))
     order = F.md5(F.concat_ws("|", F.lit(seed), "passes", "doc_id").cast("binary"))
-    last = stored(rows.where("prefix > 0").withColumn("hash", order), "mix-last").withColumn("bucket", F.substring("hash", 1, _DIGITS))
-    sums = last.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("sum"), F.first("prefix").alias("prefix"))
+    last = stored(rows.where("prefix > 0").withColumn("hash", order), "mix-last")
+    whole, open_ = [], last.withColumn("before", F.lit(0).cast("long"))
     up_to = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumn("before", F.sum("sum").over(up_to) - F.col("sum")).where(F.col("before") < F.col("prefix"))
-    sums = sums.withColumn("whole", F.col("before") + F.col("sum") <= F.col("prefix"))
-    cut = last.join(sums.select(*LEVELS, "bucket", "before", "whole"), [*LEVELS, "bucket"])
+    for level in range(_RADIX):
+        # Of a leaf's buckets one may hold the end of the prefix; those before it are taken whole.
+        dealt = open_.withColumn("bucket", F.substring("hash", 1 + _DIGITS * level, _DIGITS))
+        sums = dealt.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("sum"), F.first("prefix").alias("prefix"), F.first("before").alias("start"))
+        sums = sums.withColumn("at", F.col("start") + F.sum("sum").over(up_to) - F.col("sum")).where(F.col("at") < F.col("prefix"))
+        sums = sums.select(*LEVELS, "bucket", "at", (F.col("at") + F.col("sum") <= F.col("prefix")).alias("whole"))
+        cut = dealt.join(sums, [*LEVELS, "bucket"])
+        whole.append(cut.where("whole"))
+        open_ = stored(cut.where("not whole").withColumn("before", F.col("at")).select(*open_.columns), "mix-open")
     inside = Window.partitionBy(*LEVELS).orderBy("hash", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = cut.where("not whole").withColumn("start", F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).where(F.col("start") < F.col("prefix"))
+    ends = open_.withColumn("start", F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).where(F.col("start") < F.col("prefix"))
     columns = ["doc_id", "row", "content", *LEVELS]
     full = rows.where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    return (
-        full.select(*columns, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"))
-        .union(cut.where("whole").select(*columns, F.col("passes").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens")))
-        .union(ends.select(*columns, F.col("passes").alias("epoch"), "n_tokens", F.least(F.col("n_tokens"), F.col("prefix") - F.col("start")).alias("take_tokens")))
-    )
+    out = full.select(*columns, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"))
+    for part in whole:
+        out = out.union(part.select(*columns, F.col("passes").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens")))
+    return out.union(ends.select(*columns, F.col("passes").alias("epoch"), "n_tokens", F.least(F.col("n_tokens"), F.col("prefix") - F.col("start")).alias("take_tokens")))
 
 
 def texts(docs: DataFrame, **limits) -> DataFrame:
