@@ -25,7 +25,7 @@ from .textblocks import blocks, lists
 
 BITS, SIZES = 17, 3
 #: Upper bounds of the fitted documents: of one language, and of all, but for one of each language.
-SAMPLE, FITTED = 500, 50_000
+SAMPLE, FITTED = 500, 20_000
 UNKNOWN = "und"
 _SCALE = 30.0
 
