@@ -15,14 +15,20 @@ from pyspark.sql.types import StructField, StructType
 from .registry import ENUMS, Table, foreign_keys, tables
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode where none is set."""
+    """The folder in ``spark.checkpoint.dir``; where none is set, in local mode only, a temporary one of the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="leadloom-")
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="leadloom-")
+    return _FOLDERS[app]
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
