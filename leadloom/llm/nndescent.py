@@ -5,7 +5,9 @@ neighbours of its own label starts from a few orders by random hyperplanes, in w
 are compared, and is refined by joining the neighbours of neighbours until hardly an entry above the
 threshold is new.  A list whose every entry passes the threshold is saturated; it is enlarged to all
 saturated nodes of the label by products of blocks, which count links and give one representative of
-each linked set.  Pairs of blocks too far apart for a link are left out before vectors move.  Recall is
+each linked set.  Means and angles of blocks alone decide which pairs are too far apart for a link, and which
+so close that all their vectors are linked, so that a large group of near copies is counted, not
+multiplied; vectors move for the pairs between.  Recall is
 audited against brute force on as many vectors as show ``LINKS`` links; below ``RECALL`` the lists are
 doubled and refined again, and if that does not reach it either, blocks of all vectors give all links.
 Links are decided in double precision.
@@ -190,8 +192,8 @@ def _blocks(dims: int):
         mean = v.mean(axis=0)
         mean /= max(np.sqrt((mean * mean).sum()), 1e-300)
         angle = float(np.arccos(np.clip(v @ mean, -1, 1)).max())
-        cells = [[label], [int(nodes[0])], [nodes.tobytes()], [copies.tobytes()], [v.tobytes()], [mean.tobytes()], [angle]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["label", "block", "nodes", "copies", "vectors", "mean", "angle"])
+        cells = [[label], [int(nodes[0])], [nodes.tobytes()], [copies.tobytes()], [v.tobytes()], [mean.tobytes()], [angle], [int(copies.sum())], [int(nodes.min())]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["label", "block", "nodes", "copies", "vectors", "mean", "angle", "weight", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -212,43 +214,72 @@ def _blocks(dims: int):
     return run
 
 
+_SUMMARY = ("blocks", "means", "angles", "weights", "leasts")
+
+
 def _supers(dims: int):
-    """Rows (label, block, mean, angle), labels together -> up to ``SUPER`` of one label in a row."""
+    """Rows (label, block, mean, angle, weight, least), labels together -> up to ``SUPER`` of one label in a row."""
 
-    def give(label, blocks, means, angles):
-        cells = [[label], [int(blocks[0])], [blocks.tobytes()], [means.tobytes()], [angles.tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["label", "super", "blocks", "means", "angles"])
+    def give(label, *parts):
+        cells = [[label], [int(parts[0][0])], *([p.tobytes()] for p in parts)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["label", "super", *_SUMMARY])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, block, angle = (batch.column(c).to_numpy() for c in ("label", "block", "angle"))
-            mean = _vectors(batch.column("mean"), dims, np.float64)
+            label, block, angle, weight, least = (batch.column(c).to_numpy() for c in ("label", "block", "angle", "weight", "least"))
+            own = (block, _vectors(batch.column("mean"), dims, np.float64), angle, weight, least)
             ends = np.flatnonzero(label[1:] != label[:-1]) + 1
             for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(label)]):
                 for c in range(a, b, SUPER):
-                    d = min(b, c + SUPER)
-                    yield give(int(label[c]), block[c:d], mean[c:d], angle[c:d])
+                    yield give(int(label[c]), *(x[c : min(b, c + SUPER)] for x in own))
 
     return run
 
 
 def _near_blocks(dims: int, threshold: float):
-    """Pairs of such rows -> (block, other): the blocks that may hold a link, each pair once."""
-    widest = float(np.arccos(threshold)) + 1e-6
+    """Pairs of such rows -> rows (block, other, weight, least, own).
+
+    With ``other``: blocks that may hold a link, each pair once.  Without: the weight and the smallest node
+    of the blocks whose vectors are all linked with the block's, and whether it itself is one (``own``).
+    """
+    widest, slack = float(np.arccos(threshold)), 1e-6
+    names = ["block", "other", "weight", "least", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 cell = lambda name, kind: np.frombuffer(batch.column(name)[k].as_buffer(), kind)
-                a, b = cell("blocks", np.int64), cell("other_blocks", np.int64)
-                x, y = cell("means", np.float64).reshape(-1, dims), cell("other_means", np.float64).reshape(-1, dims)
-                apart = np.arccos(np.clip(x @ y.T, -1, 1)) - cell("angles", np.float64)[:, None] - cell("other_angles", np.float64)[None, :]
-                i, j = np.nonzero((apart <= widest) & ((a[:, None] <= b[None, :]) | (a[0] != b[0])))
-                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], names=["block", "other"])
+                (a, x, ra, wa, la), (b, y, rb, wb, lb) = (
+                    (cell(f"{o}blocks", np.int64), cell(f"{o}means", np.float64).reshape(-1, dims), cell(f"{o}angles", np.float64), cell(f"{o}weights", np.int64), cell(f"{o}leasts", np.int64))
+                    for o in ("", "other_")
+                )
+                between, reach = np.arccos(np.clip(x @ y.T, -1, 1)), ra[:, None] + rb[None, :]
+                self_ = a[0] == b[0]
+                between[a[:, None] == b[None, :]] = 0.0
+                all_ = between + reach <= widest - slack
+                some = (between - reach <= widest + slack) & ~all_
+                i, j = np.nonzero(some & (a[:, None] <= b[None, :]) if self_ else some)
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), *(pa.nulls(len(i), pa.int64()) for _ in range(3))], names=names)
+                for one, linked, weight, least in ((a, all_, wb, lb),) if self_ else ((a, all_, wb, lb), (b, all_.T, wa, la)):
+                    at = np.flatnonzero(linked.any(axis=1))
+                    sums, low = linked[at] @ weight, np.where(linked[at], least[None, :], np.iinfo(np.int64).max).min(axis=1)
+                    own = np.diagonal(linked)[at].astype(np.int64) if self_ else np.zeros(len(at), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(one[at]), pa.nulls(len(at), pa.int64()), pa.array(sums), pa.array(low), pa.array(own)], names=names)
 
     return run
 
 
+def _all_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the sums of the blocks that are all linked with them -> (node, links, smallest node)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            nodes, copies = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in ("nodes", "copies"))
+            n = batch.column("weight")[k].as_py() - batch.column("own")[k].as_py() * copies
+            ok = n > 0
+            top = np.minimum(nodes, batch.column("least")[k].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[ok]), pa.array(n[ok]), pa.array(top[ok])], names=["node", "n", "top"])
+
+
 def _block_links(dims: int, threshold: float):
     """Pairs of blocks -> (node, links in the other block, the smallest node that these links reach)."""
     big = np.iinfo(np.int64).max
@@ -279,18 +310,23 @@ def _block_links(dims: int, threshold: float):
 
 def _dense(packed: DataFrame, dims: int, threshold: float, size: int) -> DataFrame:
     """(node, n, top) of the links among ``packed`` (label, component, node, copies, exact), sorted by (label, component)."""
-    shape = "label long, block long, nodes binary, copies binary, vectors binary, mean binary, angle double"
+    shape = "label long, block long, nodes binary, copies binary, vectors binary, mean binary, angle double, weight long, least long"
     blocks = stored(few(packed.select("label", "component", "node", "copies", "exact"), size, 8192).mapInArrow(_blocks(dims), shape), "descent-blocks")
-    shape = "label long, super long, blocks binary, means binary, angles binary"
-    supers = stored(blocks.select("label", "block", "mean", "angle").mapInArrow(_supers(dims), shape), "descent-supers", size)
+    shape = "label long, super long, blocks binary, means binary, angles binary, weights binary, leasts binary"
+    supers = stored(blocks.select("label", "block", "mean", "angle", "weight", "least").mapInArrow(_supers(dims), shape), "descent-supers", size)
     # Which pairs are near is known from numbers and means alone; vectors are fetched for those.
     slim = supers.select("label", "super")
     listed = slim.join(slim.select("label", F.col("super").alias("other_super")), "label").where(F.col("super") <= F.col("other_super")).drop("label")
     means = listed.join(supers.drop("label"), "super").join(_other(supers.drop("label")), "other_super")
-    near = stored(few(means.drop("super", "other_super"), size, 8192).mapInArrow(_near_blocks(dims, threshold), "block long, other long"), "descent-near")
+    shape = "block long, other long, weight long, least long, own long"
+    near = stored(few(means.drop("super", "other_super"), size, 8192).mapInArrow(_near_blocks(dims, threshold), shape), "descent-near")
     own = blocks.select("block", "nodes", "copies", "vectors")
-    pairs = near.join(own, "block").join(_other(own).withColumnRenamed("other_block", "other"), "other").drop("block", "other")
-    return stored(few(pairs, size, 4000).mapInArrow(_block_links(dims, threshold), "node long, n long, top long"), "descent-dense")
+    pairs = near.where("other is not null").select("block", "other").join(own, "block").join(_other(own).withColumnRenamed("other_block", "other"), "other").drop("block", "other")
+    sums = near.where("other is null").groupBy("block").agg(F.sum("weight").alias("weight"), F.min("least").alias("least"), F.sum("own").alias("own"))
+    whole = own.drop("vectors").join(sums, "block").drop("block")
+    shape = "node long, n long, top long"
+    dense = few(pairs, size, 4000).mapInArrow(_block_links(dims, threshold), shape).union(few(whole, size).mapInArrow(_all_linked, shape))
+    return stored(dense, "descent-dense")
 
 
 def _other(rows: DataFrame) -> DataFrame:

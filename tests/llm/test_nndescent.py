@@ -66,6 +66,24 @@ def test_equal_vectors_and_blocks_of_many(spark, monkeypatch):
     assert sorted(((False, r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=str) == brute(rows)
 
 
+def test_a_tight_group_is_counted_without_products(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "BLOCK", 16)
+    monkeypatch.setattr(nndescent, "SUPER", 2)
+    taken, own = [], nndescent._dense
+
+    def counted(packed, *rest):
+        taken.append(packed.count())
+        return own(packed, *rest)
+
+    monkeypatch.setattr(nndescent, "_dense", counted)
+    monkeypatch.setattr(nndescent, "_block_links", lambda dims, threshold: lambda batches: iter(()))
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(12)
+    rows = [(k, (centre + 0.01 * rng.standard_normal(12)).tolist(), 0) for k in range(150)] + [(150 + k, rows_[1], 0) for k, rows_ in enumerate([(0, (centre + 0.01).tolist())] * 5)]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert taken[0] > 100 and sorted(((False, r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=str) == brute(rows)
+
+
 def test_clashing_columns(spark):
     rows = [(k, [1.0, 0.1 * k], 0, 7, 8, 9) for k in range(4)]
     out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int, k1 int, copies int")).collect()
