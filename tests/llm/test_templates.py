@@ -58,11 +58,11 @@ def test_short_lines_go_but_bare_numbers_stay(spark):
 
 
 def test_a_very_long_text_of_dropped_lines(spark):
-    rows = [(k, "read more of this\nkept") for k in range(11)] + [(99, "read more of this\n" * 60_000 + "end of it")]
+    rows = [(k, "read more of this\nkept") for k in range(11)] + [(99, "read more of this\n" * 200_000 + "end of it")]
     began = time.time()
     out = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[99]["text"] == "end of it" and out[99]["n_dropped"] == 60_000
-    assert time.time() - began < 30
+    assert out[99]["text"] == "end of it" and out[99]["n_dropped"] == 200_000
+    assert time.time() - began < 120
 
 
 def test_other_columns_and_empty(empty, spark):
