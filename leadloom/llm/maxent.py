@@ -4,7 +4,8 @@ P(word | history) = P(class | history) P(word | class, history).  The ``TOP`` mo
 leaves of a tree below the classes: the first classes hold ``WIDE`` words each, later ones ``WIDE`` groups of
 ``WIDE`` words, the last ones a level more; the words beyond and the unseen one share one class by their
 smoothed counts.  Each choice on the way to a word is a softmax whose logits are a bias and the weights
-of hashed features of the history: the last word, the last two, and the last but one (a skip).
+of hashed features of the history: at the root the last word, the last two and the last but one (a skip),
+each in rows of its own; below it the last word, in rows of the node.
 
 Biases are the smoothed unigram model.  In each round all learning tokens give, for each weight, how often
 its feature and choice were observed and how often they were drawn: each token draws one choice at each
@@ -36,11 +37,13 @@ TOP, WIDE = 1 << 18, 32
 #: Classes by rank: how many, and levels below them.
 LEVELS = ((32, 1), (4, 2), (8, 3))
 DEEPEST = 3
-#: Features at the root and below it, rows of the hashed tables (a parameter of the model, as in any hashed one), rounds.
-FEATURES, INNER, BUCKETS, ROUNDS, BATCH = 3, 2, 1 << 15, 2, 1 << 14
+#: Features at the root and below it (the first ones), rows of the hashed tables (a parameter of the model, as in any hashed one), rounds.
+FEATURES, INNER, BUCKETS, ROUNDS, BATCH = 3, 1, 1 << 15, 2, 1 << 14
 #: Counts that are added to what a weight has observed and expected: in the first round at the root (times the
 #: class's share) and below it, and in later ones, where draws are noise beside what is left to learn; largest step.
-PRIOR, INNER_PRIOR, LATER, LONGEST = 20.0, 1.0, 30.0, 2.0
+PRIOR, INNER_PRIOR, LATER, LONGEST = 300.0, 1.0, 10.0, 2.0
+#: What a step is divided by at the root and below it: somewhat less than the features, which overlap, ask for at most.
+DAMPED, INNER_DAMPED = 2.0, 1.5
 _U = np.uint64
 END, _NONE = mix_int(0x656E64), mix_int(0x6E6F6E65)
 _ROWS = 256  # of a table in a shuffled slab
@@ -186,8 +189,13 @@ class Weights:
 
 
 def outer_rows(keys: np.ndarray) -> np.ndarray:
-    """Rows of theta."""
-    return (keys & _U(BUCKETS - 1)).astype(np.int64)
+    """Rows of theta: half of them for the last word, a quarter each for the last two and the last but one."""
+    half, quarter = _U(BUCKETS // 2), _U(BUCKETS // 4)
+    rows = np.empty(keys.shape, np.int64)
+    rows[:, 0] = keys[:, 0] & half - _U(1)
+    rows[:, 1] = half + (keys[:, 1] & quarter - _U(1))
+    rows[:, 2] = half + quarter + (keys[:, 2] & quarter - _U(1))
+    return rows
 
 
 @lru_cache(maxsize=8)
@@ -318,9 +326,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([_halves(v.astype(np.float32)) for v in found.values()])], names=["slab", "sums"])
 
 
-def step(observed: np.ndarray, expected: np.ndarray, prior: np.ndarray | float, features: int) -> np.ndarray:
+def step(observed: np.ndarray, expected: np.ndarray, prior: np.ndarray | float, damped: float) -> np.ndarray:
     """The move of weights by iterative scaling: as the gradient, observed - expected, points."""
-    return np.clip(np.log((observed + prior) / (expected + prior)) / features, -LONGEST, LONGEST)
+    return np.clip(np.log((observed + prior) / (expected + prior)) / damped, -LONGEST, LONGEST)
 
 
 def _score(lexicon: Lexicon, w: Weights):
@@ -400,8 +408,8 @@ def trained(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights
         for slab, x in zip(sums.column("slab").to_pylist(), sums.column("sums").to_pylist()):
             x = _floats(np.frombuffer(x, np.uint16)).astype(np.float64).reshape(_ROWS, -1)
             seen, expected, seen_in, expected_in = np.split(x, np.cumsum([lexicon.classes, lexicon.classes, WIDE]), axis=1)
-            theta[slab] += step(seen, expected, prior, FEATURES)
-            phi[slab] += step(seen_in, expected_in, inner_prior, INNER)
+            theta[slab] += step(seen, expected, prior, DAMPED)
+            phi[slab] += step(seen_in, expected_in, inner_prior, INNER_DAMPED)
     return w
 
 

@@ -134,9 +134,9 @@ def by_hand(texts, scored_texts):
                         seen_in[r, c] += 1
                         for k in range(32):
                             drew_in[r, k] += p[k] if turn == 0 else k == got
-        for kind, a, b, f in ((theta, seen, drew, 3), (phi, seen_in, drew_in, 2)):
+        for kind, a, b, f in ((theta, seen, drew, 2.0), (phi, seen_in, drew_in, 1.5)):
             for r, c in set(a) | set(b):
-                prior = 30.0 if turn else 20.0 * classes[c] / (n + v + 1) if kind is theta else 1.0
+                prior = 10.0 if turn else 300.0 * classes[c] / (n + v + 1) if kind is theta else 1.0
                 if prior > 0:
                     kind[r, c] += max(-2.0, min(2.0, math.log((a[r, c] + prior) / (b[r, c] + prior)) / f))
     out = []
