@@ -157,32 +157,41 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def chosen(docs: DataFrame, languages: int, sample: int = SAMPLE) -> DataFrame:
+def chosen(docs: DataFrame, sizes: dict[str, int], sample: int = SAMPLE) -> DataFrame:
     """(lang, pick, text): for each language the ``sample`` rows of the smallest hashes, fewer where there are many languages.
 
-    The limits are found from hashes alone, so no task sorts texts; rows with equal hashes at a limit,
-    repeated ones for instance, are cut by number.
+    ``sizes``: rows by language.  Hashes below twice the share that the sample has are looked at, so that
+    few rows meet; a language that has too few of them, as where all rows are equal, is looked at whole.
+    Rows with equal hashes at a limit are cut by number.
     """
-    each = max(1, min(sample, FITTED // max(1, languages)))
+    each = max(1, min(sample, FITTED // max(1, len(sizes))))
     keyed = docs.withColumn("pick", F.xxhash64(F.lit(11), "doc_id", "text"))
+    most = 2**63 - 1
+
+    def below(limits: dict[str, int]) -> DataFrame:
+        # A row for each language: Spark knows its size and sends it to the texts.
+        rows = docs.sparkSession.createDataFrame(list(limits.items()), "lang string, limit long")
+        return keyed.join(rows, "lang").where(F.col("pick") <= F.col("limit"))
+
+    limits = {lang: most if n <= 2 * each else -(2**63) + 2 * each * 2**64 // n for lang, n in sizes.items()}
+    found = {r["lang"]: r["n"] for r in below(limits).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    limits = {lang: k if found.get(lang, 0) >= min(each, sizes[lang]) else most for lang, k in limits.items()}
     first = Window.partitionBy("lang").orderBy("pick")
-    slim = keyed.select("lang", "pick").withColumn("place", F.row_number().over(first)).where(F.col("place") <= each)
-    limits = slim.groupBy("lang").agg(F.max("pick").alias("limit"))
-    near = keyed.join(limits, "lang").where(F.col("pick") <= F.col("limit"))
-    return near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("lang", "pick", "text")
+    return below(limits).withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("lang", "pick", "text")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of ``docs`` (doc_id, text, lang), which hold only what may be learned from; None if they name no language."""
     docs = docs.where("lang is not null")
-    languages = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
     if not languages:
         return None
     counts = docs.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros((1 << BITS) + 1)
     df[counts["feature"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
     idf = np.log((1 + df[-1]) / (1 + df[:-1]))
-    taken = chosen(docs, len(languages), sample).mapInArrow(_vectors, "lang string, pick long, index array<int>, share array<float>").toArrow()
+    taken = chosen(docs, sizes, sample).mapInArrow(_vectors, "lang string, pick long, index array<int>, share array<float>").toArrow()
     rows = []
     for batch in taken.to_batches():
         for field in ("index", "share"):

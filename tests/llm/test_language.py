@@ -36,12 +36,12 @@ def test_text_alone_decides(docs, spark):
 
 
 def test_the_sample_is_bounded_and_repeated_rows_are_cut(spark, monkeypatch):
-    rows = [(1, "same text", "en")] * 3000 + [(k, f"texte {k}", "fr") for k in range(800)] + [(k, "wort", "de") for k in range(3)]
+    rows = [(1, "same text", "en")] * 3000 + [(k, f"texte {k}", "fr") for k in range(1800)] + [(k, "wort", "de") for k in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     count = lambda out: {r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()}
-    assert count(language.chosen(df, 3)) == {"en": language.SAMPLE, "fr": language.SAMPLE, "de": 3}
+    assert count(language.chosen(df, {"en": 3000, "fr": 1800, "de": 3})) == {"en": language.SAMPLE, "fr": language.SAMPLE, "de": 3}
     monkeypatch.setattr(language, "FITTED", 30)
-    assert count(language.chosen(df, 3)) == {"en": 10, "fr": 10, "de": 3}
+    assert count(language.chosen(df, {"en": 3000, "fr": 1800, "de": 3})) == {"en": 10, "fr": 10, "de": 3}
 
 
 def by_hand(rows, texts):
