@@ -169,9 +169,8 @@ def chosen(docs: DataFrame, sizes: dict[str, int], sample: int = SAMPLE) -> Data
     most = 2**63 - 1
 
     def below(limits: dict[str, int]) -> DataFrame:
-        # A row for each language: Spark knows its size and sends it to the texts.
-        rows = docs.sparkSession.createDataFrame(list(limits.items()), "lang string, limit long")
-        return keyed.join(rows, "lang").where(F.col("pick") <= F.col("limit"))
+        # An entry for each language in the expression, so that no text moves.
+        return keyed.where(F.col("pick") <= F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("lang")])
 
     limits = {lang: most if n <= 2 * each else -(2**63) + 2 * each * 2**64 // n for lang, n in sizes.items()}
     found = {r["lang"]: r["n"] for r in below(limits).groupBy("lang").agg(F.count("*").alias("n")).collect()}
