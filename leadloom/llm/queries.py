@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, chat, language, maxent, mixing, nndescent, pieces, repeats, templates, topk
+from . import bagminhash, bytebpe, chat, language, maxent, mixing, nndescent, pieces, repeats, templates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,13 @@ FROM docs LEFT JOIN lost USING (r)
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op12_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bytebpe.decode(bytebpe.encode(docs).drop("text"))
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    # Tokens of one character at most that do not begin where the one before ends share it.
+    shared = F.size(F.filter(F.arrays_zip(F.slice("starts", 2, F.size("starts")), "ends"), lambda x: x["0"] < x["ends"]))
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), shared.cast("long").alias("n_shared"))

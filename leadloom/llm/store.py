@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.warehouse import shared_folder
 
@@ -15,6 +17,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def nameless(df: DataFrame, but: Iterable[str] = ()) -> tuple[DataFrame, list[str]]:
+    """``df`` without the columns ``but``, the others called c0, c1, ... so that no name is resolved again, and their names."""
+    kept = [k for k, c in enumerate(df.columns) if c not in set(but)]
+    renamed = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return renamed.select(*(F.col(f"c{k}").alias(f"c{j}") for j, k in enumerate(kept))), [df.columns[k] for k in kept]
+
+
+def named(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` with these names, by place."""
+    return df.toDF(*names)
+
+
 #: Rows that a task of a small table gets at least.
 TASK_ROWS = 20_000
 
