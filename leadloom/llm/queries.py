@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bytebpe, chat, language, maxent, mixing, nndescent, pieces, repeats, templates, topk
+from . import bagminhash, bytebpe, chat, chatrepair, language, maxent, mixing, nndescent, pieces, repeats, templates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,3 +206,57 @@ def op12_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Tokens of one character at most that do not begin where the one before ends share it.
     shared = F.size(F.filter(F.arrays_zip(F.slice("starts", 2, F.size("starts")), "ends"), lambda x: x["0"] < x["ends"]))
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), shared.cast("long").alias("n_shared"))
+
+
+def _way(f: str, cost: int | str, letter: str, item: str | None) -> str:
+    """A way of op13's SQL with an edit before it: ten digits of cost, the letters, chr(1), and the repaired rows, each with a line break."""
+    row = f"{item} || chr(10) || " if item else ""
+    return (
+        f"(lpad(CAST(CAST(left({f}, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || '{letter}' || substr({f}, 11, instr({f}, chr(1)) - 10)"
+        f" || {row}substr({f}, instr({f}, chr(1)) + 1))"
+    )
+
+
+def _ways(state: int) -> str:
+    """The least way from a state through a row, without insertions: what follows are the ways f0 to f3."""
+    late = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    given = chatrepair.GIVEN[state]
+    kept = "".join(f" WHEN '{initial}' THEN {_way(f'f{after}', late, 'K', 'role || chr(58) || text')}" for initial, after in chatrepair.AFTER[state].items())
+    free = "fault NOT IN ('blank', 'duplicate')"
+    keep = f"CASE WHEN {free} THEN CASE left(role, 1){kept} END END"
+    rerole = f"CASE WHEN {free} THEN {_way(f'f{given}', f'1 + {late}', 'R', repr(chatrepair.ROLES[state] + ':') + ' || text')} END"
+    return f"least({_way(f'f{state}', 2, 'D', None)}, {keep}, {rerole}) AS b{state}"
+
+
+def _inserted(state: int) -> str:
+    return f"least(b{state}, {_way(f'b{chatrepair.GIVEN[state]}', 5, 'I', repr(chatrepair.ROLES[state] + ':'))}) AS f{state}"
+
+
+_BARE = "regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '')"
+_END = {0: "'0000000000' || chr(1)", 3: "'0000000000' || chr(1)", 2: "'0000000005I' || chr(1) || 'assistant:' || chr(10)", 1: "'0000000010II' || chr(1) || 'user:' || chr(10) || 'assistant:' || chr(10)"}
+
+
+@query(
+    rf"""
+WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295::BIGINT],
+  list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS d FROM conversations, tbl),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+  CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM drawn, range(2) c(copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+told AS (SELECT *, CASE WHEN {_BARE} = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches({_BARE}, '[.!?]$') THEN 'truncated' ELSE 'none' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+ways AS (SELECT conv_id, count(*) AS i, {", ".join(f"{x} AS f{s}" for s, x in sorted(_END.items()))} FROM placed GROUP BY conv_id
+  UNION ALL SELECT conv_id, i, {", ".join(_inserted(s) for s in range(4))}
+  FROM (SELECT w.conv_id, w.i - 1 AS i, {", ".join(_ways(s) for s in range(4))} FROM ways w JOIN told r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i)),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(left(f0, 10), '0') AS BIGINT) AS cost, coalesce(substr(f0, 11, instr(f0, chr(1)) - 11), '') AS audit,
+  sha256(coalesce(left(substr(f0, instr(f0, chr(1)) + 1), length(f0) - instr(f0, chr(1)) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ways w ON w.i = 0 AND w.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatrepair.audits(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
