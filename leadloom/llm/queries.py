@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bytebpe, chat, chatrepair, language, maxent, mixing, nndescent, pieces, repeats, templates, topk
+from . import bagminhash, bytebpe, chat, chatrepair, fptree, language, maxent, mixing, nndescent, pieces, repeats, templates, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -260,3 +260,23 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_
 )
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatrepair.audits(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+_FOUND = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{fptree.TERM}')"
+
+
+@query(
+    f"""
+WITH q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_FOUND}) AS term FROM benchmark) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_FOUND} AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_all FROM d),
+f AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(t) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, n_docs),
+m AS (SELECT r, 75 + ((25 * len(t) * n_docs) // n_all) AS m FROM d, s),
+p AS (SELECT item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= {fptree.TOP}
+"""
+)
+def op11_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))

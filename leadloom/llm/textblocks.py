@@ -97,9 +97,10 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts)])
 
 
-def words(block: Block) -> Words:
+def words(block: Block, space: np.ndarray = _SPACE) -> Words:
+    """The words of a block; ``space`` tells of each byte whether it stands between words."""
     data, bounds = block.data, block.bounds
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[bounds] = True
     begins = solid.copy()
