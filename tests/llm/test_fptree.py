@@ -40,7 +40,7 @@ def made(df):
 
 @pytest.fixture(scope="module")
 def tables(spark, docs):
-    odd = [(1007, None), (1008, ""), (9, "THE the The  é É"), (9, "THE the The  é É"), (9, "zz q"), (None, "zz"), (1010, "no.such.term.anywhere"), (11, "der " * 400 + "word q"), (12, "a_b c9,9c\x00日本語")]
+    odd = [(1007, None), (1008, ""), (9, "THE the The  é É"), (9, "THE the The  é É"), (9, "zz q"), (None, "zz"), (1010, "qqzzx.zzqqx"), (11, "der " * 400 + "word q"), (12, "a_b c9,9c\x00日本語")]
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame(odd, "item_id long, text string"))
     return docs, items.cache()
 
