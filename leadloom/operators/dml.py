@@ -10,32 +10,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import VariantType
 from pyspark.sql.window import Window
 
 from ..functions.ordering import canonical_key, json_key
 from ..sources.registry import foreign_keys, load_order, tables
 from ..sources.warehouse import stored
+from .delta import new_rows
 
 
 def insert_or_ignore(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``existing`` and those rows of ``batch`` whose key is new, one for each key; existing rows win.
 
     Of batch rows with equal keys the first in the order of all columns stays.  A key with a null is new.
-    One shuffle: both sides meet by key in one window.
+    Existing rows pass as they are: only their keys meet the batch.
     """
-    columns = existing.columns
-    both = existing.withColumn("_new", F.lit(False)).unionByName(batch.select(*columns, F.lit(True).alias("_new")))
-    partial = F.lit(False)
-    for k in keys:
-        partial = partial | F.col(k).isNull()
-    # Rows without a whole key are groups of their own, so that they are no hot key.
-    both = both.withColumn("_own", F.when(partial, F.monotonically_increasing_id()))
-    # JSON values have no order of their own; their text has.
-    json = {f.name for f in existing.schema if isinstance(f.dataType, VariantType)}
-    by = [(F.to_json(c) if c in json else F.col(c)).asc_nulls_last() for c in columns]
-    order = Window.partitionBy(*keys, "_own").orderBy("_new", *by)
-    return both.withColumn("_n", F.row_number().over(order)).where(~F.col("_new") | (F.col("_n") == 1)).select(*columns)
+    return existing.unionByName(new_rows(existing, batch, keys))
 
 
 def with_defaults(name: str, rows: DataFrame, now: Column | None = None) -> DataFrame:

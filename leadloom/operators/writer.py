@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import warehouse
 from ..sources.registry import tables
+from .delta import delta_violations, new_rows
 from .dml import insert_or_ignore, touched, with_defaults, with_dimension_key
-from .integrity import validate
+from .integrity import rules_of, validate
 
 #: Tables that take new rows only.
 LOGS = ("audit_logs",)
@@ -67,22 +68,49 @@ def updated(name: str, existing: DataFrame, changes: DataFrame, now: Column | No
 
 
 def write(name: str, state: DataFrame, path: str, parents: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Write a next state to a new folder if it breaks no rule, and read it back; else raise ``Refused``."""
-    broken = {r["constraint_name"]: r["n"] for r in validate(name, state, parents).collect()}
+    """Write a next state to a new folder, and read it back; if it breaks a rule the folder goes and ``Refused`` is raised.
+
+    The state is computed once, for the write; its rules are checked on what was written.
+    """
+    state.write.parquet(path)
+    made = state.sparkSession.read.schema(state.schema).parquet(path)
+    broken = {r["constraint_name"]: r["n"] for r in validate(name, made, parents).collect()}
     if broken:
+        warehouse.remove(state.sparkSession, path)
         raise Refused(name, broken)
-    state.write.parquet(path)
-    return state.sparkSession.read.schema(state.schema).parquet(path)
+    return made
 
 
-def append(name: str, rows: DataFrame, root: str, parents: dict[str, DataFrame] | None = None, now: Column | None = None) -> None:
-    """Add rows to a stored table: the whole table must keep its rules; nothing that is there changes."""
-    spark = rows.sparkSession
+def append(name: str, rows: DataFrame, root: str, parents: dict[str, DataFrame] | None = None, now: Column | None = None) -> int:
+    """Add rows to a stored table if it keeps its rules; returns their number.
+
+    The rows are checked alone, and their keys against the keys that are there; nothing that is there is
+    read otherwise or changes.
+    """
     new = warehouse.stored(with_defaults(name, rows, now), f"append-{name}")
+    there = _there(rows.sparkSession, root, name)
+    broken = {r["constraint_name"]: r["n"] for r in delta_violations(there, new, rules_of(tables()[name], parents)).collect()}
+    if broken:
+        raise Refused(name, broken)
+    n = new.count()
+    if n:
+        warehouse.append(new, root, name)
+    return n
+
+
+def _there(spark: SparkSession, root: str, name: str) -> DataFrame:
     there = warehouse.read(spark, root, name)
     if there is None:
         raise ValueError(f"there is no table {name}")
-    broken = {r["constraint_name"]: r["n"] for r in validate(name, there.select(*new.columns).unionByName(new), parents).collect()}
-    if broken:
-        raise Refused(name, broken)
-    warehouse.append(new, root, name)
+    return there
+
+
+def upsert(name: str, rows: DataFrame, root: str, on_conflict: Sequence[str], parents: dict[str, DataFrame] | None = None, now: Column | None = None) -> int:
+    """``append`` the rows whose key is not in a stored table, one for each key; returns how many: none the second time."""
+    there = _there(rows.sparkSession, root, name)
+    given = with_defaults(name, rows, now)
+    return append(name, new_rows(there.select(*given.columns), warehouse.stored(given, f"upsert-{name}"), on_conflict).drop(*_generated(name)), root, parents, now)
+
+
+def _generated(name: str) -> tuple[str, ...]:
+    return ("dimension_key",) if name == "metrics" else ()

@@ -39,6 +39,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The Parquet files below a folder, by name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return sorted(r["path"] for r in found.select("path").collect())
+
+
 def described(table: Table) -> StructType:
     """The table's schema with its rules: enums at their columns, keys, uniques, checks, indexes and references at its key."""
     rules = {

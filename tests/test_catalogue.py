@@ -1,6 +1,6 @@
 import pytest
 
-from leadloom.plans import catalogue
+from leadloom.plans import operations as catalogue
 from tests.conftest import SF, same
 
 
