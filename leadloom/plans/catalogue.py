@@ -56,20 +56,27 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
 
-_MODELS: dict[str, str] = {}
+_MODELS: dict[tuple[str, ...], str] = {}
 
 
-def model(spark: SparkSession) -> str:
-    """The root of the model's own tables, written once for an application: all tables, and the seed rows through the writer."""
-    app = spark.sparkContext.applicationId
-    if app not in _MODELS:
+def model(spark: SparkSession, *names: str) -> str:
+    """The root of the model's own tables, written once for an application: those of these names, all by default, and the seed rows through the writer."""
+    key = (spark.sparkContext.applicationId, *names)
+    if key not in _MODELS:
         root = f"{warehouse.shared_folder(spark)}/model-{uuid.uuid4().hex}"
-        warehouse.create(spark, root)
-        writer.append("system_settings", seed.settings(spark), root)
-        versions = seed.scoring_versions(spark).withColumn("weights", F.parse_json(F.to_json("weights")))
-        writer.append("scoring_versions", versions, root)
-        _MODELS[app] = root
-    return _MODELS[app]
+        warehouse.create(spark, root, names or None)
+        if "system_settings" in names or not names:
+            writer.append("system_settings", seed.settings(spark), root)
+        if "scoring_versions" in names or not names:
+            versions = seed.scoring_versions(spark).withColumn("weights", F.parse_json(F.to_json("weights")))
+            writer.append("scoring_versions", versions, root)
+        _MODELS[key] = root
+    return _MODELS[key]
+
+
+def setting_rows(spark: SparkSession) -> DataFrame:
+    """The stored settings."""
+    return warehouse.read(spark, model(spark, "system_settings"), "system_settings")
 
 
 # Scans, projections, filters, sorts
@@ -147,7 +154,7 @@ def sort_single(spark, sf_dir):
 
 @query(f"SELECT k AS key, t AS type, x AS text FROM (VALUES {_values(expected.SETTINGS)}) v(k, t, x) ORDER BY k")
 def settings_dump(spark, sf_dir):
-    return verification.settings_dump(warehouse.read(spark, model(spark), "system_settings"))
+    return verification.settings_dump(setting_rows(spark))
 
 
 @query(
@@ -408,7 +415,7 @@ def weight_sum_check(spark, sf_dir):
 
 @query(f"SELECT k AS key, 'boolean' AS type FROM (VALUES {_values([(k,) for k in expected.FLAGS])}) v(k)")
 def settings_lookup(spark, sf_dir):
-    return warehouse.read(spark, model(spark), "system_settings").where("is_feature_flag").select("key", "type")
+    return setting_rows(spark).where("is_feature_flag").select("key", "type")
 
 
 @query("SELECT t AS score_type, CAST(v AS INTEGER) AS version, CAST(r AS BIGINT) AS type_rank FROM (VALUES ('WEBSITE_QUALITY', 1, 1), ('BUSINESS_OPPORTUNITY', 1, 2), ('LEAD_PRIORITY', 1, 3)) x(t, v, r)")
@@ -486,7 +493,7 @@ _LOCAL = "(ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago'"
 
 @query(f"SELECT event_id FROM (SELECT event_id, {_LOCAL} AS t FROM events) WHERE isodow(t) BETWEEN 1 AND 5 AND hour(t) >= 9 AND hour(t) < 17")
 def business_hours_filter(spark, sf_dir):
-    rules = seed.setting(warehouse.read(spark, model(spark), "system_settings"), "business.hours")
+    rules = seed.setting(setting_rows(spark), "business.hours")
     return table(spark, sf_dir, "events").where(lifecycle.in_business_hours(F.col("ts").cast("timestamp"), rules)).select("event_id")
 
 
@@ -499,7 +506,7 @@ def business_hours_filter(spark, sf_dir):
     " SELECT * FROM c WHERE slot <= CASE kind WHEN 'outreach' THEN 20 ELSE 25 END"
 )
 def send_limits(spark, sf_dir):
-    limits = seed.setting(warehouse.read(spark, model(spark), "system_settings"), "outreach.email.daily_limit")
+    limits = seed.setting(setting_rows(spark), "outreach.email.daily_limit")
     kind = F.when(F.col("event_type") == "click", "followup").when(F.col("event_type") == "error", "other").otherwise("outreach")
     rows = table(spark, sf_dir, "events").select(
         F.to_date("ts").cast("string").alias("day"), "ts", "event_id", kind.alias("kind"), F.col("user_id").alias("contact"), (F.col("user_id") % 4).alias("campaign_id")
@@ -512,7 +519,7 @@ def send_limits(spark, sf_dir):
     "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderstatus = 'P' THEN 'now' ELSE 'daily' END AS told FROM orders"
 )
 def notification_rules(spark, sf_dir):
-    rules = seed.setting(warehouse.read(spark, model(spark), "system_settings"), "notifications.rules")
+    rules = seed.setting(setting_rows(spark), "notifications.rules")
     priority = F.when(F.col("o_orderpriority") == "1-URGENT", "CRITICAL").when(F.col("o_orderpriority") == "2-HIGH", "HIGH").otherwise("LOW")
     reply = F.when(F.col("o_orderstatus") == "P", "INTERESTED")
     return table(spark, sf_dir, "orders").select("o_orderkey", lifecycle.notified(priority, reply, rules).alias("told"))
@@ -520,7 +527,7 @@ def notification_rules(spark, sf_dir):
 
 @query("SELECT c_custkey, 150000 + 2900 * (c_custkey % 13) AS cents FROM customer")
 def pricing_from_settings(spark, sf_dir):
-    settings = warehouse.read(spark, model(spark), "system_settings")
+    settings = setting_rows(spark)
     setup, hosting = (seed.setting(settings, f"pricing.{k}_cents") for k in ("website_setup_fee", "hosting_monthly"))
     return table(spark, sf_dir, "customer").select("c_custkey", lifecycle.price_cents(F.col("c_custkey") % 13, setup, hosting).alias("cents"))
 
@@ -563,7 +570,7 @@ def write_metrics_unique(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("metric_date"), F.col("event_type").alias("metric_name"), "user_id").agg(F.count("*").cast("decimal(14,2)").alias("value"))
     text = F.concat(F.lit('{"nth": "a\\"b", "k": {"id": ['), F.col("user_id").cast("string"), F.lit(', null, true], "b": 2.25}}'))
     new = rows.select("metric_date", "metric_name", "value", F.parse_json(text).alias("dimension"))
-    none = warehouse.read(spark, model(spark), "metrics")
+    none = warehouse.read(spark, model(spark, "metrics"), "metrics")
     unique = ["metric_date", "metric_name", "dimension_key"]
     once = warehouse.stored(writer.inserted("metrics", none, new, unique), "metrics")
     twice = writer.inserted("metrics", once, new.withColumn("value", F.col("value") + 1), unique)

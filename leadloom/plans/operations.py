@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import delta
+from ..operators import delta, lifecycle, ranges, sending
 from ..operators.integrity import Rules
-from ..sources import warehouse
-from .catalogue import ORACLES, QUERIES, query, table
+from ..sources import seed, warehouse
+from .catalogue import ORACLES, QUERIES, query, setting_rows, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -54,3 +54,64 @@ def upsert_delta(spark, sf_dir):
     for run, rows in enumerate((lines.where("l_orderkey % 4 = 0"), lines, lines), 1):
         delta.upsert(spark, path, rows.withColumn("run", F.lit(run)), ("l_orderkey", "l_linenumber"))
     return spark.read.option("recursiveFileLookup", True).parquet(path)
+
+
+# Queues, calendars and histories
+
+
+_KIND = "CASE WHEN event_type = 'click' THEN 'followup' WHEN event_type = 'error' THEN 'other' ELSE 'outreach' END"
+_LAST = "2024-03-15"
+
+
+@query(
+    f"""
+WITH RECURSIVE e AS (SELECT event_id, CAST(ts AS DATE) AS day, ts, {_KIND} AS kind FROM events),
+a AS (SELECT kind, day, count(*) AS n FROM e WHERE kind <> 'other' GROUP BY ALL),
+q AS (SELECT kind, min(day) AS day, CAST(0 AS BIGINT) AS before, CAST(least(first(n ORDER BY day), CASE kind WHEN 'outreach' THEN 20 ELSE 25 END) AS BIGINT) AS done, CAST(first(n ORDER BY day) AS BIGINT) AS came FROM a GROUP BY kind
+  UNION ALL SELECT q.kind, CAST(q.day + 1 AS DATE), q.done, CAST(least(q.came + coalesce(a.n, 0), q.done + CASE q.kind WHEN 'outreach' THEN 20 ELSE 25 END) AS BIGINT), CAST(q.came + coalesce(a.n, 0) AS BIGINT)
+  FROM q LEFT JOIN a ON a.kind = q.kind AND a.day = q.day + 1 WHERE q.day < DATE '{_LAST}'),
+m AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY day, ts, event_id) AS k FROM e)
+SELECT m.event_id, m.kind, CAST(q.day AS VARCHAR) AS send_day FROM m LEFT JOIN q ON q.kind = m.kind AND k > q.before AND k <= q.done
+"""
+)
+def carry_over_queue(spark, sf_dir):
+    """Every message gets the day on which the limits of the settings let it go, or stays queued."""
+    limits = seed.setting(setting_rows(spark), "outreach.email.daily_limit")
+    rows = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"), "ts", F.expr(_KIND).alias("kind"))
+    sent = sending.carry_over(rows, {k: limits[k] for k in ("outreach", "followup")}, ["ts", "event_id"], _LAST)
+    return sent.select("event_id", "kind", F.col("send_day").cast("string").alias("send_day"))
+
+
+_ZONE = "CASE user_id % 4 WHEN 0 THEN 'Europe/Berlin' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Asia/Kolkata' ELSE 'America/Chicago' END"
+
+
+@query(
+    f"""
+WITH e AS (SELECT event_id, s AS step, ts + to_days(CAST(d AS INTEGER)) AS due, {_ZONE} AS zone FROM events, (VALUES (1, 3), (2, 10)) v(s, d)),
+l AS (SELECT *, timezone(zone, due AT TIME ZONE 'UTC') AS local FROM e),
+c AS (SELECT *, unnest(range(0, 8)) AS k FROM l),
+o AS (SELECT *, CAST(local AS DATE) + CAST(k AS INTEGER) AS day FROM c),
+p AS (SELECT event_id, step, due, timezone('UTC', timezone(zone, day + INTERVAL 9 HOUR)) AS opens, timezone('UTC', timezone(zone, day + INTERVAL 17 HOUR)) AS closes FROM o WHERE isodow(day) <= 5)
+SELECT event_id, CAST(step AS INTEGER) AS sequence_step, strftime(min(greatest(due, opens)), '%Y-%m-%d %H:%M:%S.%f') AS open_at FROM p WHERE due < closes GROUP BY event_id, step
+"""
+)
+def followups_in_open_hours(spark, sf_dir):
+    """Follow-ups of every event after the days of the settings, moved to the next open instant of the contact's zone."""
+    settings = setting_rows(spark)
+    hours, offsets = (seed.setting(settings, k) for k in ("business.hours", "outreach.followup.day_offsets"))
+    due = lifecycle.followup_schedule(table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "ts", offsets)
+    found = sending.next_open(due.drop("ts"), "scheduled_at", hours, F.expr(_ZONE))
+    return found.select("event_id", "sequence_step", F.date_format("open_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("open_at"))
+
+
+@query(
+    "WITH e AS (SELECT event_id, ts, event_type, CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END AS k FROM events)"
+    " SELECT event_id, k, row_number() OVER w AS nth, lag(event_type) OVER w AS before_event_type, CAST(epoch_us(lead(ts) OVER w) - epoch_us(ts) AS BIGINT) AS micros FROM e WINDOW w AS (PARTITION BY k ORDER BY ts, event_id)"
+)
+def histories_of_hot_keys(spark, sf_dir):
+    """Order, state before and time until the next of each event's history; half of all rows are one key's."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.expr("CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END").alias("k"))
+    placed = ranges.numbered(rows, ["k"], ["ts", "event_id"], "nth")
+    seen = ranges.neighbours(placed, ["k"], ["ts", "event_id"], ["event_type", "ts"])
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("after_ts", "ts")]
+    return seen.select("event_id", "k", "nth", "before_event_type", (micros[0] - micros[1]).alias("micros"))

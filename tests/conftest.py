@@ -20,6 +20,14 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def many_parts(spark):
+    """Small ranges stay tasks of their own."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
