@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import delta, lifecycle, ranges, sending
+from ..functions.ordering import canonical_key
+from ..operators import delta, entities, funnel, lifecycle, ranges, rollup, sending
 from ..operators.integrity import Rules
 from ..sources import seed, warehouse
 from .catalogue import ORACLES, QUERIES, query, setting_rows, table
@@ -115,3 +116,79 @@ def histories_of_hot_keys(spark, sf_dir):
     seen = ranges.neighbours(placed, ["k"], ["ts", "event_id"], ["event_type", "ts"])
     micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("after_ts", "ts")]
     return seen.select("event_id", "k", "nth", "before_event_type", (micros[0] - micros[1]).alias("micros"))
+
+
+# Funnel, metrics, entities
+
+
+def _cents(price: str) -> str:
+    return f"CAST(round(CAST({price} AS DECIMAL(14,4)) * 100, 0) AS BIGINT)"
+
+
+@query(
+    f"""
+WITH RECURSIVE s AS (SELECT o_custkey AS key, 1 AS step, CAST(o_orderdate AS DATE) AS day, 0 AS cents FROM orders
+  UNION ALL SELECT o_custkey, 2, CAST(o_orderdate AS DATE), 0 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 0
+  UNION ALL SELECT o_custkey, 3, CAST(l_shipdate AS DATE), 0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O'
+  UNION ALL SELECT o_custkey, 4, CAST(l_shipdate AS DATE), {_cents("l_extendedprice")} FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'),
+j AS (SELECT key, 1 AS step, min(day) AS day, CAST(NULL AS DATE) AS before FROM s WHERE step = 1 GROUP BY key
+  UNION ALL SELECT key, step, day, before FROM (SELECT j.key, s.step, s.day, j.day AS before, row_number() OVER (PARTITION BY j.key ORDER BY s.day) AS n FROM j JOIN s ON s.key = j.key AND s.step = j.step + 1 AND s.day >= j.day) WHERE n = 1),
+p AS (SELECT sum(cents) AS cents FROM s JOIN j ON j.key = s.key AND j.step = 4 AND s.step = 4 AND s.day >= j.day),
+r AS (SELECT t.step, stage, count(j.key) AS entities, coalesce(sum(j.day - j.before), 0) AS days_between FROM (VALUES (1, 'opportunity'), (2, 'customer'), (3, 'subscription'), (4, 'payment')) t(step, stage) LEFT JOIN j ON j.step = t.step GROUP BY ALL)
+SELECT CAST(step AS INTEGER) AS step, stage, entities, CAST(1000 * entities // lag(entities) OVER (ORDER BY step) AS BIGINT) AS per_mille, CAST(days_between AS BIGINT) AS days_between,
+  CAST(CASE WHEN step = 4 THEN coalesce((SELECT cents FROM p), 0) ELSE 0 END AS BIGINT) AS cents FROM r
+"""
+)
+def linked_funnel(spark, sf_dir):
+    """Orders are opportunities, won orders of solvent customers make customers, open lines subscriptions and lines that stay payments."""
+    o, c, li = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    none = F.lit(0).alias("cents")
+    keyed = li.join(o.select("o_orderkey", F.col("o_custkey").alias("key")), F.col("l_orderkey") == F.col("o_orderkey"))
+    solvent = c.where("c_acctbal > 0").select("c_custkey")
+    won = o.where("o_orderstatus = 'F'").join(solvent, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    cents = F.round(F.col("l_extendedprice").cast("decimal(14,4)") * 100, 0).cast("long").alias("cents")
+    steps = [
+        o.select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("at"), none),
+        won.select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("at"), none),
+        keyed.where("l_linestatus = 'O'").select("key", F.col("l_shipdate").alias("at"), none),
+        keyed.where("l_returnflag <> 'R'").select("key", F.col("l_shipdate").alias("at"), cents),
+    ]
+    return funnel.linked_funnel(steps, ("opportunity", "customer", "subscription", "payment"))
+
+
+@query(
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS metric_date, event_type AS metric_name, '{\"k\": \"' || json_extract_string(props, '$.k') || '\"}' AS dimension_key,"
+    " CAST(sum(CAST(value AS DECIMAL(14,2))) AS DECIMAL(24,2)) AS value, count(*) AS n FROM events GROUP BY ALL"
+)
+def metrics_in_batches(spark, sf_dir):
+    """Three batches, each of rows of all days, the second run twice: the table equals one roll-up of all rows."""
+    key = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"))
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.to_date("ts").alias("metric_date"), F.col("event_type").alias("metric_name"), canonical_key(key).alias("dimension_key"), "value"
+    )
+    path = f"{warehouse.shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    for batch, kept in ((1, "event_id % 3 = 0"), (2, "event_id % 3 = 1"), (2, "event_id % 3 = 1"), (3, "event_id % 3 = 2")):
+        rollup.merge(spark, path, rows.where(kept).drop("event_id"), batch)
+    return rollup.read(spark, path).select(F.col("metric_date").cast("string").alias("metric_date"), "metric_name", "dimension_key", "value", "n")
+
+
+_TYPE = "CASE WHEN l_linenumber % 4 = 0 THEN 'supplier' WHEN l_linenumber % 4 = 1 THEN 'part' WHEN l_linenumber % 4 = 2 THEN 'order' ELSE 'website' END"
+_ENTITY = "CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_linenumber % 4 = 0 THEN l_suppkey WHEN l_linenumber % 4 = 1 THEN l_partkey * 2 WHEN l_linenumber % 4 = 2 THEN l_orderkey END"
+
+
+@query(
+    f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, {_TYPE} AS entity_type, {_ENTITY} AS entity_id FROM lineitem),
+e AS (SELECT 'supplier' AS entity_type, s_suppkey AS entity_id, s_name AS name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part UNION ALL SELECT 'order', o_orderkey, o_orderpriority FROM orders)
+SELECT l_orderkey, l_linenumber, r.entity_type, r.entity_id, e.entity_id IS NOT NULL AS found, name FROM r LEFT JOIN e ON e.entity_type = r.entity_type AND e.entity_id = r.entity_id
+"""
+)
+def polymorphic_entities(spark, sf_dir):
+    """Lines that point to suppliers, parts, orders and a type that is not there; a third of them to one entity of their type."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_TYPE).alias("entity_type"), F.expr(_ENTITY).alias("entity_id"))
+    parents = {
+        "supplier": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
+        "part": table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")),
+        "order": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")),
+    }
+    return entities.dispatched(rows, parents)
