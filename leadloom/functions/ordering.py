@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
-from decimal import Decimal
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,28 +44,96 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(escaped.rlike(r"[\x00-\x1f]"), clean).otherwise(escaped), F.lit('"'))
 
 
-def _text(value: object) -> str:
-    """Keys by length in bytes, then bytes; numbers in plain digits as they were written."""
-    if isinstance(value, dict):
-        keys = sorted(value, key=lambda k: (len(k.encode()), k.encode()))
-        return "{" + ", ".join(f"{_text(k)}: {_text(value[k])}" for k in keys) + "}"
-    if isinstance(value, list):
-        return "[" + ", ".join(map(_text, value)) + "]"
-    if isinstance(value, Decimal):
-        return format(abs(value) if not value else value, "f")
-    if isinstance(value, str):
-        return '"' + "".join("\\" + c if c in '"\\' else _ESCAPES.get(ord(c), f"\\u{ord(c):04x}") if c < " " else c for c in value) + '"'
-    return {None: "null", True: "true", False: "false"}[value] if value is None or isinstance(value, bool) else str(value)
+#: A string, and a container that holds no other, of JSON text.  Possessive, so that long ones need no stack.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_INNER = r"[\[{][^\[\]{}]*+[\]}]"
+#: What stands for the brackets and separators of a finished container, so that the next one out is found.
+_DONE = {c: chr(0xE000 + k) for k, c in enumerate("[]{},:")}
+
+
+def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _number(text: Column) -> Column:
+    """A JSON number in plain digits as they were written, without the sign of a zero."""
+    sign, whole, part, power = (F.regexp_extract(text, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([-+]?[0-9]+))?$", k) for k in range(1, 5))
+    digits = F.concat(whole, part)
+    point = F.length(whole) + F.when(power == "", 0).otherwise(power.cast("int"))
+    after = F.length(digits) - point
+    shifted = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(after <= 0, F.concat(digits, F.repeat(F.lit("0"), -after)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, after)))
+    )
+    clean = F.regexp_replace(shifted, r"^0+(?=[0-9])", "")
+    return F.concat(F.when(digits.rlike("[1-9]"), sign).otherwise(""), clean)
+
+
+def _atom(text: Column) -> Column:
+    return F.when(text.rlike("^[-0-9]"), _number(text)).otherwise(text)
+
+
+def _container(text: Column, strings: Column) -> Column:
+    """An array or object of finished values: an object's entries by the length of their key in bytes, then its bytes; of equal keys the last stays."""
+    items = F.filter(F.split(F.substring(text, F.lit(2), F.length(text) - 2), ",", -1), lambda x: x != "")
+
+    def entry(item: Column, place: Column) -> Column:
+        name = F.get(strings, F.regexp_extract(item, '^"([0-9]+)"', 1).cast("int"))
+        value = F.regexp_extract(item, r'^"[0-9]+":(.*)$', 1)
+        return F.struct(F.octet_length(name).alias("size"), name.alias("name"), place.alias("place"), F.concat(F.regexp_extract(item, '^("[0-9]+"):', 1), F.lit(_DONE[":"] + " "), _atom(value)).alias("text"))
+
+    def last(entries: Column) -> Column:
+        return F.filter(entries, lambda e, k: F.coalesce(F.get(entries, k + 1)["name"] != e["name"], F.lit(True)))
+
+    listed = F.transform(_bound(F.array_sort(F.transform(items, entry)), last), lambda e: e["text"])
+    comma = _DONE[","] + " "
+    array = F.concat(F.lit(_DONE["["]), F.array_join(F.transform(items, _atom), comma), F.lit(_DONE["]"]))
+    return F.when(text.startswith("["), array).otherwise(F.concat(F.lit(_DONE["{"]), F.array_join(listed, comma), F.lit(_DONE["}"])))
+
+
+def _between(pieces: Column, found: Column) -> Column:
+    """The pieces of a split with what has been found between them."""
+    return F.array_join(F.zip_with(pieces, found, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
 
 
 def json_key(value: Column) -> Column:
-    """One text for equal JSON values, given as JSON text: any nesting, so in Arrow batches of Python; null for null.
+    """One text for equal JSON values, given as JSON text: any nesting; null for null, and text that is no JSON raises.
 
-    Numbers keep the digits that the text has; Spark's variant type has none of a decimal's last zeros.
+    Strings are set aside, then containers are rebuilt from the innermost level outwards, as often as
+    they are nested.  Numbers keep the digits that the text has; Spark's variant type has none of a
+    decimal's last zeros.  SQL functions alone, so it runs in the JVM.
     """
 
-    @F.pandas_udf("string")
-    def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else _text(json.loads(x, parse_float=Decimal)), na_action="ignore")
-
-    return text(value)
+    def finish(skeleton: Column, strings: Column) -> Column:
+        def outward(text: Column, _: Column) -> Column:
+            made = F.transform(F.regexp_extract_all(text, F.lit(_INNER), F.lit(0)), lambda c: _container(c, strings))
+            return _between(F.split(text, _INNER, -1), made)
+
+        brackets = F.split(F.regexp_replace(skeleton, r"[^\[\]{}]", ""), "")
+        zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+        def nested(depth: Column, c: Column) -> Column:
+            now = depth["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+            return F.struct(now.alias("now"), F.greatest(depth["most"], now).alias("most"))
+
+        levels = F.aggregate(brackets, zero, nested, lambda d: d["most"])
+        steps = F.filter(F.sequence(F.lit(0), levels), lambda k: k > 0)
+        built = F.translate(_atom(F.aggregate(steps, skeleton, outward)), "".join(_DONE.values()), "".join(_DONE))
+        # Outside and inside of quotes take turns; inside stands a string's number.
+        parts = F.transform(F.split(built, '"', -1), lambda p, k: F.when(k % 2 == 1, _quoted(F.get(strings, p.cast("int")))).otherwise(p))
+        return F.array_join(parts, "")
+
+    def key(text: Column) -> Column:
+        strings = F.from_json(F.concat(F.lit("["), F.array_join(F.regexp_extract_all(text, F.lit(_STRING), F.lit(0)), ","), F.lit("]")), "array<string>")
+        pieces = F.split(F.regexp_replace(F.regexp_replace(text, _STRING, '"'), "[ \t\n\r]+", ""), '"', -1)
+        numbers = F.transform(F.regexp_extract_all(text, F.lit(_STRING), F.lit(0)), lambda _, k: F.concat(F.lit('"'), k.cast("string"), F.lit('"')))
+        skeleton = _between(pieces, numbers)
+        return _bound(F.struct(skeleton.alias("skeleton"), strings.alias("strings")), lambda x: finish(x["skeleton"], x["strings"]))
+
+    def checked(text: Column) -> Column:
+        one = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")) == 1
+        return F.when(one, key(text)).when(text.isNotNull(), F.raise_error(F.concat(F.lit("MALFORMED JSON: "), F.left(text, F.lit(100)))))
+
+    return _bound(value, checked)
