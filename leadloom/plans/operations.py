@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import canonical_key
 from ..operators import delta, entities, funnel, lifecycle, ranges, rollup, sending
 from ..operators.integrity import Rules
-from ..sources import seed, warehouse
+from ..sources import layout, seed, warehouse
 from .catalogue import ORACLES, QUERIES, query, setting_rows, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -192,3 +192,23 @@ def polymorphic_entities(spark, sf_dir):
         "order": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")),
     }
     return entities.dispatched(rows, parents)
+
+
+# Layout
+
+
+@query(
+    "SELECT l_returnflag, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(l_quantity AS DECIMAL(14,2))) AS DECIMAL(24,2)) AS quantity"
+    " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
+)
+def join_of_laid_out_tables(spark, sf_dir):
+    """Lines and orders bucketed by the order: their join moves no row."""
+    root = f"{warehouse.shared_folder(spark)}/layout-{uuid.uuid4().hex}"
+    lines = layout.write(table(spark, sf_dir, "lineitem"), f"{root}/lines", LINES_LAYOUT)
+    orders = layout.write(table(spark, sf_dir, "orders"), f"{root}/orders", layout.Layout(bucket="o_orderkey", bloom=("o_custkey",)))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    quantity = F.sum(F.col("l_quantity").cast("decimal(14,2)")).cast("decimal(24,2)").alias("quantity")
+    return joined.groupBy("l_returnflag", "o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), quantity)
+
+
+LINES_LAYOUT = layout.Layout(folders=("l_returnflag",), bucket="l_orderkey", sort=("l_orderkey", "l_linenumber"), bloom=("l_partkey",))
