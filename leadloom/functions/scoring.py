@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -30,9 +30,16 @@ def lead_priority(website_quality: Column, business_opportunity: Column, market_
     return total.cast("decimal(5,2)")
 
 
-def lead_class(score: Column) -> Column:
+def classes_of(thresholds: Mapping[str, float]) -> tuple[tuple[str, float], ...]:
+    """Classes and their smallest scores from the setting scoring.lead_classification.thresholds, the highest first."""
+    found = [(name, thresholds[f"{name.lower()}_min"]) for name, _ in CLASSES if f"{name.lower()}_min" in thresholds]
+    return tuple(sorted(found, key=lambda c: -c[1]))
+
+
+def lead_class(score: Column, classes: Sequence[tuple[str, float]] = CLASSES) -> Column:
+    """The first of ``classes`` whose smallest score is reached, else REJECT; null for null."""
     out = F.when(score.isNull(), F.lit(None).cast("string"))
-    for name, least in CLASSES:
+    for name, least in classes:
         out = out.when(score >= least, name)
     return out.otherwise("REJECT")
 

@@ -84,8 +84,10 @@ def send_limits(rows: DataFrame, limits: Mapping, campaigns: DataFrame, order: S
     by_campaign = Window.partitionBy("day", "campaign_id", "_own").orderBy(*order)
     own = own.withColumn("_n", F.row_number().over(by_campaign)).where(F.col("_limit").isNull() | (F.col("_n") <= F.col("_limit"))).drop("_n", "_limit", "_own")
     by_kind = Window.partitionBy("day", "kind").orderBy(*order)
-    parts = [own.where(F.col("kind") == k).withColumn("slot", F.row_number().over(by_kind)).where(F.col("slot") <= int(limits[k])) for k in ("outreach", "followup")]
-    return parts[0].union(parts[1])
+    most = F.when(F.col("kind") == "outreach", int(limits["outreach"])).when(F.col("kind") == "followup", int(limits["followup"]))
+    # One chain for both kinds; the larger limit stands alone too, so that a task keeps no more rows of a group than that.
+    placed = own.where(F.col("kind").isin("outreach", "followup")).withColumn("slot", F.row_number().over(by_kind))
+    return placed.where(F.col("slot") <= max(int(limits["outreach"]), int(limits["followup"]))).where(F.col("slot") <= most)
 
 
 def notified(priority: Column, classification: Column, rules: Mapping) -> Column:

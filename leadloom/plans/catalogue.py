@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ordering import by_enum, enum_rank
-from ..functions.scoring import lead_class, lead_priority, weight_sum, weighted_score
+from ..functions.scoring import classes_of, lead_class, lead_priority, weight_sum, weighted_score
 from ..operators import dml, integrity, lifecycle, metrics, verification, writer
 from ..sources import catalog, seed, warehouse
 from ..sources.registry import ENUMS
@@ -183,17 +183,17 @@ def membership_missing(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(found, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, o_custkey, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+@query("SELECT l_orderkey, l_linenumber, o_custkey, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def fk_join_inner(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "l_extendedprice")
 
 
 @query(
-    "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey GROUP BY c_custkey"
+    "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"
 )
 def fk_join_left(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     joined = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
 
@@ -230,13 +230,13 @@ _ENTITIES = "(SELECT 'customer' AS entity_type, c_custkey AS entity_id, c_name A
 
 
 @query(
-    f"SELECT l_orderkey, l_linenumber, entity_type, name FROM (SELECT l_orderkey, l_linenumber, 'supplier' AS entity_type, l_suppkey AS entity_id FROM lineitem WHERE l_returnflag = 'R')"
+    f"SELECT l_orderkey, l_linenumber, entity_type, name FROM (SELECT l_orderkey, l_linenumber, 'supplier' AS entity_type, l_suppkey AS entity_id FROM lineitem)"
     f" JOIN {_ENTITIES} USING (entity_type, entity_id)"
 )
 def polymorphic_join(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("entity_type"), F.col("c_custkey").cast("long").alias("entity_id"), F.col("c_name").alias("name"))
     s = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("entity_type"), F.col("s_suppkey").cast("long").alias("entity_id"), F.col("s_name").alias("name"))
-    logs = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber", F.lit("supplier").alias("entity_type"), F.col("l_suppkey").alias("entity_id"))
+    logs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit("supplier").alias("entity_type"), F.col("l_suppkey").alias("entity_id"))
     return logs.join(c.union(s), ["entity_type", "entity_id"]).select("l_orderkey", "l_linenumber", "entity_type", "name")
 
 
@@ -374,8 +374,8 @@ _PRIORITY = f"CAST((100 - {_QUALITY}) * 0.45 + {_CHANCE} * 0.40 + {_FIT} * 0.15
 
 
 def _scores(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", lead_priority(F.expr(_QUALITY), F.expr(_CHANCE), F.expr(_FIT), seed.LEAD_PRIORITY).alias("priority"))
+    weights = seed.setting(setting_rows(spark), "scoring.lead_priority.formula")
+    return table(spark, sf_dir, "customer").select("c_custkey", lead_priority(F.expr(_QUALITY), F.expr(_CHANCE), F.expr(_FIT), weights).alias("priority"))
 
 
 @query(f"SELECT c_custkey, {_PRIORITY} AS priority FROM customer")
@@ -388,7 +388,8 @@ def lead_priority_score(spark, sf_dir):
     f" FROM (SELECT {_PRIORITY} AS p FROM customer)) GROUP BY class"
 )
 def lead_classification(spark, sf_dir):
-    return _scores(spark, sf_dir).groupBy(lead_class(F.col("priority")).alias("class")).agg(F.count("*").alias("n"))
+    classes = classes_of(seed.setting(setting_rows(spark), "scoring.lead_classification.thresholds"))
+    return _scores(spark, sf_dir).groupBy(lead_class(F.col("priority"), classes).alias("class")).agg(F.count("*").alias("n"))
 
 
 def _terms(weights: dict) -> str:
@@ -400,10 +401,14 @@ def _terms(weights: dict) -> str:
     name="weighted_score",
 )
 def weighted_scores(spark, sf_dir):
-    def score(weights):
-        return weighted_score({n: F.expr(f"(c_custkey * {k + 3}) % 101") for k, n in enumerate(weights)}, weights)
+    settings = setting_rows(spark)
+
+    def score(kind, categories):
+        weights = seed.setting(settings, f"scoring.{kind}.weights")
+        return weighted_score({n: F.expr(f"(c_custkey * {k + 3}) % 101") for k, n in enumerate(categories)}, weights)
 
-    return table(spark, sf_dir, "customer").select("c_custkey", score(seed.WEBSITE_QUALITY).alias("quality"), score(seed.BUSINESS_OPPORTUNITY).alias("opportunity"))
+    quality, opportunity = score("website_quality", seed.WEBSITE_QUALITY), score("business_opportunity", seed.BUSINESS_OPPORTUNITY)
+    return table(spark, sf_dir, "customer").select("c_custkey", quality.alias("quality"), opportunity.alias("opportunity"))
 
 
 @query("SELECT t AS score_type, CAST(s AS DECIMAL(12,4)) AS total, ok FROM (VALUES ('WEBSITE_QUALITY', 100, true), ('BUSINESS_OPPORTUNITY', 100, true), ('LEAD_PRIORITY', 1, true)) v(t, s, ok)")
@@ -481,11 +486,11 @@ def metrics_daily_rollup(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, CAST(s AS INTEGER) AS sequence_step, ts + to_days(CAST(d AS INTEGER)) AS scheduled_at FROM events, (VALUES (1, 3), (2, 10)) v(s, d) WHERE event_type = 'signup'"
+    "SELECT event_id, CAST(s AS INTEGER) AS sequence_step, ts + to_days(CAST(d AS INTEGER)) AS scheduled_at FROM events, (VALUES (1, 3), (2, 10)) v(s, d)"
 )
 def followup_schedule(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where(F.col("event_type") == "signup").select("event_id", "ts")
-    return lifecycle.followup_schedule(rows, "ts", [3, 7]).select("event_id", "sequence_step", "scheduled_at")
+    offsets = seed.setting(setting_rows(spark), "outreach.followup.day_offsets")
+    return lifecycle.followup_schedule(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", offsets).select("event_id", "sequence_step", "scheduled_at")
 
 
 _LOCAL = "(ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago'"

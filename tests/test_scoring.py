@@ -3,7 +3,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from leadloom.functions.ordering import by_enum
-from leadloom.functions.scoring import lead_class, lead_priority, weight_sum
+from leadloom.functions.scoring import classes_of, lead_class, lead_priority, weight_sum
 from leadloom.operators import lifecycle
 from leadloom.sources import seed
 from leadloom.sources.registry import ENUMS
@@ -15,6 +15,10 @@ def test_priority_and_classes(spark):
     bounds = spark.createDataFrame([(Decimal(x),) for x in ("80", "79.99", "65", "64.99", "50", "49.99")], "s decimal(5,2)")
     assert [x[0] for x in bounds.select(lead_class(F.col("s"))).collect()] == ["HIGH_PRIORITY", "SECONDARY", "SECONDARY", "REVIEW", "REVIEW", "REJECT"]
 
+    moved = classes_of({"review_min": 10, "high_priority_min": 90, "secondary_min": 80})
+    assert moved == (("HIGH_PRIORITY", 90), ("SECONDARY", 80), ("REVIEW", 10))
+    assert [x[0] for x in bounds.select(lead_class(F.col("s"), moved)).collect()] == ["SECONDARY", "REVIEW", "REVIEW", "REVIEW", "REVIEW", "REVIEW"]
+
 
 def test_weights(spark):
     got = {r["score_type"]: r["s"] for r in seed.scoring_versions(spark).select("score_type", weight_sum(F.col("weights")).alias("s")).collect()}
