@@ -58,21 +58,25 @@ def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
 
 def _number(text: Column) -> Column:
     """A JSON number in plain digits as they were written, without the sign of a zero."""
-    sign, whole, part, power = (F.regexp_extract(text, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([-+]?[0-9]+))?$", k) for k in range(1, 5))
-    digits = F.concat(whole, part)
-    point = F.length(whole) + F.when(power == "", 0).otherwise(power.cast("int"))
-    after = F.length(digits) - point
-    shifted = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(after <= 0, F.concat(digits, F.repeat(F.lit("0"), -after)))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, after)))
-    )
-    clean = F.regexp_replace(shifted, r"^0+(?=[0-9])", "")
-    return F.concat(F.when(digits.rlike("[1-9]"), sign).otherwise(""), clean)
+
+    def plain(x: Column) -> Column:
+        digits = F.concat(x["whole"], x["part"])
+        point = F.length(x["whole"]) + F.when(x["power"] == "", 0).otherwise(x["power"].cast("int"))
+        after = F.length(digits) - point
+        shifted = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(after <= 0, F.concat(digits, F.repeat(F.lit("0"), -after)))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, after)))
+        )
+        return F.concat(F.when(digits.rlike("[1-9]"), x["sign"]).otherwise(""), F.regexp_replace(shifted, r"^0+(?=[0-9])", ""))
+
+    found = {name: F.regexp_extract(text, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([-+]?[0-9]+))?$", k) for k, name in enumerate(("sign", "whole", "part", "power"), 1)}
+    odd = text.startswith("-0") | text.contains("e") | text.contains("E")
+    return F.when(odd, _bound(F.struct(*(c.alias(n) for n, c in found.items())), plain)).otherwise(text)
 
 
 def _atom(text: Column) -> Column:
-    return F.when(text.rlike("^[-0-9]"), _number(text)).otherwise(text)
+    return F.when(F.substring(text, 1, 1).isin(*"-0123456789"), _number(text)).otherwise(text)
 
 
 def _container(text: Column, strings: Column) -> Column:
@@ -80,9 +84,11 @@ def _container(text: Column, strings: Column) -> Column:
     items = F.filter(F.split(F.substring(text, F.lit(2), F.length(text) - 2), ",", -1), lambda x: x != "")
 
     def entry(item: Column, place: Column) -> Column:
-        name = F.get(strings, F.regexp_extract(item, '^"([0-9]+)"', 1).cast("int"))
-        value = F.regexp_extract(item, r'^"[0-9]+":(.*)$', 1)
-        return F.struct(F.octet_length(name).alias("size"), name.alias("name"), place.alias("place"), F.concat(F.regexp_extract(item, '^("[0-9]+"):', 1), F.lit(_DONE[":"] + " "), _atom(value)).alias("text"))
+        """An entry ``"number":value`` under the string of that number."""
+        quoted = F.substring_index(item, ":", 1)
+        name = F.get(strings, F.substring(quoted, F.lit(2), F.length(quoted) - 2).cast("int"))
+        value = F.transform(F.array(F.substring_index(item, ":", -1)), _atom)
+        return F.struct(F.octet_length(name).alias("size"), name.alias("name"), place.alias("place"), F.concat(quoted, F.lit(_DONE[":"] + " "), F.get(value, F.lit(0))).alias("text"))
 
     def last(entries: Column) -> Column:
         return F.filter(entries, lambda e, k: F.coalesce(F.get(entries, k + 1)["name"] != e["name"], F.lit(True)))
@@ -122,7 +128,7 @@ def json_key(value: Column) -> Column:
         steps = F.filter(F.sequence(F.lit(0), levels), lambda k: k > 0)
         built = F.translate(_atom(F.aggregate(steps, skeleton, outward)), "".join(_DONE.values()), "".join(_DONE))
         # Outside and inside of quotes take turns; inside stands a string's number.
-        parts = F.transform(F.split(built, '"', -1), lambda p, k: F.when(k % 2 == 1, _quoted(F.get(strings, p.cast("int")))).otherwise(p))
+        parts = F.transform(F.split(built, '"', -1), lambda p, k: F.when(k % 2 == 1, _bound(F.get(strings, p.cast("int")), _quoted)).otherwise(p))
         return F.array_join(parts, "")
 
     def key(text: Column) -> Column:
