@@ -4,15 +4,15 @@ P(word | history) = P(class | history) P(word | class, history).  The ``TOP`` mo
 leaves of a tree below the classes: the first classes hold ``WIDE`` words each, later ones ``WIDE`` groups of
 ``WIDE`` words, the last ones a level more; the words beyond and the unseen one share one class by their
 smoothed counts.  Each choice on the way to a word is a softmax whose logits are a bias and the weights
-of hashed features of the history: at the root the last word, the last two and the last but one (a skip),
-each in rows of its own; below it the last word, in rows of the node.
+of hashed features of the history, at every choice the last word, the last two and the last but one (a
+skip): at the root each in rows of its own, below it in rows of the node.
 
 Biases are the smoothed unigram model.  In each round all learning tokens give, for each weight, how often
 its feature and choice were observed and how often they were drawn: each token draws one choice at each
 of its nodes from the model's shares, so the difference is an unbiased estimate of the gradient.  These
-numbers are summed over all partitions, and each weight takes the step of iterative scaling along its
-gradient.  Draws are keyed by text and place, so the weights do not depend on the partitions, and more
-text means better known gradients.  In the first round every history gives the same shares, so it needs
+whole numbers are summed over all partitions, and each weight takes the step of iterative scaling along its
+gradient.  Draws are keyed by text and place, so the weights do not depend on the partitions (but for the last
+digits of a batch's products), and more text means better known gradients.  In the first round every history gives the same shares, so it needs
 no softmax, and at the root no draws.
 """
 
@@ -37,8 +37,8 @@ TOP, WIDE = 1 << 18, 32
 #: Classes by rank: how many, and levels below them.
 LEVELS = ((32, 1), (4, 2), (8, 3))
 DEEPEST = 3
-#: Features at the root and below it (the first ones), rows of the hashed tables (a parameter of the model, as in any hashed one), rounds.
-FEATURES, INNER, BUCKETS, ROUNDS, BATCH = 3, 1, 1 << 15, 2, 1 << 14
+#: Features, rows of the hashed tables at the root and below it (parameters of the model, as in any hashed one), rounds.
+FEATURES, BUCKETS, INNER_BUCKETS, ROUNDS, BATCH = 3, 1 << 15, 1 << 17, 2, 1 << 14
 #: Counts that are added to what a weight has observed and expected: in the first round at the root (times the
 #: class's share) and below it, and in later ones, where draws are noise beside what is left to learn; largest step.
 PRIOR, INNER_PRIOR, LATER, LONGEST = 300.0, 1.0, 10.0, 2.0
@@ -91,7 +91,7 @@ class Lexicon:
         by_class = np.bincount(cls[:n], weight, self.classes)
         by_class[-1] += self.whole - weight.sum()
         # Each node has rows of its own in the inner table, as many as its share of the tokens asks for.
-        spare = BUCKETS - nodes
+        spare = INNER_BUCKETS - nodes
         share = mass.sum(axis=1) / max(mass.sum(), 1)
         size = 1 + np.floor(share * spare).astype(np.int64)
         return cls, node, choice, by_class, mass, np.cumsum(size) - size, size
@@ -100,14 +100,14 @@ class Lexicon:
         """Rows of phi for keys at nodes."""
         begin, size = self._tree[5:]
         # A multiple of a hash's upper half instead of a remainder.
-        part = (keys[:, :INNER] >> _U(32)).astype(np.int64) * size[node][:, None] >> 32
+        part = (keys >> _U(32)).astype(np.int64) * size[node][:, None] >> 32
         return begin[node][:, None] + part
 
     @property
     def owner(self) -> np.ndarray:
         """The node of each row of phi; rows that none has: the last."""
         size = self._tree[6]
-        return np.append(np.repeat(np.arange(len(size)), size), np.full(BUCKETS - size.sum(), len(size) - 1))
+        return np.append(np.repeat(np.arange(len(size)), size), np.full(INNER_BUCKETS - size.sum(), len(size) - 1))
 
     def path(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class; node and choice at each level below it, node -1: none) of each rank."""
@@ -185,7 +185,7 @@ class Weights:
 
     @classmethod
     def new(cls, lexicon: Lexicon) -> Weights:
-        return cls(*lexicon.start(), np.zeros((BUCKETS, lexicon.classes), np.float32), np.zeros((BUCKETS, WIDE), np.float32))
+        return cls(*lexicon.start(), np.zeros((BUCKETS, lexicon.classes), np.float32), np.zeros((INNER_BUCKETS, WIDE), np.float32))
 
 
 def outer_rows(keys: np.ndarray) -> np.ndarray:
@@ -244,8 +244,8 @@ def randoms(hashes: np.ndarray, counts: np.ndarray, turn: int) -> np.ndarray:
 class _Table:
     """How often choices were met, by rows of a table."""
 
-    def __init__(self, width: int):
-        self.width, self.total, self.held, self.number = width, np.zeros(BUCKETS * width), [], 0
+    def __init__(self, rows: int, width: int):
+        self.width, self.total, self.held, self.number = width, np.zeros(rows * width, np.int64), [], 0
 
     def add(self, rows: np.ndarray, choice: np.ndarray) -> None:
         self.held.append((rows.astype(np.int32) * np.int32(self.width) + choice[:, None].astype(np.int32)).ravel())
@@ -254,60 +254,55 @@ class _Table:
             self.settle()
 
     def settle(self) -> np.ndarray:
+        """The counts in slabs of _ROWS rows."""
         if self.held:
             self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total))
             self.held, self.number = [], 0
-        return self.total.reshape(BUCKETS, self.width).astype(np.float32)
+        return self.total.reshape(-1, _ROWS * self.width)
 
 
-def _halves(x: np.ndarray) -> bytes:
-    """Floats by their upper halves: what they sum to is known to far better than a step needs."""
-    return ((np.ascontiguousarray(x).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype(np.uint16).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, the lowest bytes first: the upper ones are mostly zero and compress away."""
+    return np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _floats(x: np.ndarray) -> np.ndarray:
-    return (x.astype(np.uint32) << np.uint32(16)).view(np.float32)
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(8, -1).T).view(np.int64).ravel()
 
 
 def _tallied(lexicon: Lexicon, w: Weights, turn: int):
-    """What a partition's tokens observe and draw, in slabs of rows.  In turn 0 all weights are zero."""
+    """What a partition's tokens observe and draw, as whole numbers in slabs of rows, those without any left out.
+
+    In turn 0 all weights are zero, so how often a row is met tells what it expects.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, expected = (_Table(lexicon.classes), _Table(WIDE)), (_Table(lexicon.classes), _Table(WIDE))
-        met = (_Table(1), _Table(1))
-        some = False
+        seen = _Table(BUCKETS, lexicon.classes), _Table(INNER_BUCKETS, WIDE)
+        other = (_Table(BUCKETS, lexicon.classes), _Table(INNER_BUCKETS, WIDE)) if turn else (_Table(BUCKETS, 1), _Table(INNER_BUCKETS, 1))
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
                 hashes, counts = token_hashes(block)
-                rank, some = lexicon.index.find(hashes), True
+                rank = lexicon.index.find(hashes)
                 all_keys, all_u = histories(hashes, counts), randoms(hashes, counts, turn)
                 for a in range(0, len(rank), BATCH):
                     keys, u = all_keys[a : a + BATCH], all_u[:, a : a + BATCH]
                     cls, node, choice = lexicon.path(rank[a : a + BATCH])
                     rows = outer_rows(keys)
                     seen[0].add(rows, cls)
-                    if turn:
-                        expected[0].add(rows, drawn(exponentials(w.theta, rows, w.by_class)[0], u[-1]))
-                    else:
-                        met[0].add(rows, np.zeros(len(rows), np.int32))
+                    other[0].add(rows, drawn(exponentials(w.theta, rows, w.by_class)[0], u[-1]) if turn else np.zeros(len(rows), np.int32))
                     for j in range(DEEPEST):
                         own = np.flatnonzero(node[j] >= 0)
                         if len(own):
                             n = node[j, own]
                             rows = lexicon.inner_rows(keys[own], n)
                             seen[1].add(rows, choice[j, own])
-                            if turn:
-                                expected[1].add(rows, drawn(exponentials(w.phi, rows, w.in_node, n)[0], u[j, own]))
-                            else:
-                                met[1].add(rows, np.zeros(len(rows), np.int32))
-        if some:
-            if turn:
-                drew = [t.settle() for t in expected]
-            else:
-                # A row of the inner table belongs to one node.
-                drew = [met[0].settle() * _shares(w.by_class), met[1].settle() * _shares(w.in_node)[lexicon.owner]]
-            whole = np.concatenate([seen[0].settle(), drew[0], seen[1].settle(), drew[1]], axis=1).reshape(BUCKETS // _ROWS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array([_halves(x) for x in whole])], names=["slab", "sums"])
+                            other[1].add(rows, drawn(exponentials(w.phi, rows, w.in_node, n)[0], u[j, own]) if turn else np.zeros(len(rows), np.int32))
+        for level in (0, 1):
+            whole = np.concatenate([seen[level].settle(), other[level].settle()], axis=1)
+            met = np.flatnonzero(whole.any(axis=1))
+            if len(met):
+                slab = pa.array((met + level * (BUCKETS // _ROWS)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([slab, pa.array([_packed(whole[k]) for k in met], pa.binary())], names=["slab", "sums"])
 
     return run
 
@@ -317,13 +312,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, np.ndarray] = {}
     for batch in batches:
         for slab, sums in zip(batch.column("slab").to_pylist(), batch.column("sums")):
-            x = _floats(np.frombuffer(sums.as_buffer(), np.uint16))
+            x = _unpacked(np.frombuffer(sums.as_buffer(), np.uint8))
             if slab in found:
                 found[slab] += x
             else:
-                found[slab] = x.astype(np.float64)
+                found[slab] = x.copy()
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([_halves(v.astype(np.float32)) for v in found.values()])], names=["slab", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([_packed(v) for v in found.values()], pa.binary())], names=["slab", "sums"])
 
 
 def step(observed: np.ndarray, expected: np.ndarray, prior: np.ndarray | float, damped: float) -> np.ndarray:
@@ -398,18 +393,24 @@ def trained(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Weights
     """``texts`` (text): all rows teach in every round."""
     w = Weights.new(lexicon)
     shape = "slab int, sums binary"
+    shares, owner = _shares(w.in_node.astype(np.float64)), lexicon.owner  # a row of the inner table belongs to one node
     for turn in range(rounds):
         tallies = texts.select("text").mapInArrow(_tallied(lexicon, w, turn), shape)
         # Sums of sums: many tasks share a slab's first sums, so none streams what all partitions gave.
         spread = tallies.withColumn("part", F.spark_partition_id() % 64).repartition("slab", "part").drop("part")
         sums = spread.mapInArrow(_summed, shape).repartition("slab").mapInArrow(_summed, shape).toArrow()
-        prior, inner_prior = (LATER, LATER) if turn else (PRIOR * np.exp(w.by_class.astype(np.float64)), INNER_PRIOR)
-        theta, phi = (x.reshape(BUCKETS // _ROWS, _ROWS, -1) for x in (w.theta, w.phi))
-        for slab, x in zip(sums.column("slab").to_pylist(), sums.column("sums").to_pylist()):
-            x = _floats(np.frombuffer(x, np.uint16)).astype(np.float64).reshape(_ROWS, -1)
-            seen, expected, seen_in, expected_in = np.split(x, np.cumsum([lexicon.classes, lexicon.classes, WIDE]), axis=1)
-            theta[slab] += step(seen, expected, prior, DAMPED)
-            phi[slab] += step(seen_in, expected_in, inner_prior, INNER_DAMPED)
+        outer = BUCKETS // _ROWS
+        for slab, data in zip(sums.column("slab").to_pylist(), sums.column("sums")):
+            x = _unpacked(np.frombuffer(data.as_buffer(), np.uint8)).astype(np.float64)
+            table, at, width = (w.theta, slab, lexicon.classes) if slab < outer else (w.phi, slab - outer, WIDE)
+            rows = slice(at * _ROWS, (at + 1) * _ROWS)
+            seen, other = x[: _ROWS * width].reshape(_ROWS, width), x[_ROWS * width :].reshape(_ROWS, -1)
+            if turn:
+                table[rows] += step(seen, other, LATER, DAMPED if slab < outer else INNER_DAMPED)
+            elif slab < outer:
+                table[rows] += step(seen, other * _shares(w.by_class.astype(np.float64)), PRIOR * np.exp(w.by_class.astype(np.float64)), DAMPED)
+            else:
+                table[rows] += step(seen, other * shares[owner[rows]], INNER_PRIOR, INNER_DAMPED)
     return w
 
 

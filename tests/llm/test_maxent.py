@@ -8,6 +8,7 @@ import pytest
 
 from leadloom.llm import maxent
 from leadloom.llm.textblocks import blocks
+from tests.conftest import SF
 from tests.llm.conftest import words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -173,3 +174,15 @@ def test_ties_at_the_last_held_rank_and_clashing_columns(spark, monkeypatch):
 
 def test_empty(empty):
     assert maxent.scored(empty).collect() == []
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    """Tallies are whole numbers, so their sums are the same however the texts are dealt; what is left is the rounding of a batch's products."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in maxent.scored(docs.repartition(n, "doc_id")).collect()} for n in (1, 13))
+    assert set(one) == set(many) and max(abs(one[k] - many[k]) / abs(one[k]) for k in one) < 1e-6
+
+
+def test_packed_numbers():
+    x = np.array([[0, 1, 255, 256], [1 << 31, (1 << 40) + 7, 3, 0]], np.int64)
+    assert (maxent._unpacked(np.frombuffer(maxent._packed(x), np.uint8)) == x.ravel()).all()
