@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import small_batches
+from .store import named, nameless, small_batches
 from .textblocks import blocks, lists
 
 BITS, SIZES = 17, 3
@@ -234,12 +234,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` and lang_pred, score (the calibrated probability).
 
     Only ``text`` is an input.  A null text, or one without a letter, is ``und`` with score 0, and so is
-    every text under no model.  Columns named lang_pred or score are replaced, others stay.
+    every text under no model.  Columns named lang_pred or score are replaced, others stay whatever their names are.
     """
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
-    return docs.select(*names).mapInArrow(_predict(model, names), f"{fields}, lang_pred string, score double")
+    plain, names = nameless(docs, ("lang_pred", "score"))
+    fields = ", ".join(f"{c} {t}" for c, t in plain.dtypes)
+    # The text stands behind the columns that are returned.
+    rows = plain.withColumn("text", F.col(f"c{names.index('text')}"))
+    return named(rows.mapInArrow(_predict(model, plain.columns), f"{fields}, lang_pred string, score double"), [*names, "lang_pred", "score"])
 
 
 def fold(doc_id: str, parts: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import stored
+from .store import quoted, stored
 
 LEVELS = ("domain", "lang", "source")
 #: Production parameters: tokens per thousand of all tokens, passes over one leaf at most, seed.
@@ -151,7 +151,7 @@ def texts(docs: DataFrame, **limits) -> DataFrame:
     # At most one entry for each pass.
     chosen = passes.groupBy(*key).agg(F.collect_list(F.struct("whole", "take")).alias("passes"))
     keyed = docs.select(
-        F.struct(*(F.col(f"`{n}`") for n in names)).alias("r"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("content"),
+        F.struct(*(F.col(quoted(n)) for n in names)).alias("r"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("content"),
         F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
     )
     keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("doc")))
@@ -166,4 +166,4 @@ def texts(docs: DataFrame, **limits) -> DataFrame:
     lead = F.when(F.regexp_like(text, F.lit(r"^[\x20\x09-\x0D]")), 1).otherwise(0)
     cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("p.take").cast("int") + lead), ""), r"[\x20\x09-\x0D]+$", "")
     new = F.when(F.col("nth") > F.col("p.whole"), cut).otherwise(text)
-    return one.select(*(new.alias("text") if n == "text" else F.col(f"r.`{n}`").alias(n) for n in names))
+    return one.select(*(new.alias("text") if n == "text" else F.col(f"r.{quoted(n)}").alias(n) for n in names))

@@ -28,8 +28,8 @@ from .store import few, small_batches, stored
 
 THRESHOLD, NEIGHBOURS, ORDERS, ROUNDS = 0.93, 16, 5, 8
 CHUNK, BLOCK, SUPER = 256, 512, 256
-#: The audit: vectors of its first slice, true links it must see, the recall it asks for; enlargements of all lists before blocks.
-AUDIT, LINKS, RECALL, ENLARGEMENTS = 400, 200, 0.98, 2
+#: The audit: vectors of its first slice and of all, true links that are enough to see, the recall it asks for; enlargements of all lists before blocks.
+AUDIT, AUDITED, LINKS, RECALL, ENLARGEMENTS = 400, 12_000, 200, 0.98, 2
 _NEAR = 1e-4  # float32 sums may be off by less
 
 
@@ -345,13 +345,16 @@ def _double(dims: int):
 def _audited(vectors: DataFrame, size: int, links: DataFrame, full: DataFrame, dims: int, threshold: float) -> float:
     """The share of the links of some unsaturated vectors, by brute force, that ``links`` holds.
 
-    Slices of growing size, up to a bound that the driver holds, go on until ``LINKS`` true links are seen or no vector is left.
+    Slices of growing size, each up to a bound that the driver holds, go on until ``LINKS`` true links are
+    seen or ``AUDITED`` vectors, so there are at most six jobs however many vectors there are.  Where links
+    are so rare that the vectors end it and none of their links is missed, fewer than one vector in 4,000
+    misses one, with a certainty of 95 in 100 (three by the number seen).
     """
     place = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 20))
     each = (1 << 20) / max(size, 1)
-    low, width, n, hits = 0, AUDIT, 0, 0
-    while n < LINKS and low < 1 << 20:
-        high = low + max(1, round(width * each))
+    low, width, audited, n, hits = 0, AUDIT, 0, 0, 0
+    while n < LINKS and low < 1 << 20 and audited < AUDITED:
+        high, audited = low + max(1, round(width * each)), audited + width
         seen = _slice_links(vectors, vectors.where((place >= low) & (place < high)).join(full, "node", "left_anti"), dims, threshold)
         if seen is not None:
             got = seen.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()

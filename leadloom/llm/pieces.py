@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import named, nameless, small_batches
 from .textblocks import Block, blocks, mix, mix_int
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -368,7 +368,7 @@ def _encode(vocab: Pieces, dropout: float, seed: int, names: list[str]):
                     pa.array(same, pa.bool_(), mask=null[own]),
                 ]
                 part = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), *made], names=[*names, "piece_ids", "n_pieces", "decoded_sha256", "lossless"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), *made], names=[*(f"c{k}" for k in range(len(names))), *ADDED])
 
     return run
 
@@ -391,14 +391,13 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     names are.  A literal U+2581 and characters outside the model become byte pieces.
     """
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ADDED]
-    vocab = read_model(model)
-    own = docs.select(*(F.col(f"`{c}`") for c in names))
-    fields = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
-    source = docs.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(*key).alias("_" * (1 + max(map(len, names)))))  # longer than any other name
-    return source.mapInArrow(
-        _encode(vocab, dropout, seed, names), f"{fields}, piece_ids array<int>, n_pieces long, decoded_sha256 string, lossless boolean"
+    plain, names = nameless(docs, ADDED)
+    fields = ", ".join(f"{c} {t}" for c, t in plain.dtypes)
+    rows = plain.withColumn("key", F.xxhash64(*(f"c{names.index(k)}" for k in key)))
+    made = rows.mapInArrow(
+        _encode(read_model(model), dropout, seed, names), f"{fields}, piece_ids array<int>, n_pieces long, decoded_sha256 string, lossless boolean"
     )
+    return named(made, [*names, *ADDED])
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -93,8 +93,7 @@ def _case(level: str) -> str:
 _DOMAINS = {f"src{k}": f"d{zlib.crc32(f'src{k}'.encode()) % 3}" for k in range(20)}
 _MIX_SQL = rf"""
 WITH d AS (SELECT doc_id, CASE source {"".join(f" WHEN '{s}' THEN '{d}'" for s, d in _DOMAINS.items())} END AS domain, lang, source, text,
-  len(regexp_extract_all(text, '[^ 	-
-]+')) AS n FROM documents),
+  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n) AS tokens, sum(n) * {mixing.EPOCHS} AS capacity FROM d GROUP BY ALL),
 root AS (SELECT CAST(floor(sum(tokens) * {mixing.BUDGET_PER_MILLE} / 1000) AS BIGINT) AS budget FROM leaves),
 {_level("domain", "root p ON true", "", _case("domain"))},

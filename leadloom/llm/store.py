@@ -24,6 +24,11 @@ def nameless(df: DataFrame, but: Iterable[str] = ()) -> tuple[DataFrame, list[st
     return renamed.select(*(F.col(f"c{k}").alias(f"c{j}") for j, k in enumerate(kept))), [df.columns[k] for k in kept]
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def named(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` with these names, by place."""
     return df.toDF(*names)

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, stored
+from .store import named as renamed
+from .store import nameless, small_batches, stored
 from .textblocks import Block, _powers, blocks, lists, mix, mix_int, span_hashes, words
 
 MIN_DOCS, SHARE, DEPTH = 10, 0.7, 3
@@ -139,17 +140,22 @@ def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("doc"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
     drop = recurring_lines(docs.select(*keys, text.alias("text")), **limits)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    one = docs.select(F.struct(*names).alias("r"), *keys).alias("d")
-    rows = one.join(drop.alias("x"), _NAME, "left").select("r", "lines")
-    rows = rows.withColumn("parts", F.split(F.col("r.text"), "\n"))
+    plain, names = nameless(docs, ("n_lines", "n_dropped"))
+    own = f"r.c{names.index('text')}"
+    # The rows under names of their own, beside the keys that the drops are found by.
+    at = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "text")}
+    content = F.coalesce(at["text"].cast("string"), F.lit(""))
+    one = plain.select(F.struct("*").alias("r"), F.coalesce(at["doc_id"].cast("long"), F.lit(_LAST_ID)).alias("doc"), F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(7), content).alias("k2"))
+    rows = one.alias("d").join(drop.alias("x"), _NAME, "left").select("r", "lines")
+    rows = rows.withColumn("parts", F.split(F.col(own), "\n"))
     # A hash set of the lines to drop: long texts may lose tens of thousands.
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "lines")
     kept = F.transform(left, lambda i: F.get("parts", i))
-    new = F.when(F.col("lines").isNull(), F.col("r.text")).otherwise(F.array_join(kept, "\n"))
+    new = F.when(F.col("lines").isNull(), F.col(own)).otherwise(F.array_join(kept, "\n"))
     parts = F.col("parts")
-    return rows.select(
-        *(new.alias("text") if c == "text" else F.col(f"r.`{c}`").alias(c) for c in names),
+    out = rows.select(
+        *(new.alias(c) if n == "text" else F.col(f"r.{c}") for c, n in zip(plain.columns, names)),
         F.greatest(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return renamed(out, [*names, "n_lines", "n_dropped"])

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from leadloom.llm import nndescent
 from leadloom.llm.nndescent import near_vectors
@@ -84,6 +85,23 @@ def test_a_tight_group_is_counted_without_products(spark, monkeypatch):
     assert taken[0] > 100 and sorted(((False, r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("kind", ["no links", "all saturated"])
+def test_the_audit_has_a_bounded_number_of_jobs(spark, monkeypatch, kind):
+    monkeypatch.setattr(nndescent, "AUDIT", 20)
+    monkeypatch.setattr(nndescent, "AUDITED", 300)
+    slices, own = [], nndescent._slice_links
+    monkeypatch.setattr(nndescent, "_slice_links", lambda *a: slices.append(1) or own(*a))
+    rng, used = np.random.default_rng(3), []
+    for n in (500, 1500):
+        slices.clear()
+        x = rng.standard_normal((n, 24)) if kind == "no links" else rng.standard_normal(24) + 0.01 * rng.standard_normal((n, 24))
+        rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+        out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        used.append(len(slices))
+        assert {r["n_links"] for r in out} == ({0} if kind == "no links" else {n - 1})
+    assert used[0] == used[1] <= 4
+
+
 def test_clashing_columns(spark):
     rows = [(k, [1.0, 0.1 * k], 0, 7, 8, 9) for k in range(4)]
     out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int, k1 int, copies int")).collect()
