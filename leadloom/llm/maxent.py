@@ -47,6 +47,7 @@ DAMPED, INNER_DAMPED = 2.0, 1.5
 _U = np.uint64
 END, _NONE = mix_int(0x656E64), mix_int(0x6E6F6E65)
 _ROWS = 256  # of a table in a shuffled slab
+_SLABS = 64  # in a batch of them
 
 
 @dataclass
@@ -245,7 +246,8 @@ class _Table:
     """How often choices were met, by rows of a table."""
 
     def __init__(self, rows: int, width: int):
-        self.width, self.total, self.held, self.number = width, np.zeros(rows * width, np.int64), [], 0
+        # A partition's tokens are far fewer than such a number holds.
+        self.width, self.total, self.held, self.number = width, np.zeros(rows * width, np.int32), [], 0
 
     def add(self, rows: np.ndarray, choice: np.ndarray) -> None:
         self.held.append((rows.astype(np.int32) * np.int32(self.width) + choice[:, None].astype(np.int32)).ravel())
@@ -256,18 +258,19 @@ class _Table:
     def settle(self) -> np.ndarray:
         """The counts in slabs of _ROWS rows."""
         if self.held:
-            self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total))
+            self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total)).astype(np.int32)
             self.held, self.number = [], 0
         return self.total.reshape(-1, _ROWS * self.width)
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers byte by byte, the lowest bytes first: the upper ones are mostly zero and compress away."""
-    return np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers from 0 in as few bytes as the largest asks for, that number first."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(x.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + np.ascontiguousarray(x, f"<u{width}").tobytes()
 
 
 def _unpacked(data: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(data.reshape(8, -1).T).view(np.int64).ravel()
+    return np.frombuffer(data[1:].tobytes(), f"<u{data[0]}").astype(np.int64)
 
 
 def _tallied(lexicon: Lexicon, w: Weights, turn: int):
@@ -298,11 +301,12 @@ def _tallied(lexicon: Lexicon, w: Weights, turn: int):
                             seen[1].add(rows, choice[j, own])
                             other[1].add(rows, drawn(exponentials(w.phi, rows, w.in_node, n)[0], u[j, own]) if turn else np.zeros(len(rows), np.int32))
         for level in (0, 1):
-            whole = np.concatenate([seen[level].settle(), other[level].settle()], axis=1)
-            met = np.flatnonzero(whole.any(axis=1))
-            if len(met):
-                slab = pa.array((met + level * (BUCKETS // _ROWS)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([slab, pa.array([_packed(whole[k]) for k in met], pa.binary())], names=["slab", "sums"])
+            one, two = seen[level].settle(), other[level].settle()
+            met = np.flatnonzero(one.any(axis=1))  # what is expected is so only where something was observed
+            for k in range(0, len(met), _SLABS):
+                some = met[k : k + _SLABS]
+                slab = pa.array((some + level * (BUCKETS // _ROWS)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([slab, pa.array([_packed(np.concatenate([one[i], two[i]])) for i in some], pa.binary())], names=["slab", "sums"])
 
     return run
 
