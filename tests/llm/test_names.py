@@ -12,7 +12,7 @@ ODD = ("a.b", "c`d", 'e"f', " g h ", "row", "doc", "line", "c0", "k1", "key", "r
 @pytest.fixture(scope="module")
 def odd(docs):
     """Some documents with columns whose names clash or hold what names seldom hold."""
-    some = docs.where("doc_id < 40 or doc_id >= 9000")
+    some = docs.where("doc_id < 12 or doc_id >= 9000")
     return some.select("*", *(F.lit(k).alias(n) for k, n in enumerate(ODD)))
 
 
