@@ -38,7 +38,7 @@ TOP, WIDE = 1 << 18, 32
 LEVELS = ((32, 1), (4, 2), (8, 3))
 DEEPEST = 3
 #: Features, rows of the hashed tables at the root and below it (parameters of the model, as in any hashed one), rounds.
-FEATURES, BUCKETS, INNER_BUCKETS, ROUNDS, BATCH = 3, 1 << 15, 1 << 17, 2, 1 << 14
+FEATURES, BUCKETS, INNER_BUCKETS, ROUNDS, BATCH = 3, 1 << 15, 3 << 15, 2, 1 << 14
 #: Counts that are added to what a weight has observed and expected: in the first round at the root (times the
 #: class's share) and below it, and in later ones, where draws are noise beside what is left to learn; largest step.
 PRIOR, INNER_PRIOR, LATER, LONGEST = 300.0, 1.0, 10.0, 2.0
@@ -252,7 +252,7 @@ class _Table:
     def add(self, rows: np.ndarray, choice: np.ndarray) -> None:
         self.held.append((rows.astype(np.int32) * np.int32(self.width) + choice[:, None].astype(np.int32)).ravel())
         self.number += rows.size
-        if self.number > 1 << 21:
+        if self.number > 1 << 20:
             self.settle()
 
     def settle(self) -> np.ndarray:
@@ -264,13 +264,14 @@ class _Table:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 in as few bytes as the largest asks for, that number first."""
+    """Whole numbers from 0 in as few bytes as the largest asks for, that number first; the lowest bytes of all come first, as upper ones compress well."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or int(x.max(initial=0)) < 1 << 8 * w)
-    return bytes([width]) + np.ascontiguousarray(x, f"<u{width}").tobytes()
+    return bytes([width]) + np.ascontiguousarray(x, f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _unpacked(data: np.ndarray) -> np.ndarray:
-    return np.frombuffer(data[1:].tobytes(), f"<u{data[0]}").astype(np.int64)
+    width = int(data[0])
+    return np.ascontiguousarray(data[1:].reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _tallied(lexicon: Lexicon, w: Weights, turn: int):
