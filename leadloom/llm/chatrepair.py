@@ -222,7 +222,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, seg, leave, after, current = array("i"), array("q"), bytearray(), [INSERT * n for n in OPEN], None
 
     def flush() -> pa.RecordBatch:
-        """The choices of one conversation, from its first segment on: 14 bytes a segment were kept of it."""
+        """The choices of one conversation, from its first segment on: 16 bytes a segment were kept of it."""
         state, states = 0, []
         for k in range(len(part) - 1, -1, -1):
             left = leave[4 * k + state]
