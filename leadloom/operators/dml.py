@@ -62,11 +62,18 @@ def with_defaults(name: str, rows: DataFrame, now: Column | None = None) -> Data
 
 
 def with_dimension_key(rows: DataFrame, dimension: str = "dimension", key: str = "dimension_key") -> DataFrame:
-    """The generated key of a column that holds JSON (variant, or any map, array or struct); a caller's own value is refused."""
+    """The generated key of a column that holds JSON (variant, or any map, array or struct); a caller's own value is refused.
+
+    The key of any JSON costs far more than a row does otherwise, so it is made once for each different text
+    and met by the text; the rows are computed once for both, at the call, and written.
+    """
     if key in rows.columns:
         raise ValueError(f"{key} is generated")
-    flat = rows.schema[dimension].dataType.simpleString() == "map<string,string>"
-    return rows.withColumn(key, canonical_key(F.col(dimension)) if flat else json_key(F.to_json(F.col(dimension), {"ignoreNullFields": "false"})))
+    if rows.schema[dimension].dataType.simpleString() == "map<string,string>":
+        return rows.withColumn(key, canonical_key(F.col(dimension)))
+    told = stored(rows.withColumn("_text", F.to_json(F.col(dimension), {"ignoreNullFields": "false"})), "dimensions")
+    keys = told.select(F.col("_text").alias("_of")).where("_of is not null").distinct().withColumn("_key", json_key(F.col("_of")))
+    return told.join(keys, F.col("_text") == F.col("_of"), "left").select(*rows.columns, F.col("_key").alias(key))
 
 
 def delete_cascade(state: dict[str, DataFrame], name: str, gone: DataFrame) -> dict[str, DataFrame]:

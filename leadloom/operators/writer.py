@@ -30,10 +30,13 @@ class Refused(ValueError):
 
 
 def inserted(name: str, existing: DataFrame, rows: DataFrame, on_conflict: Sequence[str] | None = None, now: Column | None = None) -> DataFrame:
-    """``existing`` and ``rows`` with defaults and the generated key; with ``on_conflict`` rows whose key is there are left out."""
+    """``existing`` and ``rows`` with defaults and the generated key; with ``on_conflict`` rows whose key is there are left out.
+
+    What a conflict looks for passes over the new rows several times, so they are computed once, at the call, and written.
+    """
     new = with_defaults(name, rows, now)
     same = existing.select(*new.columns)
-    return insert_or_ignore(same, new, on_conflict) if on_conflict else same.unionByName(new)
+    return insert_or_ignore(same, warehouse.stored(new, f"insert-{name}"), on_conflict) if on_conflict else same.unionByName(new)
 
 
 def updated(name: str, existing: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:

@@ -46,6 +46,18 @@ def test_generated_key_of_the_declared_type_bites(spark, tmp_path):
         dml.with_dimension_key(rows.withColumn("dimension_key", F.lit("x")))
 
 
+def test_a_key_is_made_once_for_each_text(spark):
+    """Equal texts are one row where the key is made, rows without JSON have none, and what a conflict looks for makes no key again."""
+    rows = metrics(spark, *['{"a": 1, "b": [2]}'] * 3, '{"b": [2.0], "a": 1}', "{}", None)
+    keyed = dml.with_dimension_key(rows)
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    before, _, made = plan.partition("Aggregate [_of")
+    assert "from_json" in made and "from_json" not in before
+    assert sorted(str(r["dimension_key"]) for r in keyed.collect()) == sorted(['{"a": 1, "b": [2]}'] * 4 + ["{}", "None"])
+    state = writer.inserted("metrics", none(spark, "metrics"), rows.where("dimension is not null"), ["metric_date", "metric_name", "dimension_key"])
+    assert "from_json" not in state._jdf.queryExecution().optimizedPlan().toString() and state.count() == 2
+
+
 def test_control_characters_of_flat_keys(spark):
     rows = spark.createDataFrame([({"k": "a\x01\tb"},)], "dimension map<string,string>")
     assert dml.with_dimension_key(rows).first()["dimension_key"] == '{"k": "a\\u0001\\tb"}'
