@@ -6,8 +6,8 @@ can ever form the token, since nothing has been merged across its limits before,
 merges give the ids that the ranks give; a match of the pattern that is a token is taken whole.
 
 The pattern never matches past a place where white space follows something else, so a text is cut
-there into *chunks* and each different chunk of a task is encoded once.  Bytes map to characters by
-counting first bytes, which turns the chunks' offsets into offsets in the text.  Decoding gathers the
+there into *chunks* and each different chunk of a task is encoded once.  The ids' bytes give each token's
+place, and counting first bytes turns places into characters.  Decoding gathers the
 bytes of the ids; a character that several tokens hold counts as the last one's.
 """
 
@@ -29,9 +29,11 @@ from .store import named, nameless, small_batches
 from .textblocks import BLOCK_BYTES, blocks, lists
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ADDED = ("token_ids", "starts", "ends", "n_tokens")
+ADDED = ("token_ids", "starts", "ends", "n_tokens", "n_shared")
 #: Chunks that a task remembers at most, and the bytes of the longest one it does.
 KNOWN, KNOWN_BYTES = 1 << 18, 64
+#: About how many bytes of chunks the library encodes as one text.
+PIECE_BYTES = 1 << 12
 
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The library writes bytes as characters: visible ones as themselves, the others from U+0100 on.
@@ -63,6 +65,8 @@ def specification(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks = read_ranks(path)
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("the ranks lack a byte")
 
     def chars(token: bytes) -> str:
         return "".join(BYTE_CHARS[b] for b in token)
@@ -109,43 +113,66 @@ def slices(data: np.ndarray, bounds: np.ndarray, limit: int = BLOCK_BYTES) -> It
         while end == begin:  # a chunk longer than the limit makes the slice longer
             stop = min(n, begin + size)
             inner = cuts(data, begin, stop)
-            places = np.union1d(inner, bounds[(bounds > begin) & (bounds < stop)])
-            places = places[places > begin]
+            places = np.sort(np.concatenate([inner, bounds[(bounds > begin) & (bounds < stop)]]), kind="stable")
+            places = places[(places > begin) & (np.diff(places, prepend=-1) > 0)]
             end = n if stop == n else int(places[-1]) if len(places) else begin
             size *= 2
         yield np.concatenate([[begin], places[places < end], [end]])
         begin = end
 
 
+@lru_cache(maxsize=2)
+def token_sizes(spec: str) -> np.ndarray:
+    """The number of bytes of each id: a token's characters stand for one byte each."""
+    vocab = tokenizer(spec).get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, k in vocab.items():
+        out[k] = len(token)
+    return out
+
+
 class Chunks:
-    """The encodings of the chunks that a task has met: ids and character offsets, laid end to end."""
+    """The ids of the chunks that a task has met, laid end to end."""
 
     def __init__(self, spec: str):
-        self.encode_batch = tokenizer(spec).encode_batch
+        self.encode_batch, self.sizes = tokenizer(spec).encode_batch_fast, token_sizes(spec)
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.starts, self.ends = (array("i") for _ in range(3))
-        self.first, self.lost = array("q", [0]), 0
-
-    def find(self, texts: list[str]) -> np.ndarray:
-        """The places of chunks' encodings; what is not known is encoded now."""
+        self.ids, self.first, self.lost = array("i"), array("q", [0]), 0
+
+    def add(self, new: pa.Array) -> None:
+        """Encode chunks.  Those that could follow each other in a text are encoded as one, since no match crosses their limits."""
+        bounds = np.frombuffer(new.buffers()[1], np.int32)[: len(new) + 1]
+        data = np.frombuffer(new.buffers()[2], np.uint8)[: bounds[-1]]
+        joint = np.zeros(len(data) + 1, bool)
+        joint[cuts(data, 0, len(data))] = True
+        inner = bounds[1:-1]
+        split = ~joint[inner] | (inner // PIECE_BYTES > bounds[:-2] // PIECE_BYTES)
+        limits, whole = [0, *inner[split].tolist(), len(data)], data.tobytes()
+        made = self.encode_batch([whole[a:b].decode() for a, b in zip(limits, limits[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(m.ids, np.int32) for m in made])
+        # Tokens hold all bytes in order, so the bytes before each tell which chunk it begins.
+        ends = np.cumsum(self.sizes[ids])
+        self.first.frombytes((len(self.ids) + np.searchsorted(ends, bounds[1:]) + 1).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.tobytes())
+
+    def find(self, found: pa.Array) -> np.ndarray:
+        """The places of different chunks' ids; what is not known is encoded now."""
+        texts = found.to_pylist()
         if len(self.first) + len(texts) > KNOWN or self.lost > 16 * KNOWN:
             self.clear()
-        new = [t for t in texts if t not in self.place]
-        for text, made in zip(new, self.encode_batch(new, add_special_tokens=False)):
-            self.place[text] = len(self.first) - 1
-            self.ids.extend(made.ids)
-            for a, b in made.offsets:
-                self.starts.append(a)
-                self.ends.append(b)
-            self.first.append(len(self.ids))
+        new = [k for k, text in enumerate(texts) if text not in self.place]
+        if new:
+            at = len(self.first) - 1
+            self.add(found.take(pa.array(new)))
+            self.place.update(zip((texts[k] for k in new), range(at, at + len(new))))
         out = np.fromiter(map(self.place.__getitem__, texts), np.int64, len(texts))
-        for text in new:
-            if len(text) > KNOWN_BYTES:  # seldom met again: its text is not kept
-                del self.place[text]
-                self.lost += len(text)
+        for k in new:
+            if len(texts[k]) > KNOWN_BYTES:  # seldom met again: its text is not kept
+                del self.place[texts[k]]
+                self.lost += len(texts[k])
         return out
 
 
@@ -157,27 +184,36 @@ def encode_block(data: np.ndarray, bounds: np.ndarray, chunks: Chunks) -> tuple[
         part = data[limits[0] : limits[-1]]
         offsets = (limits - limits[0]).astype(np.int32)
         found = pa.Array.from_buffers(pa.string(), len(limits) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part))]).dictionary_encode()
-        place = chunks.find(found.dictionary.to_pylist())[found.indices.to_numpy()]
+        place = chunks.find(found.dictionary)[found.indices.to_numpy()]
         first = np.frombuffer(chunks.first, np.int64).copy()
         n = first[place + 1] - first[place]
         take = np.repeat(first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        # Characters before each chunk within its text; a text may have begun in the slice before.
-        before = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+        own = np.frombuffer(chunks.ids, np.int32)[take]
+        over = np.cumsum(chunks.sizes[own])
+        # Characters before each byte; those before a text in the slice are not its own, those of it in the slice before are.
+        before = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int32)], dtype=np.int32)
         text = np.searchsorted(bounds, limits[:-1], side="right") - 1
-        begins = np.maximum(bounds[text] - limits[0], 0)
-        shift = before[offsets[:-1]] - before[begins]
+        shift = -before[np.maximum(bounds[text] - limits[0], 0)]
         shift[text == last_text] += chars
-        own = np.repeat(shift, n).astype(np.int32)
-        ids.append(np.frombuffer(chunks.ids, np.int32)[take])
-        starts.append(np.frombuffer(chunks.starts, np.int32)[take] + own)
-        ends.append(np.frombuffer(chunks.ends, np.int32)[take] + own)
+        shifts = np.repeat(shift, n)
+        ids.append(own)
+        starts.append(before[over - chunks.sizes[own] + 1] - 1 + shifts)
+        ends.append(before[over] + shifts)
         np.add.at(per, text, n)
-        chars = int(shift[-1] + before[-1] - before[offsets[-2]])
+        chars = int(before[-1] + shift[-1])
         last_text = int(text[-1])
     none = np.zeros(0, np.int32)
     return np.concatenate([*ids, none]), np.concatenate([*starts, none]), np.concatenate([*ends, none]), per
 
 
+def shared(starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """How many tokens of each text begin before the end of the one before, within a character of both."""
+    at = np.flatnonzero(starts[1:] < ends[:-1]) + 1
+    over = np.cumsum(per)
+    text = np.searchsorted(over, at, side="right")
+    return np.bincount(text[at > (over - per)[text]], minlength=len(per)).astype(np.int64)
+
+
 def _encode(spec: str, kept: int):
     """Batches of ``kept`` columns, the text last, -> the columns and ``ADDED``."""
 
@@ -187,17 +223,17 @@ def _encode(spec: str, kept: int):
             for block in blocks(batch.column(kept)):
                 ids, starts, ends, per = encode_block(block.data, block.bounds, chunks)
                 part = batch.slice(block.first, block.rows)
-                columns = [*part.columns[:kept], lists(ids, per), lists(starts, per), lists(ends, per), pa.array(per)]
+                columns = [*part.columns[:kept], lists(ids, per), lists(starts, per), lists(ends, per), pa.array(per), pa.array(shared(starts, ends, per))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
     return run
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``docs`` (text, ...) and token_ids, starts, ends (the characters that a token holds, whole or in part) and n_tokens.
+    """``docs`` (text, ...) and token_ids, starts, ends (the characters that a token holds, whole or in part), n_tokens and n_shared.
 
     Every match of ``pattern`` is encoded by itself, without special tokens; no text is cut.  A null or
-    empty text has no tokens.  Each row stands alone, so repeated rows give equal ids; columns of
+    empty text has no tokens; n_shared counts those that begin within a character of the one before.  Each row stands alone, so repeated rows give equal ids; columns of
     ``docs`` that have the added names are replaced, all others stay whatever their names are.  The
     rank file is read by the driver; the tokenizer made of it, a few MB, travels with the tasks.
     """
@@ -206,7 +242,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers
     text = F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit(""))
     fields = ", ".join(f"{c} {t}" for c, t in kept.dtypes)
     n = len(names)
-    added = ", ".join(f"c{n + k} {t}" for k, t in enumerate(("array<int>", "array<int>", "array<int>", "long")))
+    added = ", ".join(f"c{n + k} {t}" for k, t in enumerate(("array<int>", "array<int>", "array<int>", "long", "long")))
     made = kept.withColumn(f"c{n}", text).mapInArrow(_encode(specification(ranks, pattern), n), f"{fields}, {added}")
     return named(made, [*names, *ADDED])
 

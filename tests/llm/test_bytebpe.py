@@ -70,6 +70,32 @@ def test_slices_cut_nothing(own):
     assert want[0][0].tolist() == [i for t in TEXTS for i in own.encode_ordinary(t)]
 
 
+def test_many_chunks_are_few_texts_of_the_library(own):
+    """Chunks that may follow each other are encoded as one text; those that may not, at odd limits, stay apart."""
+    import numpy as np
+
+    data = [t.encode() for t in TEXTS + [" ".join(f"w{k} é日{k}\u3000" for k in range(5000))]]
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    chunks, calls = bytebpe.Chunks(bytebpe.specification()), []
+    library = chunks.encode_batch
+    chunks.encode_batch = lambda texts, **k: calls.append(len(texts)) or library(texts, **k)
+    ids = bytebpe.encode_block(np.frombuffer(b"".join(data), np.uint8), bounds, chunks)[0]
+    assert ids.tolist() == [i for d in data for i in own.encode_ordinary(d.decode())]
+    assert len(chunks.first) > 5000 and sum(calls) < 100
+
+
+def test_tokens_that_share_a_character(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*TEXTS, None])], "k long, text string")
+    found = bytebpe.encode(rows.coalesce(1)).collect()
+    assert [r["n_shared"] for r in found] == [sum(a < b for a, b in zip(r["starts"][1:], r["ends"])) for r in found] and any(r["n_shared"] for r in found)
+
+
+def test_ranks_without_a_byte_are_refused(tmp_path):
+    (tmp_path / "few").write_text("YQ== 0\n")
+    with pytest.raises(ValueError, match="lack a byte"):
+        bytebpe.specification(str(tmp_path / "few"))
+
+
 def test_names_nulls_and_empty(spark, empty):
     rows = spark.createDataFrame([(None, "a b", 1, 2, 3), (1, None, 1, None, 3), (1, None, 1, None, 3)], "doc_id long, text string, `a.b` int, `c``d` int, token_ids int")
     out = bytebpe.encode(rows)
