@@ -4,7 +4,7 @@ Only terms of the items matter, so a document is the vector of those that it hol
 first.  The vectors of a block of documents share the paths of a trie; paths without a branch are one
 edge.  A node knows for each term below it the largest tf of its documents, and the smallest m: scored
 as if one document had them all, they bound every score below.  An item goes down the trie depth first,
-the best child first, and leaves out what cannot come among its best any more.
+the best children first and some of them at a time, and leaves out what cannot come among its best any more.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ TOP = 20
 ITEM_TERMS = 1 << 16
 #: Documents, and entries of their vectors, that share a trie.
 TREE_DOCS, TREE_ENTRIES = 1 << 14, 1 << 19
+#: Nodes that a search opens at a time, the best ones of its stack: at first, and after some doublings;
+#: fewer for an item with many terms, so that nodes times terms stay bounded.
+FIRST_WAVE, LAST_WAVE, WAVE_TERMS = 4, 32, 1 << 17
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_ID = np.iinfo(np.int64).max
 
@@ -118,6 +121,7 @@ class Tree:
     first: np.ndarray
     terms: np.ndarray
     tfs: np.ndarray
+    n_terms: int
 
     @property
     def nodes(self) -> int:
@@ -209,7 +213,7 @@ def tree(doc_ids: np.ndarray, m: np.ndarray, counts: np.ndarray, terms: np.ndarr
     key = key % n_terms * len(low) + key // n_terms
     by = np.argsort(key)
     least = lambda x: np.minimum.reduceat(np.append(x, _NO_ID), np.stack([low, high], 1).ravel())[::2]
-    return Tree(child, low, high, least(m[order]), least(doc_ids[order]), key[by], value[by], doc_ids[order], m[order], own_first, own_terms, own_tfs)
+    return Tree(child, low, high, least(m[order]), least(doc_ids[order]), key[by], value[by], doc_ids[order], m[order], own_first, own_terms, own_tfs, n_terms)
 
 
 class Best:
@@ -230,44 +234,63 @@ class Best:
         self.scores, self.ids = scores[by], ids[by]
 
 
-def _gathered(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the sorted ``keys`` from each ``low`` to before each ``high``, and which of these it was."""
-    a, b = np.searchsorted(keys, low), np.searchsorted(keys, high)
-    n = b - a
-    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(low)), n)
+def _spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places from each ``low`` to before each ``high``, and which of these it was."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(low)), n)
+
+
+def _leaf_scores(t: Tree, leaves: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the documents of leaves; ``own``: the weight of each term, 0 if not asked for."""
+    docs, _ = _spans(t.low[leaves], t.high[leaves])
+    place, which = _spans(t.first[docs], t.first[docs + 1])
+    held = np.flatnonzero(own[t.terms[place]])
+    place, which = place[held], which[held]
+    scores = np.zeros(len(docs), np.int64)
+    np.add.at(scores, which, share(t.tfs[place], t.doc_m[docs[which]]) * own[t.terms[place]])
+    return scores, t.doc_ids[docs]
+
+
+def _bounds(t: Tree, a: np.ndarray, b: np.ndarray, item_terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, bounds) of all children, from each of ``a`` (rising) to before each of ``b``."""
+    nodes, _ = _spans(a, b)
+    base = (item_terms * t.nodes)[:, None]
+    place, which = _spans(np.searchsorted(t.keys, (base + a).ravel()), np.searchsorted(t.keys, (base + b).ravel()))
+    term, parent = np.divmod(which, len(a))
+    node = t.keys[place] - base[term, 0]
+    bounds = np.zeros(len(nodes), np.int64)
+    np.add.at(bounds, node - (a - np.cumsum(b - a) + b - a)[parent], share(t.most[place], t.m[node]) * weights[term])
+    return nodes, bounds
 
 
 def search(t: Tree, item_terms: np.ndarray, weights: np.ndarray, best: Best) -> int:
     """Offer ``best`` what the documents of a tree have for an item (terms and their weights); returns the number of nodes opened."""
-    opened, base = 0, item_terms * t.nodes
-    stack = [(None, 0)]
-    while stack:
-        bound, node = stack.pop()
-        if bound is not None and not best.open(np.array([bound]), t.ids[node : node + 1])[0]:
+    own = np.zeros(t.n_terms, np.int64)
+    own[item_terms] = weights
+    opened, last = 0, max(1, min(LAST_WAVE, WAVE_TERMS // len(item_terms)))
+    wave = min(FIRST_WAVE, last)
+    stack, bound = np.zeros(1, np.int64), np.full(1, _NO_ID)
+    while len(stack):
+        top, stack = stack[-wave:], stack[:-wave]
+        ok = best.open(bound[-wave:], t.ids[top])
+        top, bound = np.sort(top[ok]), bound[:-wave]
+        if not len(top):
             continue
-        opened += 1
-        a, b = t.child[node], t.child[node + 1]
-        if a == b:  # documents of one vector
-            low, high = t.low[node], t.high[node]
-            width = t.first[low + 1] - t.first[low]
-            own = t.terms[t.first[low] : t.first[low] + width]
-            at = np.searchsorted(own, item_terms)
-            held = at < width
-            held[held] = own[at[held]] == item_terms[held]
-            tfs = t.tfs[t.first[low] : t.first[high]].reshape(-1, width)[:, at[held]]
-            scores, ids = (share(tfs, t.doc_m[low:high, None]) * weights[held]).sum(1), t.doc_ids[low:high]
+        opened, wave = opened + len(top), min(2 * wave, last)
+        a, b = t.child[top], t.child[top + 1]
+        if (a == b).any():  # documents of one vector
+            scores, ids = _leaf_scores(t, top[a == b], own)
             ok = best.open(scores, ids)
             best.offer(scores[ok], ids[ok])
-            continue
-        place, which = _gathered(t.keys, base + a, base + b)
-        below = t.keys[place] - base[which] - a
-        bounds = np.zeros(b - a, np.int64)
-        np.add.at(bounds, below, share(t.most[place], t.m[a + below]) * weights[which])
-        ok = np.flatnonzero(best.open(bounds, t.ids[a:b]))
-        alone = (t.high[a + ok] - t.low[a + ok]) == 1  # the bound of one document is its score
-        best.offer(bounds[ok[alone]], t.ids[a + ok[alone]])
-        rest = ok[~alone]
-        stack += [(int(bounds[k]), int(a + k)) for k in rest[np.lexsort((-t.ids[a + rest], bounds[rest]))]]
+            a, b = a[a < b], b[a < b]
+        nodes, bounds = _bounds(t, a, b, item_terms, weights)
+        ok = best.open(bounds, t.ids[nodes])
+        nodes, bounds = nodes[ok], bounds[ok]
+        alone = t.high[nodes] - t.low[nodes] == 1  # the bound of one document is its score
+        best.offer(bounds[alone], t.ids[nodes[alone]])
+        nodes, bounds = nodes[~alone], bounds[~alone]
+        by = np.lexsort((-t.ids[nodes], bounds))
+        stack, bound = np.concatenate([stack, nodes[by]]), np.concatenate([bound, bounds[by]])
     return opened
 
 

@@ -106,6 +106,23 @@ def test_tree_bounds_and_pruning():
     assert opened < nodes / 3
 
 
+def test_nodes_are_opened_in_waves():
+    """Some nodes at a time, so that a search takes far fewer steps than it opens nodes; an item of many terms opens fewer at a time."""
+    dice = random.Random(5)
+    t = random_block(dice, 900, 25)
+    item, ws = np.arange(25), np.arange(1, 26)
+    for limit in (fptree.WAVE_TERMS, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(fptree, "WAVE_TERMS", limit)
+            asked = []
+            best = fptree.Best(300)
+            patch.setattr(best, "open", lambda s, i: asked.append(len(s)) or fptree.Best.open(best, s, i))
+            opened = fptree.search(t, item, ws, best)
+        every = sorted((-s, d) for s, d in zip(scores(t, item, ws).tolist(), t.doc_ids.tolist()) if s > 0)[:300]
+        assert list(zip((-best.scores).tolist(), best.ids.tolist())) == every
+        assert len(asked) < opened / 4 if limit > 1 else len(asked) > opened
+
+
 def test_long_text_in_slices(spark):
     docs = spark.createDataFrame([(1, "Ab1 cd " * 30000 + "zz"), (2, "ab1")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in docs.mapInArrow(fptree._vectors(["ab1", "cd", "zz"], 64), "doc_id long, n long, terms array<int>, tfs array<bigint>").collect()}
