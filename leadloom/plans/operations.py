@@ -143,7 +143,10 @@ def linked_funnel(spark, sf_dir):
     """Orders are opportunities, won orders of solvent customers make customers, open lines subscriptions and lines that stay payments."""
     o, c, li = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
     none = F.lit(0).alias("cents")
-    keyed = li.join(o.select("o_orderkey", F.col("o_custkey").alias("key")), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = 2 * (o.count() + li.count())  # each table takes two steps
+    parts = funnel.tasks(rows)
+    orders = o.select("o_orderkey", F.col("o_custkey").alias("key")).repartition(parts, "o_orderkey")
+    keyed = li.repartition(parts, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     solvent = c.where("c_acctbal > 0").select("c_custkey")
     won = o.where("o_orderstatus = 'F'").join(solvent, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     cents = F.round(F.col("l_extendedprice").cast("decimal(14,4)") * 100, 0).cast("long").alias("cents")
@@ -153,7 +156,7 @@ def linked_funnel(spark, sf_dir):
         keyed.where("l_linestatus = 'O'").select("key", F.col("l_shipdate").alias("at"), none),
         keyed.where("l_returnflag <> 'R'").select("key", F.col("l_shipdate").alias("at"), cents),
     ]
-    return funnel.linked_funnel(steps, ("opportunity", "customer", "subscription", "payment"))
+    return funnel.linked_funnel(steps, ("opportunity", "customer", "subscription", "payment"), rows)
 
 
 @query(

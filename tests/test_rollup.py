@@ -84,6 +84,21 @@ def test_journeys_equal_steps_one_by_one(spark):
     assert [tuple(r) for r in none] == [(k, n, 0, None, 0, 0) for k, n in enumerate("abcd", 1)]
 
 
+def test_tasks_of_a_funnel_grow_in_number_not_in_size(spark, monkeypatch):
+    """The number of rows deals them over tasks, more than the session has partitions, and each journey is folded once."""
+    monkeypatch.setattr(funnel, "TASK_ROWS", 50)
+    day = rollup.F.date_add(rollup.F.lit(dt.date(2024, 1, 1)), (rollup.F.col("id") % 9).cast("int")).alias("at")
+    steps = [spark.range(n).select((rollup.F.col("id") % 90).alias("key"), day, rollup.F.lit(7).alias("cents")) for n in (400, 300, 300)]
+    found = funnel.journeys(steps, 1000)
+    assert found.rdd.getNumPartitions() == funnel.tasks(1000) == 20
+    sizes = [r["count"] for r in found.groupBy(rollup.F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and sorted(map(str, found.collect())) == sorted(map(str, funnel.journeys(steps).collect()))
+    out = funnel.linked_funnel(steps, "abc", 1000)
+    assert sorted(out.collect()) == sorted(funnel.linked_funnel(steps, "abc").collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+
+
 def test_entities_of_several_types(spark, many_parts):
     dice = random.Random(8)
     kinds = {"a": range(5), "b": range(3, 9)}
